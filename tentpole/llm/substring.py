@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tentpole.llm.common import dropped, heavy_keys, lookup_join, saved
+from tentpole.llm.common import lookup_join, saved
 
 WINDOW = 50
 GRAM = 16
