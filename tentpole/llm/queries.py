@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tentpole.llm import decontaminate, html_extract, packing, quality, simhash, substring, warc
+from tentpole.llm import decontaminate, hmm, html_extract, packing, quality, simhash, substring, warc
 
 
 def tokenizer_file() -> str:
@@ -48,6 +48,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
+    "op10_hmm_lm": op10_hmm_lm,
 }
 
 SQL: dict[str, str] = {}
