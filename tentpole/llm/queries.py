@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tentpole.llm import decontaminate, hmm, html_extract, packing, quality, simhash, substring, warc
+from tentpole.llm import decontaminate, hmm, html_extract, packing, quality, simhash, substring, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -40,6 +40,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.summary(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_hmm_lm": op10_hmm_lm,
