@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tentpole.llm import decontaminate, hmm, html_extract, packing, quality, simhash, substring, toxicity, warc
+from tentpole.llm import chat, decontaminate, hmm, html_extract, packing, quality, simhash, substring, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -48,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
     "op10_hmm_lm": op10_hmm_lm,
 }
