@@ -1,10 +1,11 @@
 """Substring deduplication: Rabin-Karp hashes of every fixed-length window of words.
 
-A window's key is the least hash of the short grams inside it, so equal windows
-have equal keys. Runs of windows with one key are counted first; only windows
-whose key occurs in two documents can repeat in two, and only those go on to be
-counted by their own 128-bit Rabin-Karp hash. That loses no repeat and keeps what
-is shuffled to a few bytes a word.
+A window's key is the least Rabin-Karp hash of the short grams inside it, so
+equal windows have equal keys. Runs of consecutive windows with one key are
+counted first; only windows whose key occurs in two documents can repeat in
+two, and only those go on to be counted, by key and their own hash: 128 bits
+from two polynomials. That loses no repeat and keeps what is shuffled to a few
+bytes a word.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ GRAM = 16
 #: Odd multipliers of the two polynomial hashes modulo 2**64 (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: A key that at least so many runs have is counted window by window, combined before the shuffle.
+HEAVY_ROWS = 20_000
+#: Of these keys, and of windows that often, at most so many, the most frequent, are joined by broadcast.
+HEAVY_KEYS = 1000
 #: Words that a worker remembers the hash of before it starts anew.
 CACHE = 500_000
 
@@ -106,86 +111,155 @@ def _runs(window: int, gram: int):
     return run
 
 
-def _windows(window: int):
+def _hashed_runs(window: int):
+    """The window hashes of a document's candidate runs: ``key``, ``doc_id``, ``first``, ``hashes``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rolls = WordHash(), [Rolling(b) for b in BASES]
+        known, roll = WordHash(), Rolling(BASES[1])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["key", "doc_id", "first", "hashes", "hot"])
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         for b in batches:
-            parts, size = [], 0
+            rows, size = [], 0
             for d, t, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 words = words_of(t.as_py())
                 if len(words) < window:
                     continue
-                values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                runs = np.frombuffer(runs.as_py(), "<i8").reshape(-1, 2)
-                at = np.unique(np.concatenate([np.arange(f, f + n) for f, n in runs]))
-                at = at[at <= len(words) - window]
-                one, two = rolls[0](values, window), rolls[1](mixed(values), window)
-                parts.append((one[at].view(np.int64), two[at].view(np.int64), np.full(len(at), d, np.int64), at))
-                size += len(at)
-                if size >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["h1", "h2", "doc_id", "at"])
-                    parts, size = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["h1", "h2", "doc_id", "at"])
+                hashes = roll(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window)
+                for key, f, n, hot in np.frombuffer(runs.as_py(), "<i8").reshape(-1, 4).tolist():
+                    if part := hashes[f : f + n].tobytes():
+                        rows.append((key, d, f, part, hot))
+                        size += len(part)
+                if size >= 4_000_000:
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
+
+    return run
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Window by window: key, document, position and hash of the runs in a batch."""
+    blobs = b.column(3).combine_chunks() if isinstance(b.column(3), pa.ChunkedArray) else b.column(3)
+    n = np.array([len(x.as_buffer()) // 8 for x in blobs], np.int64)
+    key, doc, first = (np.repeat(b.column(k).to_numpy(), n) for k in range(3))
+    at = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n) + first
+    return key, doc, at, np.frombuffer(b"".join(x.as_py() for x in blobs), np.int64)
+
+
+def _late(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Stretches of windows that also start in a document with a smaller id: document, first word, number of words."""
+    key, doc, at, h = rows
+    order = np.lexsort((doc, h, key))
+    key, doc, at, h = (x[order] for x in rows)
+    new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
+    late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    doc, at = doc[late], at[late]
+    if not len(doc):
+        return [doc, at, at]
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1))
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(doc)) - 1
+    return [doc[start], at[start], at[end] - at[start]]
+
+
+def _compared(window: int):
+    """Compares runs, which come sorted by key, with the others of their key."""
+
+    def out(rows: list[np.ndarray]) -> pa.RecordBatch | None:
+        doc, first, more = _late(rows)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(more + window)], names=["doc_id", "first", "n"]) if len(doc) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = _flat(b)
+            done = np.searchsorted(flat[0], flat[0][-1])  # the last key may go on in the next batch
+            if done or held and held[-1][0][-1] != flat[0][-1]:
+                rows = [np.concatenate(x) for x in zip(*held, tuple(x[:done] for x in flat), strict=True)]
+                if len(rows[0]) and (made := out(rows)):
+                    yield made
+                held = []
+            held.append(tuple(x[done:] for x in flat))
+        if held and (made := out([np.concatenate(x) for x in zip(*held, strict=True)])):
+            yield made
 
     return run
 
 
-def _packed_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 2000):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _flat(b.slice(k, 2000))], names=["key", "doc_id", "at", "h"])
+
+
+def _packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's list of structs of longs, sorted by the first field, as one binary value."""
     for b in batches:
         docs, blobs = [], []
-        for d, pairs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for d, runs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             docs.append(d)
-            first, n = (pairs.values.field(k).to_numpy() for k in (0, 1))
+            fields = np.stack([runs.values.field(k).to_numpy() for k in range(runs.values.type.num_fields)], 1)
+            blobs.append(fields[np.argsort(fields[:, 0], kind="stable")].astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "runs"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's spans, sorted by their first word, with those that overlap or touch made one."""
+    for b in batches:
+        docs, blobs = [], []
+        for d, spans in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            first, n = (spans.values.field(k).to_numpy() for k in (0, 1))
             order = np.argsort(first, kind="stable")
-            blobs.append(np.stack([first[order], n[order]], 1).astype("<i8").tobytes())
+            first, end = first[order], np.maximum.accumulate((first + n)[order])
+            start = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+            last = np.append(start[1:], len(first)) - 1
+            docs.append(d)
+            blobs.append(np.stack([first[start], end[last] - first[start]], 1).astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "spans"])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Maximal intervals of words to remove: ``doc_id``, ``first``, ``n``, longest possible and apart.
-
-    A word goes if a window of ``window`` words around it also starts in a
-    document with a smaller id. Rows with a null id or text, or fewer words than
-    a window, have none. Rows with one id count as one document, so repeated
-    rows do not remove each other; should their texts differ, what is found in
-    one holds, by position, in the others.
+    """What to remove of each document that has repeats: ``doc_id`` and ``spans``.
+
+    ``spans`` packs (first word, number of words) of the maximal intervals, in
+    order, as little-endian 64-bit numbers. A word goes if a window of
+    ``window`` words around it also starts in a document with a smaller id.
+    Rows with a null id or text, or fewer words than a window, have none. Rows
+    with one id count as one document, so repeated rows do not remove each
+    other; should their texts differ, what is found in one holds, by position,
+    in the others.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     runs = saved(rows.mapInArrow(_runs(window, gram), "key long, doc_id long, first long, n long"), "runs")
     ends = runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    shared = saved(ends.where(F.col("lo") < F.col("hi")), "keys")
-    heavy = [r[0] for r in shared.where(F.col("rows") >= 20_000).orderBy(F.desc("rows")).limit(1000).select("key").collect()]
-    ours = lookup_join(runs, shared.select("key"), "key", "inner", heavy).select("doc_id", "first", "n")
-    by_doc = ours.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("pairs"))
-    blobs = by_doc.select("doc_id", "pairs").mapInArrow(_packed_pairs, "doc_id long, spans binary")
-    found = saved(rows.join(blobs, "doc_id").select("doc_id", "text", "spans").mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, at long"), "windows")
-    firsts = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    repeats = saved(firsts.where(F.col("lo") < F.col("hi")).select(F.xxhash64("h1", "h2").alias("h"), "h1", "h2", "lo", "rows"), "repeats")
-    heavy = [r[0] for r in repeats.where(F.col("rows") >= 20_000).orderBy(F.desc("rows")).limit(1000).select("h").collect()]
-    hits = found.withColumn("h", F.xxhash64("h1", "h2"))
-    is_heavy = F.col("h").isin(heavy)
-    on = ["h", "h1", "h2"]
-    late = hits.where(~is_heavy).join(repeats.where(~is_heavy), on) if heavy else hits.join(repeats, on)
+    shared = saved(ends.where(F.col("lo") < F.col("hi")).select("key", "rows"), "keys")
+    heavy = [r[0] for r in shared.where(F.col("rows") >= HEAVY_ROWS).orderBy(F.desc("rows")).limit(HEAVY_KEYS).select("key").collect()]
+    ours = lookup_join(runs, shared.select("key", (F.col("rows") >= HEAVY_ROWS).cast("long").alias("hot")), "key", "inner", heavy)
+    by_doc = ours.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "n", "hot")).alias("runs"))
+    packed = by_doc.select("doc_id", "runs").mapInArrow(_packed_runs, "doc_id long, runs binary")
+    hashed = rows.join(packed, "doc_id").select("doc_id", "text", "runs").mapInArrow(_hashed_runs(window), "key long, doc_id long, first long, hashes binary, hot long")
     if heavy:
-        late = late.unionByName(hits.where(is_heavy).join(F.broadcast(repeats.where(is_heavy)), on))
-    late = late.where(F.col("doc_id") > F.col("lo")).groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    return late.mapInArrow(_merged(window), "doc_id long, first long, n long")
-
+        hashed = saved(hashed, "hashed")
+    light = hashed.where("hot = 0") if heavy else hashed
+    spans = light.drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, first long, n long")
+    if heavy:
+        spans = spans.unionByName(_heavy_spans(hashed.where("hot = 1").drop("hot"), window))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")).select("doc_id", "spans").mapInArrow(_merged, "doc_id long, spans binary")
 
-def _merged(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            for d, at in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = at.values.to_numpy()
-                cut = np.flatnonzero(np.diff(x) > window) + 1
-                first, last = x[np.append(0, cut)], x[np.append(cut - 1, len(x) - 1)]
-                parts.append((np.full(len(first), d, np.int64), first, last + window - first))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["doc_id", "first", "n"])
 
-    return run
+def _heavy_spans(hashed: DataFrame, window: int) -> DataFrame:
+    """The spans of keys that too many runs have for one task: their windows are counted one by one, combined before the shuffle."""
+    found = hashed.mapInArrow(_exploded, "key long, doc_id long, at long, h long").select(F.xxhash64("key", "h").alias("h"), "doc_id", "at")
+    firsts = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    firsts = saved(firsts.where(F.col("lo") < F.col("hi")), "windows")
+    heavy = [r[0] for r in firsts.where(F.col("rows") >= HEAVY_ROWS).orderBy(F.desc("rows")).limit(HEAVY_KEYS).select("h").collect()]
+    late = lookup_join(found, firsts.select("h", "lo"), "h", "inner", heavy).where(F.col("doc_id") > F.col("lo"))
+    return late.select("doc_id", F.col("at").alias("first"), F.lit(window).cast("long").alias("n"))
 
 
 def _keep(words: list[bytes], spans: bytes | None) -> list[bytes]:
@@ -198,11 +272,6 @@ def _keep(words: list[bytes], spans: bytes | None) -> list[bytes]:
     return kept + words[at:]
 
 
-def _with_spans(docs: DataFrame, window: int, gram: int, doc_id: str, text: str) -> DataFrame:
-    spans = repeated_spans(docs, window, gram, doc_id, text)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("pairs")).mapInArrow(_packed_pairs, "doc_id long, spans binary")
-
-
 def summary(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What the removal leaves of every document: word counts and the SHA-256 of the kept words.
 
@@ -223,7 +292,7 @@ def summary(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.join(_with_spans(docs, window, gram, doc_id, text), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, SCHEMA)
+    return rows.join(repeated_spans(docs, window, gram, doc_id, text), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, SCHEMA)
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,7 +302,7 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id: str
     none is left); any other text stays as it is, to the byte.
     """
     mark, columns = "__spans", docs.columns
-    spans = _with_spans(docs, window, gram, doc_id, text).withColumnsRenamed({"doc_id": "__of", "spans": mark})
+    spans = repeated_spans(docs, window, gram, doc_id, text).withColumnsRenamed({"doc_id": "__of", "spans": mark})
     joined = docs.join(spans, F.col(doc_id) == F.col("__of"), "left").drop("__of")
     at = columns.index(text)
 
