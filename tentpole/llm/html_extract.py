@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tentpole.llm.common import lookup_join, saved
@@ -115,7 +115,7 @@ def parsed(source: str) -> Page:
     script is part of it.
     """
     page = Page()
-    root = here = Element("", "", None, 0)
+    root = here = Element("body", "", None, 0)
     text: list[str] = []
     linked = links = 0
 
@@ -244,6 +244,11 @@ def scores(page: Page) -> dict[str, float]:
     return out
 
 
+def best_of(own: dict[str, float]) -> str:
+    """The path with the highest score; of equals, the last by name."""
+    return max(own, key=lambda p: (own[p], p))
+
+
 def extracted(page: Page, paths: list[str]) -> str:
     """The article's blocks, joined by two line ends, from the first of ``paths`` that gives any.
 
@@ -251,7 +256,7 @@ def extracted(page: Page, paths: list[str]) -> str:
     the empty text.
     """
     own = scores(page)
-    best = [max(own, key=lambda p: (own[p], p))] if own else []
+    best = [best_of(own)] if own else []
     for path in [p for p in paths if p in own] + best:
         out = []
         for b in page.blocks:
@@ -272,16 +277,17 @@ def host_of(url: str) -> F.Column:
 
 
 def votes(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame:
-    """Total score of each container path on each host: ``host``, ``path``, ``score``, ``pages``."""
+    """Votes for container paths on each host: ``host``, ``path``, ``pages``, ``score``. Each page votes for its best path, with its score."""
     rows = pages.select(host_of(url).alias("host"), F.col(markup).cast("string").alias("html")).where("html is not null and host <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total: dict[tuple[str, str], list[float]] = {}
             for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for path, score in scores(parsed(source.as_py())).items():
+                if own := scores(parsed(source.as_py())):
+                    path = best_of(own)
                     t = total.setdefault((host, path), [0.0, 0])
-                    t[0] += round(score, 6)
+                    t[0] += round(own[path], 6)
                     t[1] += 1
             if total:
                 yield pa.RecordBatch.from_pylist([{"host": h, "path": p, "score": s, "pages": n} for (h, p), (s, n) in total.items()])
@@ -291,9 +297,11 @@ def votes(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame
 
 def winners(voted: DataFrame, paths: int = PATHS) -> DataFrame:
     """The best paths of each host, best first: ``host``, ``paths``."""
-    # Rounded scores, then the path, make the order the same on every run. Each host has few paths, whatever its pages.
-    ranked = voted.groupBy("host").agg(F.sort_array(F.collect_list(F.struct(F.col("score"), F.col("path"))), asc=False).alias("all"))
-    return ranked.select("host", F.transform(F.slice("all", 1, paths), lambda x: x["path"]).alias("paths"))
+    # Votes, rounded scores, then the path make the order the same on every run.
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), F.desc("score"), F.desc("path")))
+    few = voted.withColumn("place", place).where(F.col("place") <= paths)
+    ranked = few.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("all"))
+    return ranked.select("host", F.transform("all", lambda x: x["path"]).alias("paths"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:

@@ -112,7 +112,7 @@ def pack(lengths: Iterator[int], size: int = SEQUENCE) -> Iterator[tuple[int, in
                 yield d, b, k, window, o
         else:
             levels.keep(window, offset + s)
-    # The ids of emptied windows are used again, so that ids stay gapless.
+    # The ids of emptied windows are used again; a few may be left over, so ids can have gaps.
     free = sorted(contents)
     left = [p for w in sorted(contents, key=lambda w: (-(contents[w][-1][3] + contents[w][-1][2]), w)) for p in contents[w]]
     rest = sum(p[2] for p in left)

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages"))
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -71,6 +77,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
     "op10_hmm_lm": op10_hmm_lm,
+    "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+#: Words of a text: runs of characters other than blank and \x09-\x0D.
+WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT hex, min(page_id) AS low, count(*) AS n FROM p GROUP BY hex),
+        b AS (SELECT p.*, low, n, unhex(p.hex)::BIT::VARCHAR AS bits FROM p JOIN f USING (hex))
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (list_aggregate(list_transform(range(5), lambda j: substr(bits, 5 * i + j + 1, 1)::INTEGER * (16 >> j)), 'sum') + 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN n = 1 OR page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN n = 1 OR page_id = low THEN NULL ELSE low END AS refers_to
+        FROM b
+    """,
+    "op5_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+        h AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+        f AS (SELECT k, min(doc_id) AS low FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, i + o AS pos FROM h JOIN f USING (k), range(50) AS t(o) WHERE doc_id > low),
+        each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op7_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS ws FROM documents),
+        win AS (SELECT doc_id, i, ws[i : i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
+        again AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
+        rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM win JOIN again USING (doc_id, k), range(3) AS t(o) GROUP BY doc_id),
+        lines AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+        dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+                   coalesce(n_lines, 0) AS n_lines, length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g')) AS n_letters
+            FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 5 * word_chars OR 2 * n_upper > n_letters OR 2 * n_dup_lines > n_lines
+                    OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+        FROM m
+    """,
+}
