@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The folding rules that comparison keys depend on.
 SPECIAL_LETTERS = [("ß", "ss"), ("ø", "o"), ("æ", "ae"), ("œ", "oe"), ("đ", "d"), ("ħ", "h"), ("ł", "l"), ("ı", "i"), ("þ", "th"), ("ð", "d")]
@@ -33,12 +34,12 @@ POSTCODE_FIRST = r"^(\d{3,5}(?:\s?\d{2})?)\s+(?=\D)"
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c)), na_action="ignore")
 
