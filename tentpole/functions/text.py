@@ -129,7 +129,7 @@ def is_button(c: Column | str) -> Column:
 def visitors(c: Column | str) -> Column:
     """The one number in a text as digits, if from 10 to 5,000,000; else empty."""
     numbers = F.filter(F.transform(F.regexp_extract_all(clean(c), F.lit(r"\d[\d.\s']*\d|\d"), F.lit(0)), lambda x: F.regexp_replace(x, r"\D", "")), lambda x: x != "")
-    n = numbers[0].try_cast("decimal(38,0)")
+    n = F.try_element_at(numbers, F.lit(1)).try_cast("decimal(38,0)")
     return F.coalesce(F.when((F.size(numbers) == 1) & n.between(10, 5_000_000), n.cast("string")), F.lit(""))
 
 
