@@ -59,6 +59,11 @@ class Vocabulary:
     class_log: np.ndarray
     unigram: np.ndarray
 
+    @property
+    def code(self) -> type:
+        """What a symbol is stored as."""
+        return np.uint16 if len(self.unigram) <= 1 << 16 else np.int32
+
     def symbols(self, words: list[bytes]) -> np.ndarray:
         """Symbol of each word and of the end."""
         n, base = self.number.get, len(self.number) + 1
@@ -258,7 +263,7 @@ def _expected(vocab, model):
         for b in batches:
             texts = []
             for t in b.column(0):
-                s = v.symbols(words_of(t.as_py()))
+                s = np.frombuffer(t.as_buffer(), v.code)
                 texts += [s[k : k + LONGEST] for k in range(0, len(s), LONGEST)]
             _, s, w, e = gathered(texts, m)
             starts, moves, emissions = starts + s, moves + w, emissions + e
@@ -271,20 +276,17 @@ def _expected(vocab, model):
 
 
 def trained(train: DataFrame, vocab: Vocabulary, held, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch over all rows of ``train`` (``doc_id``, ``text``): each pass sums the counts of all partitions by symbol."""
+    """Baum-Welch over all rows of ``train`` (``doc_id``, ``symbols``): each pass sums the counts of all partitions by symbol."""
     sc = train.sparkSession.sparkContext
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([held.value.symbols(words_of(t.as_py()))[-START_TOKENS:].tobytes() for t in b.column(0)], pa.binary())], names=["symbols"])
-
     picked = train.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(START_DOCS)
-    some = train.join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("picked"), "left_semi").select("text").mapInArrow(encode, "symbols binary").limit(START_DOCS).collect()
-    model = first_model(sorted((np.frombuffer(r[0], np.int32) for r in some), key=lambda a: (len(a), a.tobytes())), vocab.unigram, states)
+    last = START_TOKENS * np.dtype(vocab.code).itemsize
+    some = train.join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("picked"), "left_semi").select(F.expr(f"substring(symbols, -{last}, {last})")).limit(START_DOCS).collect()
+    model = first_model(sorted((np.frombuffer(r[0], vocab.code) for r in some), key=lambda a: (len(a), a.tobytes())), vocab.unigram, states)
     names = [f"s{k}" for k in range(states)]
     for _ in range(passes):
         now = sc.broadcast(model)
-        rows = train.select("text").mapInArrow(_expected(held, now), "symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        rows = train.select("symbols").mapInArrow(_expected(held, now), "symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
         at, x = rows["symbol"].to_numpy(), np.stack([rows[n].to_numpy() for n in names], 1).reshape(-1, states)
         starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
         is_move = (at < 0) & (at >= -states)
@@ -296,52 +298,67 @@ def trained(train: DataFrame, vocab: Vocabulary, held, states: int = STATES, pas
     return model
 
 
-def scored(docs: DataFrame, held_out: str = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2", states: int = STATES, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Log10 probability of every text by the unigram base and by the model, both learned from rows that ``held_out`` does not name.
-
-    ``held_out`` is SQL over ``doc_id``; a null id counts as not held out. A
-    null text is empty: one token, its end. Repeated rows count and are scored
-    each; other columns are ignored; an empty table gives no rows.
-    """
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
-    train = rows.where("not held_out")
-    vocab, words = vocabulary(train)
-    shared = sc.broadcast(vocab)
-    model = sc.broadcast(trained(train, vocab, shared, states, passes))
+def _encoded(vocab):
+    """Each text as symbols, with what the known words alone give: so texts are taken apart once, not in every pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        v, m = shared.value, model.value
+        v = vocab.value
         row, base = TaskContext.get().partitionId() << 36, len(v.number) + 1
         log_end = float(np.log10(v.ends + 1))
         for big in batches:
             for k in range(0, big.num_rows, 2000):
                 b = big.slice(k, 2000)
-                texts, known, found, own, tails = [], [], [], [], []
+                symbols, lengths, known, found, own, tails = [], [], [], [], [], []
                 for t in b.column(1):
                     ws = words_of(t.as_py())
                     s = v.symbols(ws)
                     counts = np.array([v.count.get(w, 0) for w in ws], np.int64)
                     outside = s[:-1] >= base
                     logs = np.log10(counts + 1.0)
-                    texts.append(s)
+                    symbols.append(s.astype(v.code).tobytes())
+                    lengths.append(len(s))
                     found.append(int((counts > 0).sum()) + (v.ends > 0))
                     known.append(float(logs.sum()) + log_end)
                     own.append(float(logs[outside].sum() - v.class_log[s[:-1][outside] - base].sum()))
                     tails.append([ws[i] for i in np.flatnonzero(counts == 0)])
-                fit = np.zeros(len(texts))
-                for part in groups(texts):
-                    fit[part] = Batch([texts[i] for i in part]).forward(m)[0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + b.num_rows), pa.int64()), b.column(0), b.column(2), pa.array([len(s) for s in texts], pa.int64()), pa.array(found, pa.int64()), pa.array(known, pa.float64()), pa.array(fit + own), pa.array(tails, pa.list_(pa.binary()))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "found", "logs", "fit", "tail"],
+                    [pa.array(range(row, row + b.num_rows), pa.int64()), b.column(0), b.column(2), pa.array(lengths, pa.int64()), pa.array(found, pa.int64()), pa.array(known, pa.float64()), pa.array(own, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(symbols, pa.binary())],
+                    names=["row", "doc_id", "held_out", "n_tokens", "found", "logs", "own", "tail", "symbols"],
                 )
                 row += b.num_rows
 
-    made = saved(rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, found long, logs double, fit double, tail array<binary>"), "scores")
+    return run
+
+
+def scored(docs: DataFrame, held_out: str = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2", states: int = STATES, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Log10 probability of every text by the unigram base and by the model, both learned from rows that ``held_out`` does not name.
+
+    ``held_out`` is SQL over ``doc_id``; a null id counts as not held out. A
+    null text is empty: one token, its end. Repeated rows count and are scored
+    each; other columns are ignored; an empty table gives no rows.
+    """
+    sc = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
+    vocab, words = vocabulary(rows.where("not held_out"))
+    shared = sc.broadcast(vocab)
+    made = saved(rows.select("doc_id", "text", "held_out").mapInArrow(_encoded(shared), "row long, doc_id long, held_out boolean, n_tokens long, found long, logs double, own double, tail array<binary>, symbols binary"), "encoded")
+    model, code = sc.broadcast(trained(made.where("not held_out"), vocab, shared, states, passes)), vocab.code
+    rest = ["row", "doc_id", "held_out", "n_tokens", "found", "logs", "own"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for k in range(0, big.num_rows, 2000):
+                b = big.slice(k, 2000)
+                texts = [np.frombuffer(t.as_buffer(), code) for t in b.column(0)]
+                fit = np.zeros(len(texts))
+                for part in groups(texts):
+                    fit[part] = Batch([texts[i] for i in part]).forward(model.value)[0]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fit)], names=[*rest, "fit"])
+
+    fits = made.select("symbols", *rest).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, found long, logs double, own double, fit double")
     tail = made.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
     more = tail.join(words.select("word", "n"), "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("add"))
-    both = made.drop("tail").join(more, "row", "left").fillna(0, ["more"]).fillna(0.0, ["add"])
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("found") + F.col("more")).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), (F.col("logs") + F.col("add") - F.col("n_tokens") * F.lit(float(np.log10(vocab.tokens + vocab.distinct + 1)))).alias("base_score"), (F.col("fit") + F.col("add")).alias("score"))
+    both = fits.join(more, "row", "left").fillna(0, ["more"]).fillna(0.0, ["add"])
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("found") + F.col("more")).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), (F.col("logs") + F.col("add") - F.col("n_tokens") * F.lit(float(np.log10(vocab.tokens + vocab.distinct + 1)))).alias("base_score"), (F.col("fit") + F.col("own") + F.col("add")).alias("score"))
