@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,6 +49,11 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def collapsed(c: Column) -> Column:
     """White space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, SPACE, " "))
@@ -80,18 +86,19 @@ def fold(c: Column | str) -> Column:
 
 def joined(key: Column) -> Column:
     """A folded name without blanks if five characters or more are left; short names stay apart."""
-    tight = F.replace(key, F.lit(" "), F.lit(""))
-    return F.when(F.length(tight) >= 5, tight).otherwise(key)
+    return let(key, lambda k: F.when(F.length(F.replace(k, F.lit(" "), F.lit(""))) >= 5, F.replace(k, F.lit(" "), F.lit(""))).otherwise(k))
 
 
 def event_key_of_fold(folded: Column) -> Column:
     """Key of an event name from its fold: years and the words for festival go, unless nothing would be left."""
-    v = F.regexp_replace(folded, r"(?U)\b(19|20)\d{2}\b", " ")
-    v = F.regexp_replace(v, r"(?U)\b(festival|fest|open air|openair|open|air)\b", " ")
-    v = F.regexp_replace(v, r"(?U)(?<=\w{4})(festival|openair|fest)\b", " ")
-    v = F.regexp_replace(v, r"(?U)\b(festival|openair)(?=\w{4})", " ")
-    v = collapsed(v)
-    return F.when(v != "", v).otherwise(folded)
+
+    def stripped(v: Column) -> Column:
+        v = F.regexp_replace(v, r"(?U)\b(19|20)\d{2}\b", " ")
+        v = F.regexp_replace(v, r"(?U)\b(festival|fest|open air|openair|open|air)\b", " ")
+        v = F.regexp_replace(v, r"(?U)(?<=\w{4})(festival|openair|fest)\b", " ")
+        return collapsed(F.regexp_replace(v, r"(?U)\b(festival|openair)(?=\w{4})", " "))
+
+    return let(folded, lambda k: F.coalesce(F.nullif(stripped(k), F.lit("")), k))
 
 
 def event_key(c: Column | str) -> Column:
