@@ -115,9 +115,9 @@ def city_key(c: Column | str) -> Column:
     return fold(F.regexp_replace(_text(c), r"(?U)\b\d{4,6}\b", " "))
 
 
-def valid_band(c: Column | str) -> Column:
-    """Whether a text can be a band's name rather than a piece of a sentence or field."""
-    n = clean(c)
+def valid_band(c: Column | str, cleaned: bool = False) -> Column:
+    """Whether a text can be a band's name rather than a piece of a sentence or field; ``cleaned`` says that it is clean already."""
+    n = _text(c) if cleaned else clean(c)
     return (
         F.length(n).between(2, 90)
         & ~n.rlike(rf"(?iU)^({FILLERS})$")
