@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tentpole.functions import dates, genres, geo, money, text
-from tentpole.operators import aggregates, lookups, resolve, search, state
+from tentpole.operators import aggregates, greedy, lookups, resolve, search, state
 from tentpole.sources import pages as page_source
 from tentpole.streaming import prices
 
@@ -288,6 +288,12 @@ def unique_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "name", "name_key", "city_key", "start", "genre", F.size("sources").alias("n_sources"))
 
 
+@query("er09_resolved")
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = greedy.resolved(resolve.keyed(findings_of_documents(spark, sf_dir)))
+    return out.select("id", "name", "name_key", "city_key", "start", "end", "genre", F.size("sources").alias("n_sources"))
+
+
 # --- state across runs
 
 
