@@ -7,6 +7,9 @@ fingerprints differ by at most ``slack`` bits in some segment. There, the
 nearest anchor of the one lies within ``3 + slack`` of the other. So each
 fingerprint is at home at its nearest anchor, is replicated to all anchors
 within ``3 + slack``, and is compared at each anchor with those at home there.
+
+Where a scheme asks for a similarity, these links are candidates only: texts of
+a group of candidates are compared by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ GENERATOR, LENGTH, DIMENSION, RADIUS = 0xC75, 23, 12, 3
 SEED = 42
 #: An anchor with more homes or replicas than this is cut into a grid of cells of at most that many each.
 CELL = 20_000
+#: A group of candidates with more shingles than this is cut into parts of about that many; a task meets two parts at a time.
+PART = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -39,6 +44,8 @@ class Scheme:
     ``shingle`` words a shingle; ``words`` 64-bit words a fingerprint;
     ``segments`` as (first bit, bits) within it, each inside one word;
     ``slack`` as above; ``threshold`` bits by which linked ones may differ.
+    With ``percent``, texts are linked if their sets of shingles have a
+    Jaccard similarity of that many percent, and bits only give candidates.
     """
 
     shingle: int
@@ -46,13 +53,14 @@ class Scheme:
     segments: tuple[tuple[int, int], ...]
     slack: int
     threshold: int
+    percent: int = 0
 
 
 #: At most 4 of 64 bits differ, so one of three segments differs by at most 1: no link is missed.
 FOUR_BITS = Scheme(4, 1, ((0, 21), (21, 21), (42, 22)), 1, 4)
-#: Shingles of five words, 256 bits. Texts with a similarity (Jaccard) of 0.8 differ in 39 bits on average, those
-#: with 0.85 in 33, those with 0.7 in 49; the threshold of 44 takes nearly all from 0.85 up and most from 0.8 up.
-SIMILAR = Scheme(5, 4, tuple((64 * w + 21 * k, 21) for w in range(4) for k in range(3)), 1, 44)
+#: Shingles of five words, similarity (Jaccard) of 0.8 or more. Texts at 0.8 differ in 39 of 256 bits on average, with a
+#: deviation of 6, so 60 bits leave out about one pair in several thousand there, and fewer above.
+SIMILAR = Scheme(5, 4, tuple((64 * w + 21 * k, 21) for w in range(4) for k in range(3)), 1, 60, 80)
 
 
 @lru_cache(maxsize=1)
@@ -121,17 +129,39 @@ def _columns(scheme: Scheme) -> list[str]:
     return [f"f{k}" for k in range(scheme.words)]
 
 
+def _sized(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The hashes that a text's fingerprint and comparison take: each once if sets of shingles count."""
+    return np.unique(hashes) if scheme.percent else hashes
+
+
+def _row_key() -> F.Column:
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.select("doc_id", _row_key(), F.col("text").cast("binary").alias("text"))
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme = FOUR_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and the words ``f0``, ``f1``, ... of every row's fingerprint, as signed longs; a null text is empty."""
-    names = ["doc_id", *_columns(scheme)]
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    """``doc_id`` and the words ``f0``, ``f1``, ... of every row's fingerprint, as signed longs; a null text is empty.
+
+    Besides, ``row``, a hash of id and text, and ``shingles``, a hash of the
+    set of shingles (0 if the scheme compares fingerprints only).
+    """
+    names = ["doc_id", "row", "shingles", *_columns(scheme)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([fingerprint(shingle_hashes(t.as_py() or b"", scheme.shingle), scheme.words) for t in b.column(1)], np.uint64).reshape(-1, scheme.words)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(made[:, k].view(np.int64)) for k in range(scheme.words))], names=names)
+            made, sets = np.zeros((b.num_rows, scheme.words), np.uint64), np.zeros(b.num_rows, np.uint64)
+            for i, t in enumerate(b.column(2)):
+                hashes = _sized(shingle_hashes(t.as_py() or b"", scheme.shingle), scheme)
+                made[i] = fingerprint(hashes, scheme.words)
+                if scheme.percent:
+                    sets[i] = xxh64_intdigest(hashes.tobytes(), SEED)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets.view(np.int64)), *(pa.array(made[:, k].copy().view(np.int64)) for k in range(scheme.words))], names=names)
 
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return _rows(docs, doc_id, text).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _replicas(scheme: Scheme, only_cells: bool = False):
@@ -231,19 +261,96 @@ def _gridded(replicas: DataFrame, sizes: DataFrame, scheme: Scheme) -> DataFrame
     return whole.union(others).union(homes)
 
 
-def near_duplicates(docs: DataFrame, scheme: Scheme = FOUR_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's fingerprint (hex, 16 digits a word) and ``component_id``, the smallest id that links reach from it.
+def similar_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Labels (a row) of sets that a Jaccard similarity of at least ``percent`` connects.
 
-    Rows with one fingerprint count once from there on; links are found between
-    different fingerprints only and kept as forests, never as all pairs of a
-    group. A null text counts as empty (fingerprint zero, linked like any
-    other); rows with a null id take part and have a null component if they
-    reach no other; repeated rows give a row each; other columns are ignored;
-    an empty table gives no rows.
+    Pivots meet all sets through the lists of who holds which member. Pairs
+    that are connected already need no look, so only sets outside the largest
+    group become pivots: at the end, of two sets in different groups one was.
     """
+    n = len(sets)
+    label, size = np.arange(n), np.array([len(x) for x in sets])
+    owner = np.repeat(label, size)
+    members, which = np.unique(np.concatenate(sets), return_inverse=True)
+    held = owner[np.argsort(which, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(members)))])
+    first = np.concatenate([[0], np.cumsum(size)])
+    todo = np.ones(n, bool)
+    while True:
+        left = np.flatnonzero(todo & (label != np.bincount(label, minlength=n).argmax()))
+        if not len(left):
+            return label
+        x = left[0]
+        todo[x] = False
+        own = which[first[x] : first[x + 1]]
+        many = start[own + 1] - start[own]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[own], many)
+        common = np.bincount(held[at], minlength=n)
+        linked = 100 * common >= percent * (size + size[x] - common)
+        linked[x] = True
+        met = np.unique(label[linked])
+        label[np.isin(label, met)] = met[0]
+
+
+def _streamed(made):
+    """For rows (cell, node, shingles) that come cell by cell: the links of each cell as a forest, by ``made(sets)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, sets = None, [], []
+
+        def links() -> pa.RecordBatch | None:
+            label = made(sets) if len(sets) > 1 else np.arange(len(sets))
+            moved = np.flatnonzero(label != np.arange(len(sets)))
+            ids = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"]) if len(moved) else None
+
+        for b in batches:
+            for c, node, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if c != cell:
+                    if (e := links()) is not None:
+                        yield e
+                    cell, nodes, sets = c, [], []
+                # Repeated rows come one after the other.
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(held.as_py(), np.uint64))
+        if (e := links()) is not None:
+            yield e
+
+    return run
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame:
+    """The links between ``nodes`` (node, row) of one group of ``candidates`` (node, component) whose texts are similar.
+
+    All pairs of a group count, whether or not their fingerprints are near. A
+    group's sets of shingles meet in one task, those of a large group two parts
+    in a task, for all pairs of parts.
+    """
+    wanted = nodes.join(candidates, "node").select("row", "node", "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_sized(shingle_hashes(t.as_py() or b"", scheme.shingle), scheme) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["component", "node", "n", "held"])
+
+    texts = _rows(docs, doc_id, text).select("row", "text").join(wanted, "row").select("component", "node", "text")
+    sets = saved(texts.mapInArrow(run, "component long, node long, n long, held binary"), "shingles")
+    big = saved(sets.groupBy("component").agg(F.ceil(F.sum("n") / PART).alias("p")).where("p > 1"), "large")
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("p"))
+    marked = sets.join(F.broadcast(big), "component", "left").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("p"), F.lit(1)) - 1)))
+    cell = F.when(F.col("p").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("component", F.least(part, "j"), F.greatest(part, "j")))
+    cells = marked.select(cell.alias("cell"), "node", "held").repartition("cell").sortWithinPartitions("cell", "node")
+    percent = scheme.percent
+    return saved(cells.mapInArrow(_streamed(lambda s: similar_sets(s, percent)), "a long, b long"), "edges")
+
+
+def _grouped(docs: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame:
+    """Every row's ``doc_id``, ``row``, fingerprint words, ``component`` and ``component_id``."""
     words = _columns(scheme)
-    made = saved(fingerprints(docs, scheme, doc_id, text).withColumn("node", F.col("f0") if scheme.words == 1 else F.xxhash64(*words)), "fingerprints")
-    nodes = saved(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), *(F.any_value(w).alias(w) for w in words)), "nodes")
+    node = F.xxhash64(*words, "shingles") if scheme.percent else F.col("f0") if scheme.words == 1 else F.xxhash64(*words)
+    made = saved(fingerprints(docs, scheme, doc_id, text).withColumn("node", node), "fingerprints")
+    nodes = saved(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), *(F.any_value(w).alias(w) for w in words)), "nodes")
     points = nodes.select("node", *words)
     run, schema = _replicas(scheme, only_cells=True)
     sizes = points.mapInArrow(run, schema).groupBy("cell").agg(F.sum(F.col("role") - 2).alias("homes"), F.count(F.lit(1)).alias("rows"))
@@ -251,14 +358,30 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = FOUR_BITS, doc_id: str = "
     cells = _gridded(points.mapInArrow(run, schema), sizes, scheme)
     edges = saved(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(scheme), "a long, b long"), "edges")
     reached = connected_components(edges)
+    if scheme.percent:
+        # The smallest node of a component has no row in what reaches it.
+        found = reached.union(reached.select(F.col("component").alias("node"), "component")).distinct()
+        reached = connected_components(confirmed(docs, nodes.select("node", "row"), found, scheme, doc_id, text))
     both = nodes.select("node", "least", "rows").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     linked = both.where(F.col("component").isNotNull())
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    table = saved(lookup_join(linked, least, "component").select("node", "component_id", "rows"), "components")
+    table = saved(lookup_join(linked, least, "component").select("node", "component", "component_id", "rows"), "components")
     heavy = [r[0] for r in table.where(F.col("rows") >= CELL).orderBy(F.desc("rows")).limit(1000).select("node").collect()]
-    out = lookup_join(made, table.drop("rows"), "node", "left", heavy)
-    digits = F.concat(*(F.lpad(F.lower(F.hex(w)), 16, "0") for w in words))
-    return out.select("doc_id", digits.alias("fingerprint"), "component_id")
+    return lookup_join(made, table.drop("rows"), "node", "left", heavy)
+
+
+def near_duplicates(docs: DataFrame, scheme: Scheme = FOUR_BITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row's fingerprint (hex, 16 digits a word) and ``component_id``, the smallest id that links reach from it.
+
+    Rows with one fingerprint (and one set of shingles, if the scheme has a
+    ``percent``) count once from there on; links are found between the others
+    only and kept as forests, never as all pairs of a group. A null text counts
+    as empty (fingerprint zero, linked like any other); rows with a null id
+    take part and have a null component if they reach no other; repeated rows
+    give a row each; other columns are ignored; an empty table gives no rows.
+    """
+    digits = F.concat(*(F.lpad(F.lower(F.hex(w)), 16, "0") for w in _columns(scheme)))
+    return _grouped(docs, scheme, doc_id, text).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, scheme: Scheme = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

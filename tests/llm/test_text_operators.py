@@ -249,3 +249,44 @@ def test_lookup_join_with_a_heavy_key(spark):
     plain = Counter(map(tuple, rows_.join(table, "key", "left").collect()))
     assert Counter(map(tuple, common.lookup_join(rows_, table, "key", "left", [1]).collect())) == plain
     assert common.heavy_keys(rows_, "key", share=0.5, least=10) == [1]
+
+
+def with_similarity(percent: int, k: int, n: int = 180) -> tuple[str, str]:
+    """Two texts of words that occur once, whose sets of five-word shingles have about that similarity; the tail differs."""
+    same = round(2 * n * percent / (100 + percent))
+    left, right = ([f"w{k}x{i}" for i in range(same + 4)] + [f"{side}{k}x{i}" for i in range(n - same)] for side in "ab")
+    return " ".join(left), " ".join(right)
+
+
+@pytest.mark.parametrize("part", [simhash.PART, 500])
+def test_near_duplicates_are_those_with_similar_sets_of_shingles(spark, monkeypatch, part):
+    """Pairs at 0.70, 0.78, 0.80 and 0.85: the first two never, the others always; a chain links its ends."""
+    monkeypatch.setattr(simhash, "PART", part)
+    table, linked = [], {}
+    for at, percent in enumerate((70, 78, 80, 85)):
+        for k in range(60):
+            i = 1000 * at + 2 * k
+            a, b = with_similarity(percent, 100 * at + k)
+            x, y = ({tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in (a, b))
+            linked[i] = len(x & y) >= 0.8 * len(x | y)
+            table += [(i, a), (i + 1, b)]
+        assert {linked[i] for i in range(1000 * at, 1000 * at + 120, 2)} == {percent >= 80}
+    base = [f"c{i}" for i in range(200)]
+    table += [(9000 + k, " ".join(base[10 * k :] + [f"d{i}" for i in range(10 * k)])) for k in range(8)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(3), simhash.SIMILAR).collect()}
+    assert len(got) == len(table)
+    assert {i: got[i] == got[i + 1] for i in linked} == linked
+    assert {got[9000 + k] for k in range(8)} == {9000}
+
+
+def test_similar_sets_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sets = [np.unique(rng.choice(14, rng.integers(1, 13)).astype(np.uint64)) for _ in range(25)]
+        expected = list(range(25))
+        for i in range(25):
+            for j in range(i):
+                if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])):
+                    expected = [expected[j] if e == expected[i] else e for e in expected]
+        got = simhash.similar_sets(sets, 80)
+        assert len({*zip(expected, got.tolist(), strict=True)}) == len(set(expected)) == len(set(got.tolist()))
