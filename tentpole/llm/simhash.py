@@ -387,9 +387,12 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = FOUR_BITS, doc_id: str = "
 def deduplicated(docs: DataFrame, scheme: Scheme = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the smallest id of each group of near-duplicates, in their own columns.
 
-    Rows without an id stay as they are; of repeated rows with one id, one stays.
+    Rows without an id stay as they are. Of rows with one id and similar texts,
+    one stays; those with unlike texts are in groups of their own and stay.
     """
-    found = near_duplicates(docs, scheme, doc_id, text)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    ours = docs.join(keep, F.col(doc_id) == F.col("__kept"), "left_semi").dropDuplicates([doc_id])
-    return ours.unionByName(docs.where(F.col(doc_id).isNull()))
+    found = _grouped(docs, scheme, doc_id, text)
+    least = found.where(F.col("doc_id") == F.col("component_id"))
+    keep = least.groupBy("component", "doc_id").agg(F.min("row").alias("__hash")).select(F.col("doc_id").alias("__kept"), "__hash")
+    key = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+    ours = docs.withColumn("__row", key).join(keep, (F.col(doc_id).cast("long") == F.col("__kept")) & (F.col("__row") == F.col("__hash")), "left_semi")
+    return ours.dropDuplicates([doc_id, "__row"]).drop("__row").unionByName(docs.where(F.col(doc_id).isNull()))

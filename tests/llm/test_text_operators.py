@@ -290,3 +290,11 @@ def test_similar_sets_equal_brute_force():
                     expected = [expected[j] if e == expected[i] else e for e in expected]
         got = simhash.similar_sets(sets, 80)
         assert len({*zip(expected, got.tolist(), strict=True)}) == len(set(expected)) == len(set(got.tolist()))
+
+
+def test_rows_with_one_id_and_unlike_texts_stay(spark):
+    near = prose(900, 200)
+    table = [(1, prose(901, 100)), (1, prose(902, 100)), (1, prose(902, 100)), (2, near), (2, near + " more"), (3, near + " again"), (None, near)]
+    got = simhash.deduplicated(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(r.doc_id for r in got) == {1: 2, 2: 1, None: 1}
+    assert {r.text for r in got if r.doc_id == 1} == {prose(901, 100), prose(902, 100)}
