@@ -18,6 +18,8 @@ from tentpole.llm.common import lookup_join, saved
 PATHS = 8
 #: Characters from which a block counts in full; the longest block of a page always does.
 LONG = 120
+#: A path that other pages of the host chose too goes first on a page where its own score is at most this far from the best.
+CLOSE = 0.3
 #: Up to this many hosts, their paths (PATHS short strings each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
 
@@ -55,6 +57,8 @@ class Element:
     #: 0: may hold text, 1: only headings count (a header), 2: no article text.
     drop: int
     number: int = -1
+    #: Named like boilerplate by class or id only, which holds unless the element holds most of the page or its article.
+    marked: bool = False
 
 
 @dataclass(slots=True)
@@ -64,6 +68,8 @@ class Block:
     heading: str
     linked: int
     drop: int
+    #: The innermost element around the text.
+    of: Element
 
 
 @dataclass
@@ -78,14 +84,18 @@ def _attributes(rest: str) -> dict[str, str]:
 
 @lru_cache(maxsize=8192)
 def _kind(tag: str, rest: str) -> tuple[str, int]:
-    """The generalised name of an element, tag and class words (or id) without digits, and 0: plain, 1: header, 2: boilerplate."""
+    """The generalised name of an element, tag and class words (or id) without digits, and 0: plain, 1: header, 2: boilerplate, 4: boilerplate by class or id only."""
     attributes = _attributes(rest)
     words = [w.lower() for name in ("class", "id") for w in WORD.findall(attributes.get(name, ""))]
     names = WORD.findall(attributes.get("class", "")) or WORD.findall(attributes.get("id", ""))
     key = tag + "".join(f".{w.lower()}" for w in sorted(set(names))[:4])
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)
     whole = tag in ("html", "body", "article", "main")
-    if tag in BOILERPLATE_TAGS or hidden or attributes.get("role", "").lower() in BOILERPLATE_ROLES or not whole and not BOILERPLATE_WORDS.isdisjoint(words):
+    if tag in BOILERPLATE_TAGS or hidden or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
+        return key, 2
+    if not whole and tag != "header" and not BOILERPLATE_WORDS.isdisjoint(words):
+        return key, 4
+    if tag == "header" and not BOILERPLATE_WORDS.isdisjoint(words):
         return key, 2
     if tag == "header" or not whole and tag not in HEADINGS and not HEADER_WORDS.isdisjoint(words):
         return key, 1 if ARTICLE_WORDS.isdisjoint(words) else 3
@@ -104,7 +114,76 @@ def _element(tag: str, rest: str, parent: Element) -> Element:
         while inside and inside.tag not in ("article", "main"):
             inside = inside.parent
         drop = 1 if inside or kind == 3 else 2
-    return Element(tag, f"{parent.path}/{key}" if block else parent.path, parent, max(drop, parent.drop))
+    return Element(tag, f"{parent.path}/{key}" if block else parent.path, parent, max(drop, parent.drop), marked=kind == 4)
+
+
+def _marks(page: Page) -> None:
+    """Drop the blocks in elements named like boilerplate, except in those that hold most of the page or its article.
+
+    Such a name counts for nothing if the element's own text, without what is
+    in further such elements, is over half of the page's and no h1 stands
+    outside only; or if an article or main element in it holds at least as much
+    as all text outside. If nothing but marked text is left, the element with
+    an article or main, an h1, or else the most own text counts as plain.
+    """
+    live = [b for b in page.blocks if is_article(b)]
+    around: list[list[Element]] = []
+    for b in live:
+        up, e = [], b.of
+        while e:
+            if e.marked or e.tag in ("article", "main"):
+                up.append(e)
+            e = e.parent
+        around.append(up)
+    if not any(e.marked for up in around for e in up):
+        return
+    size = [len(b.text) if 2 * b.linked < len(b.text) else 0 for b in live]
+    total, titles = sum(size), sum(b.heading == "h1" for b in live)
+    depth: dict[int, int] = {}
+    by_id: dict[int, Element] = {}
+    held: dict[int, int] = {}
+    headed: dict[int, int] = {}
+    inner: dict[tuple[int, int], int] = {}
+    for n, b, up in zip(size, live, around, strict=True):
+        for k, e in enumerate(up):
+            if e.marked:
+                by_id[id(e)] = e
+                depth[id(e)] = len(up) - k
+                held[id(e)] = held.get(id(e), 0) + n
+                headed[id(e)] = headed.get(id(e), 0) + (b.heading == "h1")
+                # Articles in it, but not those in further marked elements.
+                for a in up[:k][::-1]:
+                    if a.marked:
+                        break
+                    inner[id(e), id(a)] = inner.get((id(e), id(a)), 0) + n
+
+    main: dict[int, int] = {}
+    for (i, _), n in inner.items():
+        main[i] = max(main.get(i, 0), n)
+    # Text whose innermost marked element is this one; an unmarked element's goes to the next around it.
+    net: dict[int, int] = {i: 0 for i in by_id}
+    for n, up in zip(size, around, strict=True):
+        if own := next((e for e in up if e.marked), None):
+            net[id(own)] += n
+    for i in sorted(by_id, key=lambda i: -depth[i]):
+        e = by_id[i]
+        if main.get(i) and main[i] >= total - held[i] or 2 * net[i] > total and (headed[i] or not titles):
+            e.marked = False
+            outer = e.parent
+            while outer and not outer.marked:
+                outer = outer.parent
+            if outer:
+                net[id(outer)] += net[i]
+    if not any(n and not any(e.marked for e in up) for n, up in zip(size, around, strict=True)):
+        left = [e for e in by_id.values() if e.marked and net[id(e)] >= LONG]
+        if left:
+            e = max(left, key=lambda e: (id(e) in main, headed[id(e)] > 0, net[id(e)]))
+            while e:
+                e.marked = False
+                e = e.parent
+    for b, up in zip(live, around, strict=True):
+        if any(e.marked for e in up):
+            b.drop = 2
 
 
 def parsed(source: str) -> Page:
@@ -127,7 +206,7 @@ def parsed(source: str) -> Page:
             while at.tag not in CONTAINERS and at.parent:
                 heading = heading or (at.tag if at.tag in HEADINGS else "")
                 at = at.parent
-            page.blocks.append(Block(joined, at, heading, linked, here.drop))
+            page.blocks.append(Block(joined, at, heading, linked, here.drop, here))
         text.clear()
         linked = 0
 
@@ -196,6 +275,7 @@ def parsed(source: str) -> Page:
         text.append(source[at:])
     up_to(root)
     flush()
+    _marks(page)
     return page
 
 
@@ -249,15 +329,19 @@ def best_of(own: dict[str, float]) -> str:
     return max(own, key=lambda p: (own[p], p))
 
 
-def extracted(page: Page, paths: list[str]) -> str:
+def extracted(page: Page, paths: list[str], backed: int = 0) -> str:
     """The article's blocks, joined by two line ends, from the first of ``paths`` that gives any.
 
-    Without one, the page's own best container is taken; an empty page gives
-    the empty text.
+    The first ``backed`` paths are the best of several pages each; those of
+    them that are close to the page's own best go before all, so a page of a
+    rarer template does not end with a small box that has the usual path.
+    Without a path, the page's own best container is taken; an empty page
+    gives the empty text.
     """
     own = scores(page)
     best = [best_of(own)] if own else []
-    for path in [p for p in paths if p in own] + best:
+    close = [p for p in paths[:backed] if p in own and own[p] >= own[best[0]] - CLOSE]
+    for path in close + [p for p in paths if p in own] + best:
         out = []
         for b in page.blocks:
             if is_article(b):
@@ -296,12 +380,12 @@ def votes(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame
 
 
 def winners(voted: DataFrame, paths: int = PATHS) -> DataFrame:
-    """The best paths of each host, best first: ``host``, ``paths``."""
+    """The best paths of each host, best first: ``host``, ``paths``, and how many of them several pages voted for: ``backed``."""
     # Votes, rounded scores, then the path make the order the same on every run.
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), F.desc("score"), F.desc("path")))
     few = voted.withColumn("place", place).where(F.col("place") <= paths)
-    ranked = few.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("all"))
-    return ranked.select("host", F.transform("all", lambda x: x["path"]).alias("paths"))
+    ranked = few.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("all"), F.count_if(F.col("pages") > 1).alias("backed"))
+    return ranked.select("host", F.transform("all", lambda x: x["path"]).alias("paths"), "backed")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
@@ -320,7 +404,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extracted(parsed(s.as_py() or ""), p or []) for s, p in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+            texts = [extracted(parsed(s.as_py() or ""), p or [], n or 0) for s, p, n in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "paths", "backed").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -105,3 +105,21 @@ def test_odd_pages(spark):
     assert len(got) == len(table) and all(n == len(t) for _, t, n in got)
     assert text[1] == text[2] == text[5] == text[6] == ""
     assert (text[3], text[4], text[None], text[7], text[8]) == ("just text & no tags", "open never closed", "a b", "&bogus; <tag> A", "deep")
+
+
+@pytest.mark.parametrize("shell", [
+    "<body><div class='layout has-sidebar'><article>{}</article></div></body>",
+    "<body><div class='content with-comments'>{}<div class='comments'><p>Great post, I really liked it a lot.</p></div></div></body>",
+    "<body><div class='post related-post'>{}</div><div class='related'><p>Other things to read</p></div></body>",
+    "<body><div class='page-wrap ad-free'><div class='sidebar'>Links</div><div class='layout has-sidebar'>{}</div></div></body>",
+])
+def test_a_wrapper_named_like_boilerplate_keeps_its_article(shell):
+    assert html_extract.extracted(html_extract.parsed(shell.format(ARTICLE)), []) == TEXT
+
+
+def test_a_rarer_template_with_the_usual_path_on_a_small_box(spark):
+    usual = [(k, "http://h.example/%d" % k, f"<body><div><h1>Title {k}</h1><p>" + f"Usual text number {k} of some length. " * 9 + "</p></div></body>") for k in range(6)]
+    rare = [(10 + k, "http://h.example/r%d" % k, f"<body><div><p>Small box.</p></div><section class=text><h1>Rare {k}</h1><p>" + f"Rare text number {k} of some length. " * 9 + "</p></section></body>") for k in range(2)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame([*usual, *rare], "page_id long, url string, html string")).collect()}
+    assert all(got[10 + k].startswith(f"Rare {k}\n\nRare text") for k in range(2))
+    assert all(got[k].startswith(f"Title {k}\n\nUsual text") for k in range(6))
