@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +40,19 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special, of = {t["content"] for t in spec.get("added_tokens", [])}, byte_alphabet()
+    added, of = spec.get("added_tokens", []), byte_alphabet()
+    if odd := [t["content"] for t in added if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+        raise ValueError(f"added tokens that take in their surroundings are not supported: {odd}")
+    special = {t["content"]: t["id"] for t in added}
     ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+
+def encoding(path: str) -> Callable[[str], list[int]]:
+    """The ids of a text by the vocabulary file, added tokens included."""
+    own = encoder(path)
+    every = own.special_tokens_set
+    return lambda text: own.encode(text, allowed_special=every)
 
 
 class Levels:
@@ -149,38 +159,35 @@ def packed(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, doc_id: s
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() * PER_PARTITION
-        encode = encoder(tokenizer_path).encode_ordinary
-        ids: list[int | None] = []
-        totals: list[int] = []
-        held: dict[int, tuple[int, np.ndarray]] = {}
+        encode = encoding(tokenizer_path)
+        # Of each document that is not wholly placed: its id, its tokens in all, how many are placed, and its ids from a place on.
+        held: dict[int, tuple[int | None, int, int, int, np.ndarray]] = {}
         rows: list[tuple] = []
 
         def lengths() -> Iterator[int]:
+            k = 0
             for batch in batches:
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     tokens = np.array(encode(t.as_py() or "") + [0], dtype="<u4")
-                    n = len(tokens)
-                    ids.append(d)
-                    totals.append(n)
-                    held[len(ids) - 1] = (0, tokens)
-                    yield n
-                    tail = n - n % size
-                    if len(ids) - 1 in held:
-                        held[len(ids) - 1] = (tail, tokens[tail:].copy())
+                    held[k] = (d, len(tokens), 0, 0, tokens)
+                    yield len(tokens)
+                    if k in held:  # its full windows are placed: only the rest is still wanted
+                        d, n, placed, _, tokens = held[k]
+                        held[k] = (d, n, placed, n - n % size, tokens[n - n % size :].copy())
+                    k += 1
 
         def out() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        placed: dict[int, int] = defaultdict(int)
-        for doc, start, length, sequence, offset in pack(lengths(), size):
-            first, tokens = held[doc]
-            piece = tokens[start - first : start - first + length]
-            rows.append((ids[doc], start, length, zlib.crc32(piece.tobytes()), totals[doc], base + sequence, offset))
-            placed[doc] += length
-            if placed[doc] == totals[doc]:
-                del held[doc], placed[doc]
+        for k, start, length, sequence, offset in pack(lengths(), size):
+            d, n, placed, first, tokens = held[k]
+            rows.append((d, start, length, zlib.crc32(tokens[start - first : start - first + length].tobytes()), n, base + sequence, offset))
+            if placed + length == n:
+                del held[k]
+            else:
+                held[k] = (d, n, placed + length, first, tokens)
             if len(rows) >= 20_000:
                 yield out()
         if rows:

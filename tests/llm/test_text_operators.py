@@ -53,7 +53,6 @@ def test_packing_keeps_every_token_once(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_file())
-    t.encode_special_tokens = True
     expected = Counter()
     for i, text, *_ in rows():
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -81,12 +80,44 @@ def test_tokens_equal_the_tokenizer_file(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_file())
-    t.encode_special_tokens = True
-    encode = packing.encoder(queries.tokenizer_file()).encode_ordinary
-    for text in ["", "Hello  world's\n\n  it's ", "Ünïcode ßtraße 日本語 emoji 🎪🎟", "<|endoftext|> x", "a" * 5000, "\u0000\r\n\t end ", "1234567890" * 3, "ÉAU!! ###$$$ é̀"]:
+    encode = packing.encoding(queries.tokenizer_file())
+    for text in ["", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>\n\n <|endoftext|><|endoftext|>  y  ", "<|endoftext", "Hello  world's\n\n  it's ", "Ünïcode ßtraße 日本語 emoji 🎪🎟", "<|endoftext|> x", "a" * 5000, "\u0000\r\n\t end ", "1234567890" * 3, "ÉAU!! ###$$$ é̀"]:
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_takes_added_tokens_as_the_file_does(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_file())
+    texts = ["<|endoftext|>", "end <|endoftext|> start  <|endoftext|>\n", "<|endoftext|>" * 1500]
+    for r in packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer_file()).collect():
+        ids = np.array(t.encode(texts[r.doc_id], add_special_tokens=False).ids + [0], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
+def test_places_are_those_of_least_sum_of_squares():
+    """Each choice of ``Levels`` against the sum of squared counts of all levels, tried one by one."""
+    rng, size = random.Random(8), 12
+    levels, fill, made = packing.Levels(size), Counter(), 0
+    for _ in range(4000):
+        s = rng.randrange(1, size + 1)
+
+        def total(at, s=s):
+            after = fill.copy()
+            after[at] -= at > 0
+            after[at + s] += at + s < size
+            return sum(n * n for level, n in after.items() if 0 < level < size)
+
+        options = [0] + [f for f in range(1, size - s + 1) if fill[f]]
+        best = min(total(f) for f in options)
+        window, at = levels.place(s)
+        assert at == max(f for f in options if total(f) == best)
+        fill[at] -= at > 0
+        fill[at + s] += at + s < size
+        made += window is None
+        levels.keep(made if window is None else window, at + s)
+
+
 def test_levels_fill_windows():
     rng = random.Random(5)
     lengths = [rng.randrange(0, 3000) if rng.random() < 0.3 else rng.randrange(1, 700) for _ in range(3000)]
