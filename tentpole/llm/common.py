@@ -1,56 +1,20 @@
-"""Helpers shared by the operators: intermediate tables, skew-safe lookups, components."""
+"""Helpers shared by the operators: skew-safe lookups and components, besides the intermediate tables of :mod:`tentpole.scratch`."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tentpole.scratch import dropped, made, released, saved, scratch_path, shared_dir
+
+__all__ = ["connected_components", "dropped", "heavy_keys", "lookup_join", "made", "released", "saved", "scratch_path", "shared_dir"]
+
 #: A key is heavy when it holds at least this share of the rows, so at most 1 / HEAVY_SHARE keys are.
 HEAVY_SHARE = 0.001
 #: No key with fewer rows counts as heavy: one task can take that many.
 HEAVY_ROWS = 20_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests in local mode) a folder in the
-    warehouse is taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tentpole_scratch"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
-
-    The files outlive any executor, unlike a cache or a local checkpoint. The
-    path is kept on the returned frame for :func:`dropped`.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tentpole_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a frame from :func:`saved` that nobody reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tentpole_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> list:
     """Keys with at least ``max(least, share * rows)`` rows: no more than ``1 / share`` of them."""
     counts = df.groupBy(key).count()
@@ -94,12 +58,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = tuple(mark)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        # The minimum of each node stands by itself before it meets the node's rows again, so that the rows of a node with very many can be split.
+        low = saved(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "low")
+        large = saved(both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = saved(small.select("e.*").where(F.col("u") != F.col("v")).distinct(), "links")
-        dropped(now)
+        for old in (now, low, large, least):
+            dropped(old)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
