@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -11,17 +12,18 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from tentpole.llm.common import lookup_join, saved
 
-#: Paths kept of a host, best first. A page on which none of them occurs uses its own best container.
+#: Paths that win on a host, best first; a page on which none of them occurs uses its own best container, so none is lost by it.
 PATHS = 8
 #: Characters from which a block counts in full; the longest block of a page always does.
 LONG = 120
 #: A path that other pages of the host chose too goes first on a page where its own score is at most this far from the best.
 CLOSE = 0.3
-#: Up to this many hosts, their paths (PATHS short strings each) are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 20_000
+#: Up to this many bytes of host names and path keys, the winners are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 8_000_000
 
 # Element names of HTML by the part they play here.
 RAW = set("script style noscript template textarea iframe svg math object select canvas audio video title".split())
@@ -42,23 +44,44 @@ HEADER_WORDS = {"header", "topnav", "siteheader"}
 ARTICLE_WORDS = set("post entry article story content title page main".split())
 #: A start tag of one of the first closes an open element of the second kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+CLOSABLE = {"p"} | HEADINGS | set().union(*CLOSES.values())
+#: The end tag of each element whose content is no markup.
+END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 
 TOKEN = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*)((?:[^>"'<]++|"[^"]*"|'[^']*')*+)>|(!--)|(/?)([a-zA-Z][^\s/>]*)[^>]*>?|[!?][^>]*>?)""")
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 TELLING = re.compile(r"class|id=|hidden|role|style")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-@dataclass(slots=True)
+@dataclass(slots=True, eq=False)
 class Element:
+    """An open or closed element. What it needs to know of those around it stands in it, so no step walks upwards.
+
+    ``path`` is a 64-bit key of the generalised names from the root down, chained from that of the parent.
+    """
+
     tag: str
-    path: str
+    path: int
     parent: Element | None
     #: 0: may hold text, 1: only headings count (a header), 2: no article text.
     drop: int
-    number: int = -1
+    #: Elements above it, and block elements above it (parts of its path).
+    depth: int = 0
+    level: int = 0
+    #: The innermost container, itself included, and the innermost heading below that.
+    within: Element | None = None
+    heading: str = ""
+    #: Whether an article or main element is around it or it is one.
+    in_article: bool = False
+    #: Of elements that others may close: the outermost open one below the innermost container, by tag.
+    outer: dict[str, Element] = field(default_factory=dict)
     #: Named like boilerplate by class or id only, which holds unless the element holds most of the page or its article.
     marked: bool = False
+    #: The innermost element, itself included, that is marked or an article or main element; None without one.
+    special: Element | None = None
+    #: Its number among the containers of the page, in order of start tags; -1 if it is none.
+    number: int = -1
 
 
 @dataclass(slots=True)
@@ -76,12 +99,24 @@ class Block:
 class Page:
     blocks: list[Block] = field(default_factory=list)
     containers: list[Element] = field(default_factory=list)
+    #: Marked elements, articles and main elements, in order of start tags.
+    special: list[Element] = field(default_factory=list)
 
 
 def _attributes(rest: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
 
 
+#: Start tags longer than this are not remembered.
+LONG_TAG = 500
+
+
+@lru_cache(maxsize=65_536)
+def _chained(path: int, key: str) -> int:
+    """The path of an element with a generalised name below another path; the same in every process."""
+    return xxh64_intdigest(key, path)
+
+
 @lru_cache(maxsize=8192)
 def _kind(tag: str, rest: str) -> tuple[str, int]:
     """The generalised name of an element, tag and class words (or id) without digits, and 0: plain, 1: header, 2: boilerplate, 4: boilerplate by class or id only."""
@@ -104,17 +139,42 @@ def _kind(tag: str, rest: str) -> tuple[str, int]:
 
 def _element(tag: str, rest: str, parent: Element) -> Element:
     """An element below ``parent`` with its path and what of its text may count."""
-    block = tag in BLOCKS
-    if not block and not TELLING.search(rest):
-        return Element(tag, parent.path, parent, parent.drop)
-    key, kind = _kind(tag, rest)
+    block, container = tag in BLOCKS, tag in CONTAINERS
+    key, kind = (_kind if len(rest) <= LONG_TAG else _kind.__wrapped__)(tag, rest) if block or TELLING.search(rest) else ("", 0)
     drop = 2 if kind == 2 else 0
     if kind in (1, 3):
-        inside = parent
-        while inside and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        drop = 1 if inside or kind == 3 else 2
-    return Element(tag, f"{parent.path}/{key}" if block else parent.path, parent, max(drop, parent.drop), marked=kind == 4)
+        drop = 1 if parent.in_article or kind == 3 else 2
+    e = Element(tag, _chained(parent.path, key) if block else parent.path, parent, max(drop, parent.drop), parent.depth + 1, parent.level + block)
+    e.marked, whole = kind == 4, tag in ("article", "main")
+    e.in_article, e.special = parent.in_article or whole, e if e.marked or whole else parent.special
+    if container:
+        e.within = e
+    else:
+        e.within, e.heading = parent.within, tag if tag in HEADINGS else parent.heading
+        e.outer = parent.outer if tag not in CLOSABLE or tag in parent.outer else parent.outer | {tag: e}
+    return e
+
+
+def _to_close(tag: str, here: Element) -> Element | None:
+    """The outermost open element that a start tag closes: not beyond a container, unless that is to be closed itself."""
+    wanted = CLOSES.get(tag, set()) | {"p"} | (HEADINGS if tag in HEADINGS else set())
+    until, e = None, here
+    while e.parent:
+        found = [x for t, x in e.outer.items() if t in wanted]
+        until = min(found, key=lambda x: x.depth) if found else until
+        if (c := e.within).tag not in wanted:
+            break
+        until, e = c, c.parent
+    return until
+
+
+def _summed(page: Page, at: dict[int, list[float]], width: int) -> None:
+    """Add what stands at each special element to all special elements around it."""
+    for e in reversed(page.special):
+        if (up := e.parent.special) and id(e) in at:
+            above = at.setdefault(id(up), [0] * width)
+            for k, x in enumerate(at[id(e)]):
+                above[k] += x
 
 
 def _marks(page: Page) -> None:
@@ -127,62 +187,56 @@ def _marks(page: Page) -> None:
     an article or main, an h1, or else the most own text counts as plain.
     """
     live = [b for b in page.blocks if is_article(b)]
-    around: list[list[Element]] = []
-    for b in live:
-        up, e = [], b.of
-        while e:
-            if e.marked or e.tag in ("article", "main"):
-                up.append(e)
-            e = e.parent
-        around.append(up)
-    if not any(e.marked for up in around for e in up):
+    if not any(e.marked for e in page.special) or not any(b.of.special for b in live):
         return
     size = [len(b.text) if 2 * b.linked < len(b.text) else 0 for b in live]
     total, titles = sum(size), sum(b.heading == "h1" for b in live)
-    depth: dict[int, int] = {}
-    by_id: dict[int, Element] = {}
-    held: dict[int, int] = {}
-    headed: dict[int, int] = {}
-    inner: dict[tuple[int, int], int] = {}
-    for n, b, up in zip(size, live, around, strict=True):
-        for k, e in enumerate(up):
-            if e.marked:
-                by_id[id(e)] = e
-                depth[id(e)] = len(up) - k
-                held[id(e)] = held.get(id(e), 0) + n
-                headed[id(e)] = headed.get(id(e), 0) + (b.heading == "h1")
-                # Articles in it, but not those in further marked elements.
-                for a in up[:k][::-1]:
-                    if a.marked:
-                        break
-                    inner[id(e), id(a)] = inner.get((id(e), id(a)), 0) + n
-
+    # The innermost marked element around each special one, itself included.
+    marked: dict[int, Element | None] = {}
+    for e in page.special:
+        marked[id(e)] = e if e.marked else marked[id(e.parent.special)] if e.parent.special else None
+    # In each special element: text, main headings, blocks; and text whose innermost marked element is this one.
+    held: dict[int, list[float]] = {}
+    net: dict[int, int] = {}
+    for n, b in zip(size, live, strict=True):
+        if e := b.of.special:
+            at = held.setdefault(id(e), [0, 0, 0])
+            at[0], at[1], at[2] = at[0] + n, at[1] + (b.heading == "h1"), at[2] + 1
+            if m := marked[id(e)]:
+                net[id(m)] = net.get(id(m), 0) + n
+    _summed(page, held, 3)
+    # The most that an article in a marked element holds, if no other marked element stands between.
     main: dict[int, int] = {}
-    for (i, _), n in inner.items():
-        main[i] = max(main.get(i, 0), n)
-    # Text whose innermost marked element is this one; an unmarked element's goes to the next around it.
-    net: dict[int, int] = {i: 0 for i in by_id}
-    for n, up in zip(size, around, strict=True):
-        if own := next((e for e in up if e.marked), None):
-            net[id(own)] += n
-    for i in sorted(by_id, key=lambda i: -depth[i]):
-        e = by_id[i]
-        if main.get(i) and main[i] >= total - held[i] or 2 * net[i] > total and (headed[i] or not titles):
+    for e in page.special:
+        if not e.marked and id(e) in held and (m := marked[id(e)]):
+            main[id(m)] = max(main.get(id(m), 0), held[id(e)][0])
+    every = [e for e in page.special if e.marked and id(e) in held]
+    for e in sorted(every, key=lambda e: -e.depth):
+        i, (text, heads, _) = id(e), held[id(e)]
+        own = net.get(i, 0)
+        if main.get(i) and main[i] >= total - text or 2 * own > total and (heads or not titles):
             e.marked = False
-            outer = e.parent
-            while outer and not outer.marked:
-                outer = outer.parent
-            if outer:
-                net[id(outer)] += net[i]
-    if not any(n and not any(e.marked for e in up) for n, up in zip(size, around, strict=True)):
-        left = [e for e in by_id.values() if e.marked and net[id(e)] >= LONG]
+            if e.parent.special and (outer := marked[id(e.parent.special)]):
+                net[id(outer)] = net.get(id(outer), 0) + own
+
+    def covered() -> dict[int, bool]:
+        """Whether a marked element is around each special one or it is marked itself."""
+        out: dict[int, bool] = {}
+        for e in page.special:
+            out[id(e)] = e.marked or bool(e.parent.special) and out[id(e.parent.special)]
+        return out
+
+    gone = covered()
+    if not any(n and not (b.of.special and gone[id(b.of.special)]) for n, b in zip(size, live, strict=True)):
+        left = [e for e in every if e.marked and net.get(id(e), 0) >= LONG]
         if left:
-            e = max(left, key=lambda e: (id(e) in main, headed[id(e)] > 0, net[id(e)]))
+            e = max(left, key=lambda e: (id(e) in main, held[id(e)][1] > 0, net[id(e)]))
             while e:
                 e.marked = False
-                e = e.parent
-    for b, up in zip(live, around, strict=True):
-        if any(e.marked for e in up):
+                e = e.parent.special
+            gone = covered()
+    for b in live:
+        if b.of.special and gone[id(b.of.special)]:
             b.drop = 2
 
 
@@ -191,38 +245,41 @@ def parsed(source: str) -> Page:
 
     ``p`` and list or table cells end where the next one begins; an end tag
     without its start tag is ignored; what follows an unclosed comment or
-    script is part of it.
+    script is part of it. The work is in proportion to the page, however deep
+    or broken its markup: every element is opened and closed once, and no step
+    walks up the open ones beyond those that it closes.
     """
     page = Page()
-    root = here = Element("body", "", None, 0)
+    root = here = Element("body", 0, None, 0)
+    root.within = root
+    open_: Counter[str] = Counter()
     text: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            at, heading = here, ""
-            while at.tag not in CONTAINERS and at.parent:
-                heading = heading or (at.tag if at.tag in HEADINGS else "")
-                at = at.parent
-            page.blocks.append(Block(joined, at, heading, linked, here.drop, here))
+            page.blocks.append(Block(joined, here.within, here.heading, linked, here.drop, here))
         text.clear()
         linked = 0
 
     def up_to(stop: Element) -> None:
-        nonlocal here, links
-        while here is not stop:
+        """Close what is open in ``stop``, and ``stop``."""
+        nonlocal here
+        while True:
             if here.tag in BLOCKS:
                 flush()
-            links -= here.tag == "a"
-            here = here.parent
+            open_[here.tag] -= 1
+            last, here = here, here.parent
+            if last is stop:
+                return
 
     at = 0
     while m := TOKEN.search(source, at):
         if m.start() > at:
             text.append(source[at : m.start()])
-            linked += (m.start() - at) if links else 0
+            linked += (m.start() - at) if open_["a"] else 0
         at = m.end()
         if m[4]:
             at = end + 3 if (end := source.find("-->", at)) >= 0 else len(source)
@@ -231,17 +288,13 @@ def parsed(source: str) -> Page:
             continue
         tag, rest = tag.lower(), m[3] or ""
         if m[1] or m[5]:
-            e = here
-            while e and e.tag != tag:
-                e = e.parent
-            if e:
-                if tag in BLOCKS:
-                    flush()
-                up_to(e)
-                links -= e.tag == "a"
-                here = e.parent
-            elif tag in BLOCKS:
+            if tag in BLOCKS:
                 flush()
+            if open_[tag]:
+                e = here
+                while e.tag != tag:
+                    e = e.parent
+                up_to(e)
             continue
         if tag == "br" or tag == "hr" and not flush():
             text.append(" ")
@@ -249,31 +302,33 @@ def parsed(source: str) -> Page:
             continue
         if tag in RAW:
             if not rest.endswith("/"):
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(source, at)
+                end = END[tag].search(source, at)
                 at = end.end() if end else len(source)
             continue
         if tag in BLOCKS:
             flush()
-            e, until = here, None
-            wanted = CLOSES.get(tag, set()) | {"p"} | (HEADINGS if tag in HEADINGS else set())
-            while e.parent and (e.tag not in CONTAINERS or e.tag in wanted):
-                if e.tag in wanted:
-                    until = e
-                e = e.parent
-            if until:
+            if until := _to_close(tag, here):
                 up_to(until)
-                here = until.parent
         here = _element(tag, rest, here)
-        links += tag == "a"
+        open_[tag] += 1
         if tag in CONTAINERS:
             here.number = len(page.containers)
             page.containers.append(here)
+        if here.special is here:
+            page.special.append(here)
         if rest.endswith("/") and tag not in BLOCKS:
-            links -= tag == "a"
+            open_[tag] -= 1
             here = here.parent
     if at < len(source):
         text.append(source[at:])
-    up_to(root)
+    if here is not root:
+        while here.parent is not root:
+            if here.tag in BLOCKS:
+                flush()
+            here = here.parent
+        if here.tag in BLOCKS:
+            flush()
+        here = root
     flush()
     _marks(page)
     return page
@@ -284,7 +339,7 @@ def is_article(b: Block) -> bool:
     return b.drop == 0 or b.drop == 1 and b.heading != ""
 
 
-def scores(page: Page) -> dict[str, float]:
+def scores(page: Page) -> dict[int, float]:
     """How well each container path alone gives the page's text, 0 to a little over 1.
 
     The harmonic mean of two shares: of the page's article-like text that the
@@ -294,42 +349,38 @@ def scores(page: Page) -> dict[str, float]:
     article and main elements that hold half of the text gain 0.5 and 0.3; of
     equals, the deeper path wins.
     """
-    good: dict[str, float] = {}
-    every: dict[str, float] = {}
-    titled: set[str] = set()
-    total, has_title = 0, False
     long = min(LONG, max([len(b.text) for b in page.blocks if is_article(b) and not b.heading], default=1))
+    # For each container, the root last: text that counts, all text, main headings.
+    held = [[0.0, 0, 0] for _ in range(len(page.containers) + 1)]
+    total = titles = 0
     for b in page.blocks:
-        n = len(b.text)
-        if not is_article(b):
-            continue
-        fine = n if b.heading else n * min(n, long) / long if 2 * b.linked < n else 0
-        total += fine
-        has_title |= b.heading == "h1"
-        e, seen = b.within, set()
-        while e:
-            if e.tag in CONTAINERS and e.path not in seen:
-                seen.add(e.path)
-                every[e.path] = every.get(e.path, 0) + n
-                if fine:
-                    good[e.path] = good.get(e.path, 0) + fine
-                    if b.heading == "h1":
-                        titled.add(e.path)
-            e = e.parent
-    kind = {e.path: e.tag for e in page.containers}
+        if is_article(b):
+            n, at = len(b.text), held[b.within.number]
+            fine = n if b.heading else n * min(n, long) / long if 2 * b.linked < n else 0
+            title = b.heading == "h1"
+            at[0], at[1], at[2] = at[0] + fine, at[1] + n, at[2] + (title and fine > 0)
+            total, titles = total + fine, titles + title
+    for e in reversed(page.containers):
+        own, above = held[e.number], held[e.parent.within.number]
+        above[0], above[1], above[2] = above[0] + own[0], above[1] + own[1], above[2] + own[2]
+    found: dict[int, list] = {0: [*held[-1], "body", 0]}
+    for e in page.containers:
+        own, at = held[e.number], found.setdefault(e.path, [0.0, 0, 0, e.tag, e.level])
+        at[0], at[1], at[2] = at[0] + own[0], at[1] + own[1], at[2] + own[2]
     out = {}
-    for path, n in good.items():
-        recall, precision = n / total, n / every[path]
-        out[path] = 2 * recall * precision / (recall + precision) - 0.2 * (has_title and path not in titled) + (recall >= 0.5) * {"article": 0.5, "main": 0.3}.get(kind.get(path), 0) + 0.001 * path.count("/")
+    for path, (good, every, heads, tag, level) in found.items():
+        if good:
+            recall, precision = good / total, good / every
+            out[path] = 2 * recall * precision / (recall + precision) - 0.2 * (titles > 0 and not heads) + (recall >= 0.5) * {"article": 0.5, "main": 0.3}.get(tag, 0) + 0.001 * level
     return out
 
 
-def best_of(own: dict[str, float]) -> str:
-    """The path with the highest score; of equals, the last by name."""
+def best_of(own: dict[int, float]) -> int:
+    """The path with the highest score; of equals, the one with the greatest key."""
     return max(own, key=lambda p: (own[p], p))
 
 
-def extracted(page: Page, paths: list[str], backed: int = 0) -> str:
+def extracted(page: Page, paths: list[int], backed: int = 0) -> str:
     """The article's blocks, joined by two line ends, from the first of ``paths`` that gives any.
 
     The first ``backed`` paths are the best of several pages each; those of
@@ -341,17 +392,11 @@ def extracted(page: Page, paths: list[str], backed: int = 0) -> str:
     own = scores(page)
     best = [best_of(own)] if own else []
     close = [p for p in paths[:backed] if p in own and own[p] >= own[best[0]] - CLOSE]
-    for path in close + [p for p in paths if p in own] + best:
-        out = []
-        for b in page.blocks:
-            if is_article(b):
-                e = b.within
-                while e and e.path != path:
-                    e = e.parent
-                if e:
-                    out.append(b.text)
-        if out:
-            return "\n\n".join(out)
+    for path in (close + [p for p in paths if p in own] + best)[:1]:
+        inside = [path == 0] * (len(page.containers) + 1)
+        for e in page.containers:
+            inside[e.number] = e.path == path or inside[e.parent.within.number]
+        return "\n\n".join(b.text for b in page.blocks if is_article(b) and inside[b.within.number])
     return ""
 
 
@@ -360,13 +405,18 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def signed(path: int) -> int:
+    """A path's key as a long."""
+    return path - (1 << 64) if path >> 63 else path
+
+
 def votes(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame:
     """Votes for container paths on each host: ``host``, ``path``, ``pages``, ``score``. Each page votes for its best path, with its score."""
     rows = pages.select(host_of(url).alias("host"), F.col(markup).cast("string").alias("html")).where("html is not null and host <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: dict[tuple[str, str], list[float]] = {}
+            total: dict[tuple[str, int], list[float]] = {}
             for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if own := scores(parsed(source.as_py())):
                     path = best_of(own)
@@ -374,9 +424,9 @@ def votes(pages: DataFrame, url: str = "url", markup: str = "html") -> DataFrame
                     t[0] += round(own[path], 6)
                     t[1] += 1
             if total:
-                yield pa.RecordBatch.from_pylist([{"host": h, "path": p, "score": s, "pages": n} for (h, p), (s, n) in total.items()])
+                yield pa.RecordBatch.from_pylist([{"host": h, "path": signed(p), "score": s, "pages": n} for (h, p), (s, n) in total.items()])
 
-    return rows.mapInArrow(run, "host string, path string, score double, pages long").groupBy("host", "path").agg(F.round(F.sum("score"), 4).alias("score"), F.sum("pages").alias("pages"))
+    return rows.mapInArrow(run, "host string, path long, score double, pages long").groupBy("host", "path").agg(F.round(F.sum("score"), 4).alias("score"), F.sum("pages").alias("pages"))
 
 
 def winners(voted: DataFrame, paths: int = PATHS) -> DataFrame:
@@ -397,14 +447,14 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", mark
     """
     best = saved(winners(votes(pages, url, markup)), "paths")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(markup).cast("string").alias("html")).withColumn("host", host_of("url"))
-    if best.count() <= BROADCAST_HOSTS:
+    if (best.agg(F.sum(F.length("host") + 8 * F.size("paths") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(best), "host", "left")
     else:
         joined = lookup_join(rows, best, "host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extracted(parsed(s.as_py() or ""), p or [], n or 0) for s, p, n in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            texts = [extracted(parsed(s.as_py() or ""), [x & (1 << 64) - 1 for x in p or []], n or 0) for s, p, n in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "html", "paths", "backed").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import io
+import random
 import struct
+import time
 
 import pytest
 import zstandard
@@ -123,3 +125,81 @@ def test_a_rarer_template_with_the_usual_path_on_a_small_box(spark):
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame([*usual, *rare], "page_id long, url string, html string")).collect()}
     assert all(got[10 + k].startswith(f"Rare {k}\n\nRare text") for k in range(2))
     assert all(got[k].startswith(f"Title {k}\n\nUsual text") for k in range(6))
+
+
+def generated_pages(n: int) -> list[tuple]:
+    """Pages of a few hosts in templates of their own, with broken and nested markup, and some without a host."""
+    rng, out = random.Random(4), []
+    words = "some text that goes on for a while about nothing at all".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))
+    inner = [lambda: f"<p>{text()}</p>", lambda: f"<h1>{text()}</h1>", lambda: f"<ul><li>{text()}<li><a href=x>{text()}</a></ul>", lambda: f"<b>{text()}", lambda: f"<section class='c{rng.randrange(3)}'>{text()}", lambda: f"<table><tr><td>{text()}<td>{text()}</table>", lambda: "</div></i>"]
+    for k in range(n):
+        host = rng.randrange(5)
+        boxes = [f"<div class='box{host}'>", "<article>", "<div id=sidebar>", "<main>", "<div>", "<header>", "<div class='post related-post'>"]
+        body = "".join(rng.choice(boxes) + "".join(rng.choice(inner)() for _ in range(rng.randrange(5))) + rng.choice(["</div>", "</article>", ""]) for _ in range(rng.randrange(1, 5)))
+        out.append((k, f"http://h{host}.example/{k}" if host else None, body))
+    return out
+
+
+def plain_scores(page: html_extract.Page) -> dict[int, float]:
+    """The scores of all container paths, each from the blocks that have it above them."""
+    live = [b for b in page.blocks if html_extract.is_article(b)]
+    long = min(html_extract.LONG, max([len(b.text) for b in live if not b.heading], default=1))
+    fine = [len(b.text) if b.heading else len(b.text) * min(len(b.text), long) / long if 2 * b.linked < len(b.text) else 0 for b in live]
+
+    def above(b):
+        e, paths = b.within, {}
+        while e:
+            if e.tag in html_extract.CONTAINERS:
+                paths[e.path] = e
+            e = e.parent
+        return paths
+
+    out = {}
+    for path, e in {p: e for b in live for p, e in above(b).items()}.items():
+        own = [k for k, b in enumerate(live) if path in above(b)]
+        if good := sum(fine[k] for k in own):
+            recall, precision = good / sum(fine), good / sum(len(live[k].text) for k in own)
+            lost = any(b.heading == "h1" for b in live) and not any(live[k].heading == "h1" for k in own)
+            out[path] = 2 * recall * precision / (recall + precision) - 0.2 * lost + (recall >= 0.5) * {"article": 0.5, "main": 0.3}.get(e.tag, 0) + 0.001 * e.level
+    return out
+
+
+def test_votes_and_texts_equal_a_plain_version(spark):
+    table = generated_pages(300)
+    hosts, pages = {}, {}
+    for k, url, body in table:
+        page = pages[k] = html_extract.parsed(body)
+        own, plain = html_extract.scores(page), plain_scores(page)
+        assert own.keys() == plain.keys() and all(abs(own[p] - plain[p]) < 1e-9 for p in own)
+        if own and url:
+            best = max(own, key=lambda p: (own[p], p))
+            t = hosts.setdefault(url.split("/")[2], {}).setdefault(best, [0, 0.0])
+            t[0], t[1] = t[0] + 1, t[1] + round(own[best], 6)
+    ranked = {h: sorted(v, key=lambda p: (v[p][0], round(v[p][1], 4), html_extract.signed(p)), reverse=True)[: html_extract.PATHS] for h, v in hosts.items()}
+    expected = {}
+    for k, url, _ in table:
+        host = url.split("/")[2] if url else None
+        own = plain_scores(pages[k])
+        paths = ranked.get(host, [])
+        backed = [p for p in paths if hosts[host][p][0] > 1]
+        top = max(own, key=lambda p: (own[p], p)) if own else None
+        order = [p for p in backed if p in own and own[p] >= own[top] - html_extract.CLOSE] + [p for p in paths if p in own] + ([top] if own else [])
+        lines = []
+        for b in pages[k].blocks if order else []:
+            e = b.within
+            while e and e.path != order[0]:
+                e = e.parent
+            if e and html_extract.is_article(b):
+                lines.append(b.text)
+        expected[k] = "\n\n".join(lines)
+    clashing = spark.createDataFrame([(*r, "x", "y") for r in table], "page_id long, url string, html string, host string, paths string").repartition(3)
+    assert {r.page_id: r.text for r in html_extract.main_text(clashing).collect()} == expected
+    assert sum(len(t) > 0 for t in expected.values()) > 200
+
+
+@pytest.mark.parametrize("markup", ["<div>x" * 50_000, "<b>" * 25_000 + "</i>x" * 25_000, "<b><p>x" * 25_000, "<b>" * 25_000 + "<p>y</p>" * 25_000, "<div class=nav>x" * 50_000, "<header>x" * 50_000, "<article><div class=ad>x" * 25_000, "<table><tr><td>x" * 16_000, "<div " + "a" * 400_000 + ">x", "<script>" + "</script <x " * 40_000, "<a \"'" * 50_000])
+def test_deep_and_broken_markup_takes_time_in_proportion(markup):
+    begin = time.process_time()
+    html_extract.extracted(html_extract.parsed(markup), [])
+    assert time.process_time() - begin < 6
