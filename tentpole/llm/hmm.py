@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +27,14 @@ HEAD, KNOWN = 50_000, 200_000
 CLASSES = 4096
 STATES = 12
 #: Baum-Welch passes over all training documents.
-PASSES = 2
-#: The start of the training is found on at most so many documents, of so many tokens each; all later counts are of all of them.
-START_DOCS, START_TOKENS = 2000, 2048
-#: Pseudo-counts that each state's emissions take from the unigram distribution.
-PRIOR = 200.0
-#: In training (not in scoring) a longer text counts as several. Tokens worked on at once.
-LONGEST, GROUP = 65_536, 250_000
+PASSES = 4
+#: Training begins with how often the most frequent symbols, so many, stand together within so many tokens of a text.
+MARKS, SPAN = 256, 128
+#: Pseudo-counts that each state's emissions take from the unigram distribution: during training, and those tried at its end
+#: on one in so many of the training documents.
+PRIOR, PRIORS, PART = 2000.0, (500.0, 2000.0, 5000.0, 20_000.0), 10
+#: Tokens worked on at once; of a longer text, forward values are kept at cuts so far apart and worked out again between them.
+GROUP = 250_000
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -80,7 +82,10 @@ class Model:
 
 
 class Batch:
-    """Texts side by side, longest first: at step t the first ``active[t]`` go on. All arrays are in order of (step, text)."""
+    """Texts side by side, longest first: at step t the first ``active[t]`` go on. All arrays are in order of (step, text).
+
+    Every text has a symbol at least, its end.
+    """
 
     def __init__(self, texts: list[np.ndarray]):
         self.order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
@@ -92,39 +97,66 @@ class Batch:
         self.symbols = np.empty(len(which), np.int32)
         self.symbols[self.begin[step] + which] = np.concatenate([texts[i] for i in self.order])
 
-    def forward(self, m: Model, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """log10 likelihood of each text, in the given order; with ``keep`` also scaled forward values and scales."""
-        total = np.zeros(self.active[0])
-        alpha = np.empty((len(self.symbols), len(m.start))) if keep else None
-        scale = np.empty(len(self.symbols)) if keep else None
-        a = None
-        for t, n in enumerate(self.active):
-            s = slice(self.begin[t], self.begin[t + 1])
+    def _run(self, m: Model, t0: int, t1: int, a: np.ndarray | None, total: np.ndarray | None, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Steps ``t0`` to ``t1`` after forward values ``a``: the last ones, and with ``keep`` all of them with their scales."""
+        first = self.begin[t0]
+        alpha = np.empty((self.begin[t1] - first, len(m.start))) if keep else None
+        scale = np.empty(self.begin[t1] - first) if keep else None
+        for t in range(t0, t1):
+            n, s = self.active[t], slice(self.begin[t], self.begin[t + 1])
             a = (m.start if a is None else a[:n] @ m.move) * m.emit[self.symbols[s]]
             c = a.sum(1)
             a /= c[:, None]
-            total[:n] += np.log10(c)
+            if total is not None:
+                total[:n] += np.log10(c)
             if keep:
-                alpha[s], scale[s] = a, c
+                alpha[s.start - first : s.stop - first], scale[s.start - first : s.stop - first] = a, c
+        return a, alpha, scale
+
+    def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
+        """log10 likelihood of each text, in the given order, and the last forward values."""
+        total = np.zeros(self.active[0])
+        a, _, _ = self._run(m, 0, len(self.active), None, total, False)
         out = np.empty(len(total))
         out[self.order] = total
-        return out, alpha, scale
-
-    def counts(self, m: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts: (log10 likelihood, starts, moves, emissions as rows of ``self.symbols``)."""
-        total, alpha, scale = self.forward(m, keep=True)
-        moves = np.zeros_like(m.move)
-        beta = np.ones((self.active[-1], len(m.start)))
-        for t in range(len(self.active) - 1, 0, -1):
-            n, before, s = self.active[t], slice(self.begin[t - 1], self.begin[t]), slice(self.begin[t], self.begin[t + 1])
-            ahead = m.emit[self.symbols[s]] * beta / scale[s][:, None]
-            moves += alpha[before][:n].T @ ahead
-            alpha[s] *= beta
-            beta = np.ones((self.active[t - 1], len(m.start)))
-            beta[:n] = ahead @ m.move.T
-        first = slice(0, self.begin[1])
-        alpha[first] *= beta
-        return float(total.sum()), alpha[first].sum(0), moves * m.move, alpha
+        return out, a
+
+    def counts(self, m: Model, emissions: np.ndarray, group: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Expected counts of whole texts: log10 likelihood, starts, moves; those of emissions are added to ``emissions``.
+
+        Forward values are kept for about ``group`` tokens at a time. A longer
+        batch is run through once to have them at cuts, then again from cut to
+        cut, last part first.
+        """
+        group, states, steps = group or GROUP, len(m.start), len(self.active)
+        cuts = np.unique(np.concatenate([np.searchsorted(self.begin, np.arange(0, self.begin[-1], group)), [steps]]))
+        parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        total, entry, a = np.zeros(self.active[0]), [], None
+        for t0, t1 in parts:
+            entry.append(a)
+            a, alpha, scale = self._run(m, t0, t1, a, total, (t0, t1) == parts[-1])
+        moves, starts = np.zeros_like(m.move), np.zeros(states)
+        beta = np.ones((self.active[-1], states))
+        for (t0, t1), before in zip(parts[::-1], entry[::-1], strict=True):
+            if alpha is None:
+                _, alpha, scale = self._run(m, t0, t1, before, None, True)
+            first = self.begin[t0]
+            for t in range(t1 - 1, t0 - 1, -1):
+                n, s = self.active[t], slice(self.begin[t] - first, self.begin[t + 1] - first)
+                if t:
+                    ahead = m.emit[self.symbols[self.begin[t] : self.begin[t + 1]]] * beta / scale[s][:, None]
+                    last = alpha[self.begin[t - 1] - first : s.start] if t > t0 else before
+                    moves += last[:n].T @ ahead
+                alpha[s] *= beta
+                if t:
+                    beta = np.ones((self.active[t - 1], states))
+                    beta[:n] = ahead @ m.move.T
+                else:
+                    starts = alpha[s].sum(0)
+            used, at = np.unique(self.symbols[first : self.begin[t1]], return_inverse=True)
+            emissions[used] += np.stack([np.bincount(at, alpha[:, k], len(used)) for k in range(states)], 1)
+            alpha = None
+        return float(total.sum()), starts, moves * m.move
 
 
 def groups(texts: list[np.ndarray], size: int = GROUP) -> Iterator[list[int]]:
@@ -140,62 +172,67 @@ def groups(texts: list[np.ndarray], size: int = GROUP) -> Iterator[list[int]]:
         yield part
 
 
-def estimated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray) -> Model:
-    """The model that expected counts give; emissions (symbol by state) are smoothed by the unigram distribution."""
+def estimated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unigram: np.ndarray, prior: float = PRIOR) -> Model:
+    """The model that expected counts give; emissions (symbol by state) are smoothed by ``prior`` counts of the unigram distribution."""
     start = (starts + 0.1) / (starts + 0.1).sum()
     move = (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True)
-    emit = emissions + PRIOR * unigram[:, None]
+    emit = emissions + prior * unigram[:, None]
     return Model(start, move, emit / emit.sum(0))
 
 
-def gathered(texts: list[np.ndarray], m: Model) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+def gathered(texts: list[np.ndarray], m: Model, group: int | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over texts: (log10 likelihood, starts, moves, emissions by symbol)."""
     total, starts, moves, emissions = 0.0, np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
-    for part in groups(texts):
-        batch = Batch([texts[i] for i in part])
-        one, s, v, gamma = batch.counts(m)
+    for part in groups(texts, group or GROUP):
+        one, s, v = Batch([texts[i] for i in part]).counts(m, emissions, group)
         total, starts, moves = total + one, starts + s, moves + v
-        used, at = np.unique(batch.symbols, return_inverse=True)
-        emissions[used] += np.stack([np.bincount(at, gamma[:, k], len(used)) for k in range(len(m.start))], 1)
     return total, starts, moves, emissions
 
 
-def first_model(texts: list[np.ndarray], unigram: np.ndarray, states: int = STATES, seed: int = 7, rounds: int = 12) -> Model:
-    """Where training begins: texts are sorted into one group a state by mixture EM, then Baum-Welch runs on them.
+def likelihood(texts: list[np.ndarray], m: Model) -> np.ndarray:
+    """log10 likelihood of each text."""
+    fit = np.zeros(len(texts))
+    for part in groups(texts):
+        fit[part] = Batch([texts[i] for i in part]).forward(m)[0]
+    return fit
+
 
-    Without texts, all states are alike and give the unigram distribution.
+def first_model(together: np.ndarray | list, unigram: np.ndarray, states: int = STATES, rounds: int = 30) -> Model:
+    """Where training begins: a state for each cluster of frequent symbols that stand together.
+
+    ``together[i, j]`` is how many spans of all training texts hold both symbols
+    i and j. Their positive pointwise mutual information with all others makes
+    symbols comparable; clusters begin with the symbol farthest from those
+    before and settle by spherical k-means. A symbol's probability in a state
+    is its unigram share times how near it is to the state's cluster; all other
+    symbols are alike in all states. Without counts all states are alike.
     """
-    rng = np.random.default_rng(seed)
-    start, emit = np.full(states, 1 / states), np.repeat(unigram[:, None], states, 1)
+    share = np.full((len(unigram), states), 1 / states)
     move = np.full((states, states), 0.05 / max(1, states - 1))
     np.fill_diagonal(move, 0.95)
-    if not texts:
-        return Model(start, move / move.sum(1, keepdims=True), emit)
-    flat, n = np.concatenate(texts), np.array([len(t) for t in texts])
-    which = np.repeat(np.arange(len(n)), n)
-    cut = np.cumsum(n) - n
-    near = np.zeros((len(n), states))
-    near[np.arange(len(n)), rng.integers(0, states, len(n))] = 1
-    picked = rng.choice(len(n), min(states, len(n)), replace=False, p=np.minimum(n, 500) / np.minimum(n, 500).sum())
-    near[picked] = np.eye(states)[: len(picked)] * 20
-    # Texts in parts of about GROUP tokens, so that only a part's values by state are in memory.
-    edges = np.unique(np.concatenate([np.searchsorted(cut, np.arange(0, len(flat), GROUP)), [len(n)]]))
-    parts = [(slice(i, j), slice(cut[i], cut[j - 1] + n[j - 1])) for i, j in zip(edges, edges[1:], strict=False)]
-    for _ in range(rounds):
-        mass = np.repeat(PRIOR * unigram[:, None], states, 1)
-        for _, at in parts:
+    together = np.asarray(together, float) if len(together) else np.zeros((0, 0))
+    often = np.diag(together)
+    used = np.flatnonzero(often > 0)
+    if len(used) > states:
+        both = together[np.ix_(used, used)] * (1 - np.eye(len(used)))
+        mass = both.sum(1) + 0.5 * len(used)
+        near = np.maximum(np.log((both + 0.5) * (mass.sum() / np.outer(mass, mass))), 0) * (1 - np.eye(len(used)))
+        near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
+        weight = np.sqrt(often[used])
+        centre = near[[np.argmax(weight)]]
+        while len(centre) < states:
+            centre = np.vstack([centre, near[np.argmax(weight * (1 - (centre @ near.T).max(0)))]])
+        for _ in range(rounds):
+            of = np.argmax(centre @ near.T, axis=0)
             for k in range(states):
-                mass[:, k] += np.bincount(flat[at], near[which[at], k], len(unigram))
-        log = np.log(mass / mass.sum(0)) + 0.0
-        fit = np.concatenate([np.add.reduceat(log[flat[at]], cut[of] - at.start, axis=0) for of, at in parts])
-        near = np.exp(fit - fit.max(1, keepdims=True))
-        near /= near.sum(1, keepdims=True)
-    m = Model(near.mean(0) + 1e-3, move, mass / mass.sum(0))
-    m.start /= m.start.sum()
-    for _ in range(4):
-        _, s, v, e = gathered(texts, m)
-        m = estimated(s, v, e, unigram)
-    return m
+                mid = weight[of == k] @ near[of == k]
+                if (long := np.linalg.norm(mid)) > 0:
+                    centre[k] = mid / long
+        fit = centre @ near.T
+        fit = np.exp(6 * (fit - fit.max(0)))
+        share[used] = 0.1 / states + 0.9 * (fit / fit.sum(0)).T
+    emit = unigram[:, None] * share
+    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,50 +291,123 @@ def vocabulary(train: DataFrame, head: int = HEAD, known: int = KNOWN) -> tuple[
     return Vocabulary(number, dict(zip(names, uses, strict=True)), ends, tokens, distinct, np.log10(n + v + 1), unigram / unigram.sum()), words
 
 
+def _together(code: type):
+    """How many spans of a partition's texts hold two of the most frequent symbols, the end of a text aside: i, j (i <= j), n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((MARKS, MARKS))
+        for b in batches:
+            rows: list[np.ndarray] = []
+            spans = 0
+
+            def add(rows: list[np.ndarray], spans: int) -> None:
+                has = np.zeros((spans, MARKS), np.float32)
+                at = np.concatenate(rows)
+                has[at >> 16, at & 0xFFFF] = 1
+                total[:] += has.T @ has
+
+            for t in b.column(0):
+                s = np.frombuffer(t.as_buffer(), code)
+                for k in range(0, len(s), SPAN * 4096):
+                    part = s[k : k + SPAN * 4096].astype(np.int64)
+                    where = np.flatnonzero((part < MARKS) & (part > 0))
+                    rows.append((spans + where // SPAN) << 16 | part[where])
+                    spans += -(-len(part) // SPAN)
+                    if spans > 8192:
+                        add(rows, spans)
+                        rows, spans = [], 0
+            if spans:
+                add(rows, spans)
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j].astype(np.int64))], names=["i", "j", "n"])
+
+    return run
+
+
 def _expected(vocab, model):
-    """Baum-Welch counts of a partition: a row for each symbol, and rows -1 - k for the moves from state k and -1 - states for the starts."""
+    """Baum-Welch counts of a partition and of either part: a row for each symbol, and rows -1 - k for the moves from state k and -1 - states for the starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = vocab.value, model.value
-        starts, moves, emissions = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
+        states = len(m.start)
+        found: dict[bool, list[np.ndarray]] = {}
         for b in batches:
-            texts = []
-            for t in b.column(0):
-                s = np.frombuffer(t.as_buffer(), v.code)
-                texts += [s[k : k + LONGEST] for k in range(0, len(s), LONGEST)]
-            _, s, w, e = gathered(texts, m)
-            starts, moves, emissions = starts + s, moves + w, emissions + e
-        used = np.flatnonzero(emissions.sum(1) > 0)
-        rows = np.concatenate([starts[None], moves, emissions[used]])
-        number = np.concatenate([[-1 - len(starts)], -1 - np.arange(len(starts)), used])
-        yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(starts)))], names=["symbol", *(f"s{k}" for k in range(len(starts)))])
+            texts: dict[bool, list[np.ndarray]] = {}
+            for t, part in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                texts.setdefault(part, []).append(np.frombuffer(t.as_buffer(), v.code))
+            for part, some in texts.items():
+                sums = found.setdefault(part, [np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)])
+                for total, more in zip(sums, gathered(some, m)[1:], strict=True):
+                    total += more
+        for part, (starts, moves, emissions) in found.items():
+            used = np.flatnonzero(emissions.sum(1) > 0)
+            rows = np.concatenate([starts[None], moves, emissions[used]])
+            number = np.concatenate([[-1 - states], -1 - np.arange(states), used])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(number)), pa.array(number.astype(np.int64)), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(states))], names=["part", "symbol", *(f"s{k}" for k in range(states))])
 
     return run
 
 
+def _summed(rows: pa.Table, part: bool, names: list[str], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, moves and emissions from the summed rows of one part."""
+    rows = rows.filter(pc.equal(rows["part"], part))
+    states = len(names)
+    at, x = rows["symbol"].to_numpy(), np.stack([rows[n].to_numpy() for n in names], 1).reshape(-1, states)
+    moves, emissions = np.zeros((states, states)), np.zeros((symbols, states))
+    is_move = (at < 0) & (at >= -states)
+    emissions[at[at >= 0]] = x[at >= 0]
+    moves[-1 - at[is_move]] = x[is_move]
+    return x[at == -1 - states].sum(0), moves, emissions
+
+
 def trained(train: DataFrame, vocab: Vocabulary, held, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch over all rows of ``train`` (``doc_id``, ``symbols``): each pass sums the counts of all partitions by symbol."""
-    sc = train.sparkSession.sparkContext
-
-    picked = train.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(START_DOCS)
-    last = START_TOKENS * np.dtype(vocab.code).itemsize
-    some = train.join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("picked"), "left_semi").select(F.expr(f"substring(symbols, -{last}, {last})")).limit(START_DOCS).collect()
-    model = first_model(sorted((np.frombuffer(r[0], vocab.code) for r in some), key=lambda a: (len(a), a.tobytes())), vocab.unigram, states)
-    names = [f"s{k}" for k in range(states)]
-    for _ in range(passes):
+    """Baum-Welch over all rows of ``train`` (``doc_id``, ``symbols``): each pass sums the counts of all partitions by symbol.
+
+    The start comes from counts over all rows too. The last pass keeps one
+    document in ``PART`` apart: on these, models from the counts of the others
+    are compared, one for each of ``PRIORS``; the best prior makes the final
+    model from all counts.
+    """
+    sc, size = train.sparkSession.sparkContext, len(vocab.unigram)
+    together = np.zeros((MARKS, MARKS))
+    pairs = train.select("symbols").mapInArrow(_together(vocab.code), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    together[pairs["i"].to_numpy(), pairs["j"].to_numpy()] = pairs["n"].to_numpy()
+    together = together + np.triu(together, 1).T
+    model, names = first_model(together[:size, :size], vocab.unigram, states), [f"s{k}" for k in range(states)]
+    apart = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0, F.lit(False))
+    for k in range(passes):
         now = sc.broadcast(model)
-        rows = train.select("symbols").mapInArrow(_expected(held, now), "symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("symbol").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-        at, x = rows["symbol"].to_numpy(), np.stack([rows[n].to_numpy() for n in names], 1).reshape(-1, states)
-        starts, moves, emissions = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-        is_move = (at < 0) & (at >= -states)
-        emissions[at[at >= 0]] = x[at >= 0]
-        moves[-1 - at[is_move]] = x[is_move]
-        starts += x[at == -1 - states].sum(0)
-        model = estimated(starts, moves, emissions, vocab.unigram)
+        part = (apart if k == passes - 1 else F.lit(False)).alias("part")
+        rows = train.select("symbols", part).mapInArrow(_expected(held, now), "part boolean, symbol long, " + ", ".join(f"{n} double" for n in names)).groupBy("part", "symbol").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+        most, rest = _summed(rows, False, names, size), _summed(rows, True, names, size)
+        every = [a + b for a, b in zip(most, rest, strict=True)]
+        model = estimated(*every, vocab.unigram)
         now.unpersist()
+    if passes and rest[2].any() and most[2].any():
+        model = estimated(*every, vocab.unigram, _best_prior(train.where(apart), most, rest[2].sum(1), vocab))
     return model
 
 
+def _best_prior(rows: DataFrame, counts: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, vocab: Vocabulary) -> float:
+    """The prior under which a model from ``counts`` gives ``rows`` the highest likelihood; ``own`` are the rows' symbols, which its unigrams lack."""
+    n = np.maximum(vocab.unigram * (vocab.tokens + len(vocab.unigram)) - own, 1.0)
+    held, code = rows.sparkSession.sparkContext.broadcast((counts, n / n.sum())), vocab.code
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, unigram = held.value
+        fit = np.zeros(len(PRIORS))
+        models = None
+        for b in batches:
+            models = models or [estimated(*counts, unigram, p) for p in PRIORS]
+            texts = [np.frombuffer(t.as_buffer(), code) for t in b.column(0)]
+            fit += [likelihood(texts, m).sum() for m in models]
+        yield pa.RecordBatch.from_arrays([pa.array(PRIORS), pa.array(fit)], names=["prior", "fit"])
+
+    found = {r["prior"]: r["fit"] for r in rows.select("symbols").mapInArrow(run, "prior double, fit double").groupBy("prior").agg(F.sum("fit").alias("fit")).collect()}
+    held.unpersist()
+    return max(PRIORS, key=lambda p: (found.get(p, 0.0), p))
+
+
 def _encoded(vocab):
     """Each text as symbols, with what the known words alone give: so texts are taken apart once, not in every pass."""
 
@@ -352,10 +462,7 @@ def scored(docs: DataFrame, held_out: str = "pmod(crc32(cast(cast(doc_id as stri
             for k in range(0, big.num_rows, 2000):
                 b = big.slice(k, 2000)
                 texts = [np.frombuffer(t.as_buffer(), code) for t in b.column(0)]
-                fit = np.zeros(len(texts))
-                for part in groups(texts):
-                    fit[part] = Batch([texts[i] for i in part]).forward(model.value)[0]
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fit)], names=[*rest, "fit"])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(likelihood(texts, model.value))], names=[*rest, "fit"])
 
     fits = made.select("symbols", *rest).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, found long, logs double, own double, fit double")
     tail = made.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))

@@ -197,6 +197,48 @@ def test_forward_and_counts_equal_enumeration():
     assert np.allclose(starts, s2) and np.allclose(moves, m2) and np.allclose(emissions, e2)
 
 
+@pytest.mark.parametrize("group", [1, 3, 50])
+def test_counts_of_long_texts_do_not_depend_on_the_cuts(group):
+    rng = np.random.default_rng(1)
+    norm = lambda a, axis: a / a.sum(axis, keepdims=True)
+    m = hmm.Model(norm(rng.random(4), 0), norm(rng.random((4, 4)), 1), norm(rng.random((9, 4)), 0))
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 300, 17, 120, 120, 2)]
+    for a, b in zip(hmm.gathered(texts, m), hmm.gathered(texts, m, group), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_training_over_partitions_equals_training_in_one_place(spark, monkeypatch):
+    """Start, passes and the choice of the prior against the same steps over a plain list of all training texts."""
+    monkeypatch.setattr(hmm, "PRIORS", (5.0, 50.0, 500.0))
+    rng, texts = random.Random(11), []
+    for k in range(150):
+        words = "ab ac ad ae af ag ah ai aj ak".split() if k % 2 else "ba bb bc bd be bf bg bh bi bj".split()
+        texts.append((k, " ".join(rng.choice(words) + rng.choice(["", "", str(rng.randrange(20))]) for _ in range(rng.randrange(1, 400)))))
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    vocab, _ = hmm.vocabulary(rows.selectExpr("cast(text as binary) as text"))
+    shared = spark.sparkContext.broadcast(vocab)
+    made = rows.selectExpr("doc_id", "cast(text as binary) as text", "false as held_out").mapInArrow(hmm._encoded(shared), "row long, doc_id long, held_out boolean, n_tokens long, found long, logs double, own double, tail array<binary>, symbols binary").persist()
+    got = hmm.trained(made, vocab, shared, states=3, passes=2)
+    part = {r[0]: r[1] for r in rows.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {hmm.PART}) = 0").collect()}
+    own = [(k, vocab.symbols(t.encode().split())) for k, t in texts]
+    together = np.zeros((hmm.MARKS, hmm.MARKS))
+    for _, s in own:
+        for k in range(0, len(s), hmm.SPAN):
+            near = {int(x) for x in s[k : k + hmm.SPAN] if 0 < x < hmm.MARKS}
+            for i, j in itertools.product(near, near):
+                together[i, j] += 1
+    size = len(vocab.unigram)
+    m = hmm.first_model(together[:size, :size], vocab.unigram, 3)
+    m = hmm.estimated(*hmm.gathered([s for _, s in own], m)[1:], vocab.unigram)
+    most, rest = (hmm.gathered([s for k, s in own if part[k] == x], m)[1:] for x in (False, True))
+    n = vocab.unigram * (vocab.tokens + size) - rest[2].sum(1)
+    fit = {p: hmm.likelihood([s for k, s in own if part[k]], hmm.estimated(*most, n / n.sum(), p)).sum() for p in hmm.PRIORS}
+    best = max(fit, key=lambda p: fit[p])
+    want = hmm.estimated(*(a + b for a, b in zip(most, rest, strict=True)), vocab.unigram, best)
+    assert np.allclose(got.emit, want.emit) and np.allclose(got.move, want.move) and np.allclose(got.start, want.start)
+    assert len(set(np.argmax(got.emit[[vocab.number[b"ab"], vocab.number[b"ac"]]], 1)) | set(np.argmax(got.emit[[vocab.number[b"ba"], vocab.number[b"bb"]]], 1))) > 1
+
+
 @pytest.mark.parametrize("sizes", [(hmm.HEAD, hmm.KNOWN), (20, 40)])
 def test_language_model(spark, monkeypatch, sizes):
     rng, docs = random.Random(2), []
