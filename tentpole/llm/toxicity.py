@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tentpole.llm import transducers as t
-from tentpole.llm.common import saved
+from tentpole.llm.common import dropped, saved
 
 WORDS = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -29,9 +29,8 @@ SAMPLE = 8000
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A term is learned if it stands after at least so many different words (of 64 told apart), in at least this share of
 #: the toxic documents of the sample and in at least so many, with at least this log-odds.
+#: The sample bounds their number: a document has a few thousand terms, and each has to be in 16 of 8,000 at least.
 CONTEXTS, SHARE, LEAST_DOCS, LOG_ODDS = 8, 0.002, 4, 4.0
-#: Terms kept at most, the strongest: a bound on what is broadcast.
-TERMS = 20_000
 THRESHOLD = 0.7
 #: Word lists of four languages.
 LISTS = {
@@ -85,26 +84,34 @@ def _grammar() -> t.Transducer:
     return t.grammar()
 
 
-def features(text: str, weigh) -> list[float]:
-    """What the grammar finds in the whole text: for each kind of match log(1 + count) and log(1 + weight), then matched clauses.
+def clauses(text: str, weigh) -> Iterator[tuple[str, float]]:
+    """Each clause that the grammar matches: what it does, and the weight of its reading.
 
-    Clauses without an insult or threatening verb match nothing and are not read.
+    A clause does what the strongest match in it does (threatens, aims an
+    insult, insults without a target, reports or denies one); its weight is
+    that of the whole path: the matched words' weights, each raised by a target
+    and lowered by a negation or a report. Clauses without an insult or
+    threatening verb match nothing and are not read.
     """
-    machine, counts, mass, clauses = _grammar(), dict.fromkeys(FEATURES, 0), dict.fromkeys(FEATURES, 0.0), 0
+    machine = _grammar()
     for clause in CLAUSE.split(text.lower()):
         words = WORDS.findall(clause)
         weights = list(map(weigh, words))
         if not any(weights) and t.THREAT not in map(CLASSES.get, words):
             continue
         symbols = [t.INSULT if x else CLASSES.get(w, t.OTHER) for w, x in zip(words, weights, strict=True)]
-        matched = False
-        for (kind, extra), x in zip(machine.run(symbols), weights, strict=True):
-            if kind in counts:
-                counts[kind] += 1
-                mass[kind] += max(0.0, 1 + extra) * (x or 1.0)
-                matched = True
-        clauses += matched
-    return [*(np.log1p(counts[k]) for k in FEATURES), *(np.log1p(mass[k]) for k in FEATURES), np.log1p(clauses)]
+        found = [(max(0.0, 1 + extra) * (x or 1.0), kind) for (kind, extra), x in zip(machine.run(symbols), weights, strict=True) if kind in FEATURES]
+        if found:
+            yield max(found)[1], sum(w for w, _ in found)
+
+
+def features(text: str, weigh) -> list[float]:
+    """What the clauses of the whole text do: for each kind log(1 + clauses) and log(1 + their weight), then for all clauses."""
+    counts, mass = dict.fromkeys(FEATURES, 0), dict.fromkeys(FEATURES, 0.0)
+    for kind, weight in clauses(text, weigh):
+        counts[kind] += 1
+        mass[kind] += weight
+    return [*(np.log1p(counts[k]) for k in FEATURES), *(np.log1p(mass[k]) for k in FEATURES), np.log1p(sum(counts.values()))]
 
 
 class Weigher(dict):
@@ -159,17 +166,20 @@ def learned(sample: DataFrame) -> Lexicon:
     odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     found = sample.select("text", "toxic").mapInArrow(_term_counts, "term string, whole boolean, n0 long, n1 long, mask long").groupBy("term", "whole").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("mask").alias("mask"))
     found = found.where(F.col("n1") >= max(LEAST_DOCS, SHARE * n1)).withColumn("odds", odds).where((F.col("odds") >= LOG_ODDS) & (F.bit_count("mask") >= CONTEXTS))
-    words, beginnings, taken = {}, {}, {}
-    rows = found.orderBy(F.desc("odds"), "term", "whole").limit(TERMS).collect()
-    for r in sorted(rows, key=lambda r: (-round(2 * r["odds"]), len(r["term"]), r["term"], r["whole"])):
+    words, beginnings = {}, {}
+    # For each beginning, the toxic documents of terms already learned that have it.
+    longer: dict[str, int] = {}
+    for r in sorted(found.collect(), key=lambda r: (-round(2 * r["odds"]), len(r["term"]), r["term"], r["whole"])):
         term, whole, w = r["term"], r["whole"], float(r["odds"])
         if any(beginnings.get(term[:n], -1.0) >= w - 1 for n in BEGINNINGS if n < len(term) or whole and n == len(term)):
             continue
-        left = r["n1"] - sum(n for x, n in taken.items() if not whole and x.startswith(term))
+        left = r["n1"] - (0 if whole else longer.get(term, 0))
         if left < max(LEAST_DOCS, SHARE * n1) or np.log((left + 0.5) / (n1 + 1)) - np.log((r["n0"] + 0.5) / (n0 + 1)) < LOG_ODDS:
             continue
         (words if whole else beginnings)[term] = w
-        taken[term] = r["n1"]
+        for n in BEGINNINGS:
+            if n <= len(term):
+                longer[term[:n]] = longer.get(term[:n], 0) + r["n1"]
     return Lexicon(words, beginnings)
 
 
@@ -216,6 +226,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([features(x, weigh) for x in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
     rows = sample.select("text", "toxic").mapInArrow(run, "x array<double>, y int").collect()
+    dropped(sample)
     order = sorted((tuple(r["x"]), r["y"]) for r in rows)
     return fitted(np.array([r[0] for r in order]), np.array([r[1] for r in order], float), lexicon)
 
