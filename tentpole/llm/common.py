@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ __all__ = ["connected_components", "dropped", "heavy_keys", "lookup_join", "made
 HEAVY_SHARE = 0.001
 #: No key with fewer rows counts as heavy: one task can take that many.
 HEAVY_ROWS = 20_000
+#: Edges that a task turns into stars before components are sought.
+LINKS = 1_000_000
 
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS) -> list:
@@ -41,6 +47,35 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left",
     return rows.where(~is_heavy).join(table.where(~is_heavy), key, how).unionByName(hot)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of some edges but the smallest of its component there: the node and that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        for end in (label[a], label[b]):
+            np.minimum.at(label, end, low)
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for b in batches:
+        held.append(np.array([c.to_numpy() for c in b.columns]))
+        n += b.num_rows
+        if n >= 2 * LINKS:
+            held = [np.array(stars(*np.concatenate(held, axis=1)))]
+            if (n := held[0].shape[1]) >= LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["u", "v"])
+                held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(*np.concatenate(held, axis=1))], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Component of every node with an edge: columns ``node`` and ``component`` (its smallest node).
 
@@ -48,10 +83,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     do not matter, rows with a null are no edge. Alternates large-star and
     small-star steps, each a minimum by key (combined before the shuffle) and a
     join, until nothing changes; every round is written to the shared folder.
+    Before the first, tasks turn about ``LINKS`` edges each into stars, so a
+    group that very many edges connect begins with few.
     No component is ever gathered on one task or the driver.
     """
-    links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = saved(links, "links"), None
+    links = saved(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "links")
+    some = links.coalesce(max(1, -(-links.count() // LINKS)))
+    now, before = saved(some.mapInArrow(_stars, "u long, v long").distinct(), "links"), None
+    dropped(links)
     for _ in range(rounds):
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if before is not None and tuple(mark) == before:

@@ -267,7 +267,9 @@ def test_similar_texts_are_merged_and_others_kept(spark):
     assert len(kept & {3 * k + 1 for k in range(40)}) <= 1
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("links", [common.LINKS, 7])
+def test_components_of_chains_and_stars(spark, monkeypatch, links):
+    monkeypatch.setattr(common, "LINKS", links)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3), (201, 200)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     expected = {k: 0 for k in range(1, 61)} | {100 + k: 100 for k in range(1, 50)} | {201: 200}
