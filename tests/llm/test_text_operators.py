@@ -194,6 +194,29 @@ def test_rule_order_does_not_change_the_verdict():
         assert (quality.cascade(d, quality.RULES) is None) == (quality.cascade(quality.Text(t), quality.RULES[::-1]) is None)
 
 
+def test_rules_are_ordered_by_what_is_left_to_reject():
+    """A costly rule goes behind a cheap one that rejects the same, however much it would reject alone."""
+    def costly(d):
+        sum(x * x for x in range(20_000))
+        return d.get("n_words") < 50
+
+    some = [quality.Rule("costly", costly), quality.Rule("other", lambda d: "#" in d.text), *quality.BASE]
+    texts = ["few words"] * 30 + [prose(k, 80) + " #" for k in range(10)] + [prose(k, 80) for k in range(10)]
+    order = quality.greedy_order(texts, some)
+    names = [n for n, *_ in order]
+    assert names.index("few_words") < names.index("costly") and names[-1] == "costly"
+    at = {n: (rejected, seen) for n, _, rejected, seen in order}
+    assert at["costly"][0] == 0 and sum(r for r, _ in at.values()) == 40
+
+
+def test_upper_case_letters_are_those_of_their_category():
+    import unicodedata
+
+    text = "".join(chr(c) for c in range(0x20, 0x1FFFF) if unicodedata.category(chr(c)) != "Cs")
+    assert quality.Text(text).get("n_upper") == sum(unicodedata.category(c) == "Lu" for c in text)
+    assert quality.Text(text).get("n_letters") == sum(unicodedata.category(c)[0] == "L" for c in text)
+
+
 def brute_fingerprint(text: str | None) -> int:
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[k : k + 4]) for k in range(max(1, len(w) - 3))] if w else []
