@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tentpole.llm import decontaminate, packing, quality, simhash, substring
-from tentpole.llm.common import scratch_path
+from tentpole.llm.common import made, released, scratch_path
 from tentpole.llm.queries import tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,10 +54,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents, each written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over the documents, each written as Parquet to the shared folder and read again.
+
+    A stage's own intermediate tables, and the documents it began with, are
+    deleted once its result is written; that of the last stays until the
+    process ends. Null texts, and texts without words, go with the first stage;
+    an empty table gives no pieces.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
+        before = made()
         path = scratch_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        released(before - {last}, {path})
+        docs, last = spark.read.parquet(path), path
     return docs
