@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 MONTHS = {
     "jan": 1, "feb": 2, "mae": 3, "mär": 3, "mar": 3, "apr": 4, "mai": 5, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "okt": 10, "oct": 10, "nov": 11, "dez": 12, "dec": 12,
 }
+# The two orders of English dates.
 MONTH_FIRST = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s*(\d{4})"
 DAY_FIRST = r"^(\d{1,2})\.?\s+([A-Za-z]{3,9})\.?\s+(\d{4})"
 
 
 def _trimmed(c: Column | str) -> Column:
-    return F.trim(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")))
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
 def _made(year: Column, month: Column, day: Column) -> Column:

@@ -31,7 +31,10 @@ def test_dates_that_do_not_exist_are_null(spark):
 
 def test_prices(spark):
     # A dot separates thousands only in a number with a comma.
-    assert values(spark, ["ab 12,50 €", "Eintritt frei", "20-30 EUR", "", "GBP 10", "1.234,50 €", "1.200 €"], money.in_euro) == [12.5, 0.0, 20.0, None, 11.7, 1234.5, 1.2]
+    said = ["ab 12,50 €", "Eintritt frei", "20-30 EUR", "", "GBP 10", "1.234,50 €", "1.200 €", None, "frei, sonst 5 €", "5 €, Kinder frei", "ca. 30", "25 bis 40 CHF", "0 €", "9000 EUR", "VVK 20 € AK 25 €", "umsonst und draussen"]
+    df = spark.createDataFrame(list(enumerate(said)), "k int, t string")
+    got = [r["eur"] for r in money.with_euro(df, "t").orderBy("k").collect()]
+    assert got == [12.5, 0.0, 20.0, None, 11.7, 1234.5, 1.2, None, 0.0, 5.0, 30.0, 26.5, None, None, 20.0, 0.0]
 
 
 def test_genre_rules(spark):
@@ -85,10 +88,38 @@ def test_overlapping_pairs_of_a_large_key(spark):
     assert [tuple(r) for r in lookups.overlapping_pairs(df, ["k"], "a", "b").collect()] == [(1, 2000 * 1999 // 2)]
 
 
-def test_search_without_any_wish_returns_all_by_date(spark):
+def test_search_without_any_wish_returns_all_dated_by_date(spark):
     rows = [(1, "b", None, None), (2, "a", date(2026, 1, 1), 5.0), (3, "c", date(2025, 1, 1), None)]
     df = spark.createDataFrame(rows, "id int, name string, start date, eur double").withColumns({
         "end": F.col("start"), "cancelled": F.lit(None).cast("boolean"), "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "bands": F.array().cast("array<string>"), "genres": F.lit(None).cast("array<string>"),
     })
-    assert [r["id"] for r in search.hits(df, search.Search()).collect()] == [3, 2, 1]
+    ids = lambda **wish: [r["id"] for r in search.hits(df, search.Search(**wish)).collect()]
+    assert ids() == [3, 2] and ids(undated=True) == [3, 2, 1]
+    # A step that is on asks for unknown prices and places, with bounds or without.
+    assert ids(price_on=True, no_price=False) == [2] and ids(price_on=True) == [3, 2]
+    assert ids(home=(50.0, 10.0), distance_on=True) == [] and ids(home=(50.0, 10.0), distance_on=True, no_place=True) == [3, 2]
     assert [r["id"] for r in search.hits(df, search.Search(start=date(2025, 6, 1))).collect()] == [2]
+
+
+def test_bounds_are_put_in_order():
+    s = search.Search(start=date(2026, 8, 1), end=date(2026, 7, 1), km_max=-5, price_min=30, price_max=10, currency="CHF")
+    assert search.hints(s, date(2026, 7, 15), date(2026, 9, 1)) == ["price-reversed", "past", "too-early", "eur:31.80", "eur:10.60"]
+    c = search.clamped(s, date(2026, 7, 10))
+    assert (c.start, c.end, c.km_max, c.price_min) == (date(2026, 7, 1), date(2026, 8, 1), None, 30)
+
+
+def test_country_names(spark):
+    from tentpole.functions import geo
+
+    said = ["Deutschland", "BRD", " Österreich", "oesterreich", "UK", "dänemark", "Daenemark", "Irland", "Ireland", "Holland", "USA", "Vereinigte  Staaten von Amerika", "Suedkorea", "Weissrussland", "Türkei", "Turkey", "Bosnia and Herzegovina", "Kosovo", "jp", "zz", "Bayern", "", None, "Saudi-Arabien", "Czech Republic", "Republik Timbuktu", "Papua-Neuguinea", "Färöer", "FAEROEER"]
+    code = ["DE", "DE", "AT", "AT", "GB", "DK", "DK", "IE", "IE", "NL", "US", "US", "KR", "BY", "TR", "TR", "BA", "XK", "JP", "ZZ", "Bayern", "", "", "SA", "CZ", "Republik Timbuktu", "PG", "FO", "FO"]
+    known = [c not in ("ZZ", "Bayern", "", "Republik Timbuktu") for c in code]
+    names = geo.country_names(geo.states(spark))
+    df = spark.createDataFrame(list(enumerate(said)), "k int, t string")
+    got = geo.is_country(geo.country_code(df, "t", names, "code"), "code", names).orderBy("k").collect()
+    assert [r["code"] for r in got] == code and [r["is_country"] for r in got] == known
+    assert len(set(geo.GERMAN_NAMES)) == len(geo.GERMAN_NAMES)
+    land = spark.createDataFrame([("United Kingdom Park Hall",), ("Austria Ring",), ("Nowhere At All",), ("",)], "t string")
+    assert [(r["country_of"], r["rest_of"]) for r in geo.country_first(land, "t", names).collect()] == [("GB", "Park Hall"), ("AT", "Ring"), ("Nowhere At", ""), ("", "")]
+    where = spark.createDataFrame([("DE", "EU"), ("JP", "AS")], "code string, continent string")
+    assert [r["continent"] for r in geo.continent(geo.country_code(df, "t", names, "code"), "code", where).orderBy("k").collect()][0] == "EU"
