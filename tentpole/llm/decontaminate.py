@@ -35,8 +35,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Up to so many different words of the test items are broadcast, which spares work; with more, the filter of hashes does alone.
 BLOCK_WORDS = 200_000
-#: Bits of the filter of seed hashes for each seed, and at most. A full filter only lets more through to the join.
-BITS, MOST_BITS = 16, 1 << 27
+#: Bits of the filter of seed hashes for each seed, of which a seed sets two, and at most. A full filter only lets more through to the join.
+BITS, MOST_BITS = 512, 1 << 27
 #: Rows of a table up to which it is broadcast.
 FEW = 200_000
 SCHEMA = "doc_id long, item_id long, score double, first_word long, n_words long"
@@ -167,6 +167,8 @@ def _seeding(total: int):
 def _hits(bits: np.ndarray, first: frozenset[str] | None, lengths: list[int]):
     """The documents that may hold a seed: row, id, text, and where with which hash."""
 
+    bits = bits.tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -180,7 +182,8 @@ def _hits(bits: np.ndarray, first: frozenset[str] | None, lengths: list[int]):
                     for k in lengths:
                         if p + k <= len(words):
                             h = seed_hash(words[p : p + k])
-                            if bits[(h & mask) >> 3] >> (h & 7) & 1:
+                            g = h >> 32
+                            if bits[(h & mask) >> 3] >> (h & 7) & 1 and bits[(g & mask) >> 3] >> (g & 7) & 1:
                                 hits.append({"p": p, "h": h})
                 if hits:
                     found.append((row, d, text, hits))
@@ -225,10 +228,11 @@ def seeds(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _filter(found: DataFrame, n: int) -> np.ndarray:
-    """A bit for each hash of a seed, modulo a power of two, as bytes."""
+    """Two bits for each hash of a seed, from its low and its high half, modulo a power of two, as bytes."""
     size = min(MOST_BITS, max(1 << 15, 1 << (BITS * max(1, n) - 1).bit_length()))
+    halves = found.select(F.explode(F.array("h", F.shiftright("h", 32))).alias("h"))
     bit = F.pmod("h", F.lit(size)) + 1
-    parts = found.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    parts = halves.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     out = np.zeros(size // 8, np.uint8)
     for r in parts.collect():
         out[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
