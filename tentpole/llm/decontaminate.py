@@ -173,8 +173,15 @@ def _hits(bits: np.ndarray, first: frozenset[str] | None, lengths: list[int]):
         from pyspark import TaskContext
 
         row, mask = TaskContext.get().partitionId() << 36, len(bits) * 8 - 1
+        found: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("p", pa.int64()), ("h", pa.int64())]))], strict=True)], names=["row", "doc_id", "text", "hits"])
+            found.clear()
+            return made
+
         for b in batches:
-            found = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = t.as_py()
                 words, hits = words_of(text), []
@@ -187,9 +194,13 @@ def _hits(bits: np.ndarray, first: frozenset[str] | None, lengths: list[int]):
                                 hits.append({"p": p, "h": h})
                 if hits:
                     found.append((row, d, text, hits))
+                    size += len(text) + 50 * len(hits)
+                    if size > 4_000_000:
+                        yield out()
+                        size = 0
                 row += 1
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("p", pa.int64()), ("h", pa.int64())]))], strict=True)], names=["row", "doc_id", "text", "hits"])
+        if found:
+            yield out()
 
     return run
 
