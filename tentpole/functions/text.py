@@ -59,14 +59,15 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
-def clean(c: Column | str) -> Column:
-    """One line: character references decoded, invisible characters and white space runs as one blank, trimmed.
-
-    Texts without ``&`` never leave the JVM's fast path: Python sees a null.
-    """
+def decoded(c: Column | str) -> Column:
+    """Character references decoded. Texts without ``&`` never leave the JVM's fast path: Python sees a null."""
     t = _text(c)
-    decoded = F.coalesce(_unescaped(F.when(t.contains("&"), t)), t)
-    return collapsed(F.regexp_replace(decoded, INVISIBLE, " "))
+    return F.coalesce(_unescaped(F.when(t.contains("&"), t)), t)
+
+
+def clean(c: Column | str) -> Column:
+    """One line: character references decoded, invisible characters and white space runs as one blank, trimmed."""
+    return collapsed(F.regexp_replace(decoded(c), INVISIBLE, " "))
 
 
 def fold(c: Column | str) -> Column:

@@ -36,23 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    acts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.concat(F.lit("act"), (F.col("l_partkey") % 50).cast("string")))).alias("bands"))
     start = F.to_date("o_orderdate")
-    return orders.join(acts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("event "), F.col("o_orderkey").cast("string")).alias("name"),
         F.when(F.col("o_orderkey") % 17 != 0, start).alias("start"), F.when(F.col("o_orderkey") % 17 != 0, F.date_add(start, 3)).alias("end"), (F.col("o_orderkey") % 29 == 0).alias("cancelled"),
         F.when(F.col("o_custkey") % 11 != 0, (F.col("o_custkey") * 7 % 1700) / 10.0 - 85).alias("lat"), F.when(F.col("o_custkey") % 11 != 0, (F.col("o_custkey") * 13 % 3500) / 10.0 - 175).alias("lon"),
-        F.when(F.col("o_orderkey") % 7 != 0, F.round(F.col("o_totalprice") / 1000, 2)).alias("eur"), F.coalesce("bands", F.array().cast("array<string>")).alias("bands"), F.array("o_orderpriority").alias("genres"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.floor(F.col("o_totalprice") / 10) / 100).alias("eur"), F.array("o_orderpriority").alias("genres"),
     )
 
 
+def acts_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who plays at each event: ``id``, ``band``, with repeats."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("act"), (F.col("l_partkey") % 50).cast("string")).alias("band"))
+
+
 EVENTS_SQL = """
     acts AS (SELECT l_orderkey, list_sort(list(DISTINCT 'act' || (l_partkey % 50))) AS bands FROM lineitem GROUP BY l_orderkey),
     ev AS (
         SELECT o_orderkey AS id, 'event ' || o_orderkey AS name, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE END AS start, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE + 3 END AS fin,
                o_orderkey % 29 = 0 AS cancelled, CASE WHEN o_custkey % 11 <> 0 THEN (o_custkey * 7 % 1700) / 10.0 - 85 END AS lat, CASE WHEN o_custkey % 11 <> 0 THEN (o_custkey * 13 % 3500) / 10.0 - 175 END AS lon,
-               CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice / 1000, 2) END AS eur, coalesce(bands, []) AS bands, [o_orderpriority] AS genres
+               CASE WHEN o_orderkey % 7 <> 0 THEN floor(o_totalprice / 10) / 100 END AS eur, coalesce(bands, []) AS bands, [o_orderpriority] AS genres
         FROM orders LEFT JOIN acts ON l_orderkey = o_orderkey
     ),
     placed AS (SELECT *, round(2 * 6371.0 * asin(sqrt(pow(sin((radians(lat) - radians(48.1)) / 2), 2) + cos(radians(48.1)) * cos(radians(lat)) * pow(sin(radians(lon - 11.6) / 2), 2)))) AS km FROM ev),
@@ -70,18 +73,38 @@ ASKED = search.Search(
 
 @query("flt15_search", f"WITH {EVENTS_SQL} SELECT id, name, start, km, eur, pct FROM passed WHERE p1 AND p2 AND p3 AND p4 AND p5 ORDER BY pct DESC NULLS LAST, km NULLS LAST, start NULLS LAST, eur NULLS LAST, name, id LIMIT 300")
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hits(events_of_orders(spark, sf_dir), ASKED).select("id", "name", "start", "km", "eur", "pct")
+    found = search.with_bands(events_of_orders(spark, sf_dir), acts_of_orders(spark, sf_dir), ASKED)
+    return search.hits(found, ASKED).select("id", "name", "start", "km", "eur", "pct")
 
 
-@query("flt16_funnel", f"""WITH {EVENTS_SQL}, c AS (SELECT count_if(p1) AS a, count_if(p1 AND p2) AS b, count_if(p1 AND p2 AND p3) AS c, count_if(p1 AND p2 AND p3 AND p4) AS d, count_if(p1 AND p2 AND p3 AND p4 AND p5) AS e FROM passed)
-    SELECT unnest(['time', 'distance', 'price', 'bands', 'genre']) AS step, unnest([a, b, c, d, e])::BIGINT AS n FROM c""")
+@query("flt16_funnel", f"""WITH {EVENTS_SQL}, c AS (SELECT count(*) AS p, count_if(p1) AS a, count_if(p1 AND p2) AS b, count_if(p1 AND p2 AND p3) AS c, count_if(p1 AND p2 AND p3 AND p4) AS d, count_if(p1 AND p2 AND p3 AND p4 AND p5) AS e FROM passed)
+    SELECT unnest(['place', 'time', 'distance', 'price', 'bands', 'genre']) AS step, unnest([p, a, b, c, d, e])::BIGINT AS n FROM c""")
 def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.funnel(events_of_orders(spark, sf_dir), ASKED)
+    return search.funnel(search.with_bands(events_of_orders(spark, sf_dir), acts_of_orders(spark, sf_dir), ASKED), ASKED)
+
+
+def _ordered(name: str, order: str, wish: search.Search, condition: str, offset: int = 0, limit: int = 300) -> None:
+    @query(name, f"WITH {EVENTS_SQL} SELECT id, name, start, km, eur FROM (SELECT * FROM placed WHERE NOT cancelled AND {condition} ORDER BY {order}, name, id LIMIT 300) ORDER BY {order}, name, id LIMIT {limit} OFFSET {offset}")
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        page = {} if limit == 300 else {"page": offset // limit, "per_page": limit}
+        return search.hits(events_of_orders(spark, sf_dir), wish, **page).select("id", "name", "start", "km", "eur")
+
+
+# Without bounds, what is unknown passes only if it is asked for.
+_ordered("flt10_time", "start NULLS LAST, km NULLS LAST, eur NULLS LAST", search.Search(home=(48.1, 11.6), sort="date"), "start IS NOT NULL")
+_ordered("flt11_distance", "km NULLS LAST, start NULLS LAST, eur NULLS LAST", search.Search(home=(48.1, 11.6), distance_on=True, undated=True), "km IS NOT NULL")
+_ordered("flt12_price", "eur NULLS LAST, km NULLS LAST, start NULLS LAST", search.Search(home=(48.1, 11.6), price_on=True, no_price=False, undated=True, sort="price"), "eur IS NOT NULL")
+_ordered("srt05_pages", "km NULLS LAST, start NULLS LAST, eur NULLS LAST", search.Search(home=(48.1, 11.6), undated=True), "true", 50, 25)
 
 
 @query("agg13_facets", f"WITH {EVENTS_SQL} SELECT b AS value, count(*) AS n FROM (SELECT unnest(bands) AS b FROM ev) GROUP BY b")
 def band_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.facets(events_of_orders(spark, sf_dir), "bands")
+    return acts_of_orders(spark, sf_dir).distinct().groupBy(F.col("band").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agg20_facets", f"WITH {EVENTS_SQL}, c AS (SELECT unnest(['1-URGENT', '2-HIGH', 'nothing']) AS value) SELECT value, count(id) AS n FROM c LEFT JOIN ev ON list_contains(genres, value) GROUP BY 1")
+def genre_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.facets(events_of_orders(spark, sf_dir), "genres", spark.createDataFrame([("1-URGENT",), ("2-HIGH",), ("nothing",)], "value string"))
 
 
 @query("srt06_name_search", "SELECT p_name AS name, count(*) AS n FROM part WHERE contains(lower(p_name), 'in') GROUP BY p_name ORDER BY n DESC, name LIMIT 80")
@@ -106,11 +129,6 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_source.links(table(spark, sf_dir, "pages"))
 
 
-@query("src16_json_ld")
-def json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.event_blocks(table(spark, sf_dir, "pages"))
-
-
 @query("arr06_json_fields", "SELECT json_extract_string(props, '$.k')::INTEGER AS k, count(*) AS n FROM events GROUP BY ALL")
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -143,7 +161,7 @@ def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("l_linenumber") % 3
     line = table(spark, sf_dir, "lineitem").where((kind != 1) | (F.col("l_quantity") == F.floor("l_quantity")))
     said = F.when(kind == 0, F.concat(F.lit("ab "), q, F.lit(",50 €"))).when(kind == 1, F.concat(F.lit("GBP "), q)).otherwise(F.lit("Eintritt frei"))
-    return line.select("l_orderkey", "l_linenumber", F.round(money.in_euro(said), 2).alias("eur"))
+    return money.with_euro(line.withColumn("said", said), "said").select("l_orderkey", "l_linenumber", F.round("eur", 2).alias("eur"))
 
 
 @query("txt20_genres", """WITH c AS (SELECT p_partkey, p_name || ', ' || p_type AS t FROM part),
@@ -321,3 +339,6 @@ def source_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("str01_windowed_prices", """SELECT user_id AS key, date_trunc('day', ts)::TIMESTAMP AS window_start, arg_min(value, ts) AS first, arg_max(value, ts) AS current, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
 def windowed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.windowed_prices(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("value").alias("price"), "ts"))
+
+
+from tentpole.plans import source_queries  # noqa: E402, F401  (registers its queries)

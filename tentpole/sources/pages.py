@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tentpole.functions.text import _text, clean
+from tentpole.functions.text import _text, clean, collapsed, decoded, valid_band
 
 # Types of JSON-LD objects that are events.
 EVENT_TYPES = ["event", "festival", "musicevent", "musicfestival"]
@@ -49,8 +50,7 @@ def event_objects(pages: pd.Series) -> pd.Series:
                 if isinstance(x, list):
                     open_ += x
                 elif isinstance(x, dict):
-                    kinds = x.get("@type")
-                    if any(str(k).lower() in EVENT_TYPES for k in (kinds if isinstance(kinds, list) else [kinds])):
+                    if str(x.get("@type", "")).lower() in EVENT_TYPES:
                         out.append(json.dumps(x, ensure_ascii=False))
                     if isinstance(x.get("@graph"), list):
                         open_ += x["@graph"]
@@ -68,3 +68,55 @@ def event_blocks(pages: DataFrame) -> DataFrame:
 def first_object(json_text: Column, path: str) -> Column:
     """JSON text at a path that may be an object or a list of them: the first one."""
     return F.coalesce(F.get_json_object(json_text, f"$.{path}[0]"), F.get_json_object(json_text, f"$.{path}"))
+
+
+#: Stands for a tag while a page becomes text.
+_TAG = "\x01"
+#: What is no text of a page: comments, declarations, scripts, styles, templates.
+_NO_TEXT = r"(?is)<!--.*?-->|<![a-z][^>]*>|<(script|style|template)\b[^>]*>.*?</\1\s*>"
+
+
+def flat(c: Column | str, between: str = " ") -> Column:
+    """The text of a page: every piece of text between tags, cleaned, without empty ones, joined."""
+    marked = F.regexp_replace(F.regexp_replace(_text(c), _NO_TEXT, ""), r"<[^>]*>", _TAG)
+    pieces = F.transform(F.split(decoded(marked), _TAG), collapsed)
+    return F.array_join(F.filter(pieces, lambda x: x != ""), between)
+
+
+def plain(c: Column) -> Column:
+    """Text of a piece of markup, for use in lambdas: tags go, the five basic character references are decoded."""
+    t = F.regexp_replace(c, r"<[^>]*>", "")
+    for name, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = F.replace(t, F.lit(name), F.lit(letter))
+    return collapsed(t)
+
+
+def element(c: Column | str, tag: str) -> Column:
+    """Cleaned text of the first element with a tag; empty without one."""
+    return clean(F.regexp_replace(F.regexp_extract(_text(c), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"<[^>]*>", " "))
+
+
+def anchors(c: Column | str) -> Column:
+    """All links with a target in double quotes: array of (href, text, title)."""
+    pattern = r'(?is)<a\s(?=[^>]*\bhref="([^"]*)")(?=[^>]*?(?:\btitle="([^"]*)"|>))[^>]*>(.*?)</a\s*>'
+    every = [F.regexp_extract_all(_text(c), F.lit(pattern), F.lit(k)) for k in (1, 3, 2)]
+    return F.transform(F.arrays_zip(*(e.alias(n) for e, n in zip(every, "htk", strict=True))), lambda x: F.struct(F.trim(x["h"]).alias("href"), plain(x["t"]).alias("text"), x["k"].alias("title")))
+
+
+def first_link(links: Column, good: Callable[[Column], Column]) -> Column:
+    """Target of the first of some links (from :func:`anchors`) for which ``good`` holds; empty if there is none."""
+    return F.coalesce(F.try_element_at(F.filter(links, good), F.lit(1))["href"], F.lit(""))
+
+
+def joined_url(base: Column, href: Column) -> Column:
+    """A link's target seen from the page it stands on."""
+    host = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"[^/]*$", "")
+    return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z]+:)", 1), href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(folder, href))
+
+
+def performers(event: Column) -> Column:
+    """Names of an event object's performers, which are texts or objects, as far as they can be acts."""
+    every = F.from_json(F.get_json_object(event, "$.performer"), "array<string>")
+    names = F.transform(F.coalesce(every, F.array().cast("array<string>")), lambda x: plain(F.coalesce(F.get_json_object(x, "$.name"), F.when(~x.startswith("{"), x), F.lit(""))))
+    return F.filter(names, lambda x: valid_band(x, cleaned=True))
