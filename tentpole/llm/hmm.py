@@ -27,7 +27,7 @@ HEAD, KNOWN = 50_000, 200_000
 CLASSES = 4096
 STATES = 12
 #: Baum-Welch passes over all training documents.
-PASSES = 4
+PASSES = 3
 #: Training begins with how often the most frequent symbols, so many, stand together within so many tokens of a text.
 MARKS, SPAN = 256, 128
 #: Pseudo-counts that each state's emissions take from the unigram distribution: during training, and those tried at its end
@@ -80,6 +80,10 @@ class Model:
     move: np.ndarray
     emit: np.ndarray
 
+    def single(self) -> Model:
+        """In single precision, which is enough for counts that are summed in double; scores stay in double."""
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
+
 
 class Batch:
     """Texts side by side, longest first: at step t the first ``active[t]`` go on. All arrays are in order of (step, text).
@@ -100,8 +104,8 @@ class Batch:
     def _run(self, m: Model, t0: int, t1: int, a: np.ndarray | None, total: np.ndarray | None, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Steps ``t0`` to ``t1`` after forward values ``a``: the last ones, and with ``keep`` all of them with their scales."""
         first = self.begin[t0]
-        alpha = np.empty((self.begin[t1] - first, len(m.start))) if keep else None
-        scale = np.empty(self.begin[t1] - first) if keep else None
+        alpha = np.empty((self.begin[t1] - first, len(m.start)), m.emit.dtype) if keep else None
+        scale = np.empty(self.begin[t1] - first, m.emit.dtype) if keep else None
         for t in range(t0, t1):
             n, s = self.active[t], slice(self.begin[t], self.begin[t + 1])
             a = (m.start if a is None else a[:n] @ m.move) * m.emit[self.symbols[s]]
@@ -135,8 +139,8 @@ class Batch:
         for t0, t1 in parts:
             entry.append(a)
             a, alpha, scale = self._run(m, t0, t1, a, total, (t0, t1) == parts[-1])
-        moves, starts = np.zeros_like(m.move), np.zeros(states)
-        beta = np.ones((self.active[-1], states))
+        moves, starts = np.zeros((states, states)), np.zeros(states)
+        beta = np.ones((self.active[-1], states), m.emit.dtype)
         for (t0, t1), before in zip(parts[::-1], entry[::-1], strict=True):
             if alpha is None:
                 _, alpha, scale = self._run(m, t0, t1, before, None, True)
@@ -149,7 +153,7 @@ class Batch:
                     moves += last[:n].T @ ahead
                 alpha[s] *= beta
                 if t:
-                    beta = np.ones((self.active[t - 1], states))
+                    beta = np.ones((self.active[t - 1], states), m.emit.dtype)
                     beta[:n] = ahead @ m.move.T
                 else:
                     starts = alpha[s].sum(0)
@@ -182,7 +186,7 @@ def estimated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unig
 
 def gathered(texts: list[np.ndarray], m: Model, group: int | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over texts: (log10 likelihood, starts, moves, emissions by symbol)."""
-    total, starts, moves, emissions = 0.0, np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
+    total, starts, moves, emissions = 0.0, np.zeros(m.start.shape), np.zeros(m.move.shape), np.zeros(m.emit.shape)
     for part in groups(texts, group or GROUP):
         one, s, v = Batch([texts[i] for i in part]).counts(m, emissions, group)
         total, starts, moves = total + one, starts + s, moves + v
@@ -328,7 +332,7 @@ def _expected(vocab, model):
     """Baum-Welch counts of a partition and of either part: a row for each symbol, and rows -1 - k for the moves from state k and -1 - states for the starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = vocab.value, model.value
+        v, m = vocab.value, model.value.single()
         states = len(m.start)
         found: dict[bool, list[np.ndarray]] = {}
         for b in batches:
@@ -336,7 +340,7 @@ def _expected(vocab, model):
             for t, part in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 texts.setdefault(part, []).append(np.frombuffer(t.as_buffer(), v.code))
             for part, some in texts.items():
-                sums = found.setdefault(part, [np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)])
+                sums = found.setdefault(part, [np.zeros(m.start.shape), np.zeros(m.move.shape), np.zeros(m.emit.shape)])
                 for total, more in zip(sums, gathered(some, m)[1:], strict=True):
                     total += more
         for part, (starts, moves, emissions) in found.items():

@@ -235,7 +235,7 @@ def test_training_over_partitions_equals_training_in_one_place(spark, monkeypatc
     fit = {p: hmm.likelihood([s for k, s in own if part[k]], hmm.estimated(*most, n / n.sum(), p)).sum() for p in hmm.PRIORS}
     best = max(fit, key=lambda p: fit[p])
     want = hmm.estimated(*(a + b for a, b in zip(most, rest, strict=True)), vocab.unigram, best)
-    assert np.allclose(got.emit, want.emit) and np.allclose(got.move, want.move) and np.allclose(got.start, want.start)
+    assert np.allclose(got.emit, want.emit, 1e-3) and np.allclose(got.move, want.move, 1e-3) and np.allclose(got.start, want.start, 1e-3)
     assert len(set(np.argmax(got.emit[[vocab.number[b"ab"], vocab.number[b"ac"]]], 1)) | set(np.argmax(got.emit[[vocab.number[b"ba"], vocab.number[b"bb"]]], 1))) > 1
 
 
