@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -70,12 +70,13 @@ def clean(c: Column | str) -> Column:
     return collapsed(F.regexp_replace(decoded(c), INVISIBLE, " "))
 
 
-def fold(c: Column | str) -> Column:
+def fold(c: Column | str, decode: bool = True) -> Column:
     """Comparison key of a name: letters and digits of any script, without case, marks, connecting words, one leading article and one trailing addition.
 
-    Only texts with a character outside ASCII are decomposed in Python.
+    Only texts with a character outside ASCII are decomposed in Python. What a
+    user types has no character references to ``decode``.
     """
-    t = clean(c)
+    t = clean(c) if decode else collapsed(F.regexp_replace(_text(c), INVISIBLE, " "))
     v = F.coalesce(_decomposed(F.when(t.rlike(r"[^\x00-\x7F]"), t)), F.lower(t))
     for old, new in SPECIAL_LETTERS + REPLACEMENTS:
         v = F.replace(v, F.lit(old), F.lit(new))
@@ -90,6 +91,20 @@ def joined(key: Column) -> Column:
     return let(key, lambda k: F.when(F.length(F.replace(k, F.lit(" "), F.lit(""))) >= 5, F.replace(k, F.lit(" "), F.lit(""))).otherwise(k))
 
 
+def with_band_key(df: DataFrame, column: str, aliases: DataFrame, out: str = "band_key") -> DataFrame:
+    """Add the key of an act: the fold of its name, or of the full name that it is short for (``aliases``: short, full), without blanks if long enough."""
+    known = aliases.select(fold("short").alias("__short"), fold("full").alias("__full")).groupBy("__short").agg(F.min("__full").alias("__full"))
+    rows = df.withColumn("__fold", fold(column)).join(known, F.col("__fold") == F.col("__short"), "left")
+    return rows.withColumn("__key", F.coalesce("__full", "__fold")).withColumn(out, joined(F.col("__key"))).drop("__fold", "__short", "__full", "__key")
+
+
+def with_preferred_name(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """Replace a name by the preferred one for its fold (``aliases``: variant, preferred)."""
+    known = aliases.select(fold("variant").alias("__variant"), "preferred").groupBy("__variant").agg(F.min("preferred").alias("__preferred"))
+    rows = df.withColumn("__fold", fold(column)).join(known, F.col("__fold") == F.col("__variant"), "left")
+    return rows.withColumn(column, F.coalesce("__preferred", column)).drop("__fold", "__variant", "__preferred")
+
+
 def event_key_of_fold(folded: Column) -> Column:
     """Key of an event name from its fold: years and the words for festival go, unless nothing would be left."""
 

@@ -87,6 +87,19 @@ def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def by_member(df: DataFrame, member: str, group: str) -> DataFrame:
-    """Per member the number of rows and the sorted distinct groups, joined by ``", "``."""
+    """Per member the number of rows and the sorted distinct groups, joined by ``", "``; the members of most rows first."""
     each = df.groupBy(member, group).agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy(member).agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(group)), ", ").alias("groups"))
+    counted = each.groupBy(member).agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(group)), ", ").alias("groups"))
+    return counted.orderBy(F.desc("n"), F.lower(member), member)
+
+
+def variants(df: DataFrame, key: str, name: str) -> DataFrame:
+    """The spellings of each key: ``key``, ``variants`` (sorted), ``n`` of them."""
+    each = df.where(F.col(name).isNotNull()).select(F.col(key).alias("key"), name).distinct()
+    return each.groupBy("key").agg(F.array_sort(F.collect_list(name)).alias("variants")).withColumn("n", F.size("variants"))
+
+
+def variant_report(found: DataFrame, examples: int = 400) -> tuple[DataFrame, DataFrame]:
+    """Of keys with their spellings: counts (``raw`` spellings, ``groups``, ``unified`` groups of several), and the first groups of several as examples."""
+    counts = found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("raw"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") > 1).alias("unified"))
+    return counts, found.where("n > 1").orderBy("key").limit(examples)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tentpole.functions import dates, genres, geo, money, text
-from tentpole.operators import aggregates, greedy, lookups, resolve, search, state
+from tentpole.operators import aggregates, lookups, search, state
 from tentpole.sources import pages as page_source
 from tentpole.streaming import prices
 
@@ -274,44 +274,11 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.dictionary(table(spark, sf_dir, "part"), "p_type", "p_partkey")
 
 
-@query("snk04_bands", "SELECT p_name, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_brand)), ', ') AS groups FROM part GROUP BY 1")
+@query("snk04_bands", "SELECT p_name, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_brand)), ', ') AS groups FROM part GROUP BY 1 ORDER BY n DESC, lower(p_name)")
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.by_member(table(spark, sf_dir, "part"), "p_name", "p_brand")
 
 
-# --- entity resolution: documents as findings, named by their first words
-
-
-def findings_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    name = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-zA-Z ]", ""), 1, 12)
-    e = lambda v: F.lit(v)
-    return d.select(
-        F.coalesce("source", F.lit("")).alias("source"), F.ascii(F.coalesce("source", F.lit(""))).alias("rank"), F.format_string("%012d", "doc_id").alias("url"), name.alias("name"),
-        F.date_add(e(date(2026, 1, 1)), (F.col("n_chars") % 300).cast("int")).alias("start"), e(None).cast("date").alias("end"), e("2026").alias("year"), F.coalesce("lang", F.lit("")).alias("city"), e("").alias("country"),
-        e("").alias("venue"), e("").alias("postcode"), e(None).cast("double").alias("lat"), e(None).cast("double").alias("lon"), e("").alias("price"), e("").alias("website"), F.coalesce("lang", F.lit("")).alias("genre"),
-        e("").alias("visitors"), e("").alias("note"), e(False).alias("cancelled"), F.array().cast("array<string>").alias("lineup"),
-    )
-
-
-@query("er01_exact_merge")
-def exact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve.exact(resolve.keyed(findings_of_documents(spark, sf_dir)))
-    return out.select("id", "name", "name_key", "city_key", "start", "genre", F.array_join(F.map_values("sources"), ",").alias("urls"))
-
-
-@query("er02_unique_sources")
-def unique_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve.unique_sources(resolve.exact(resolve.keyed(findings_of_documents(spark, sf_dir))))
-    return out.select("id", "name", "name_key", "city_key", "start", "genre", F.size("sources").alias("n_sources"))
-
-
-@query("er09_resolved")
-def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = greedy.resolved(resolve.keyed(findings_of_documents(spark, sf_dir)))
-    return out.select("id", "name", "name_key", "city_key", "start", "end", "genre", F.size("sources").alias("n_sources"))
-
-
 # --- state across runs
 
 
@@ -341,4 +308,4 @@ def windowed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.windowed_prices(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("value").alias("price"), "ts"))
 
 
-from tentpole.plans import source_queries  # noqa: E402, F401  (registers its queries)
+from tentpole.plans import entity_queries, source_queries  # noqa: E402, F401  (they register their queries)
