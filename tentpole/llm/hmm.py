@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,8 @@ class Vocabulary:
     #: Of each class, words outside the head: log10 of tokens + distinct + 1.
     class_log: np.ndarray
     unigram: np.ndarray
+    #: Symbols of the known words, in the order of ``count``.
+    codes: np.ndarray
 
     @property
     def code(self) -> type:
@@ -292,7 +295,8 @@ def vocabulary(train: DataFrame, head: int = HEAD, known: int = KNOWN) -> tuple[
         v[c] -= 1
     number = {w: k + 1 for k, w in enumerate(names[:head])}
     unigram = np.concatenate([[ends], uses[:head], n]) + 1.0
-    return Vocabulary(number, dict(zip(names, uses, strict=True)), ends, tokens, distinct, np.log10(n + v + 1), unigram / unigram.sum()), words
+    codes = np.array([*range(1, len(number) + 1), *(len(number) + 1 + c for c in kinds[head:])], np.int32)
+    return Vocabulary(number, dict(zip(names, uses, strict=True)), ends, tokens, distinct, np.log10(n + v + 1), unigram / unigram.sum(), codes), words
 
 
 def _together(code: type):
@@ -420,6 +424,9 @@ def _encoded(vocab):
 
         v = vocab.value
         row, base = TaskContext.get().partitionId() << 36, len(v.number) + 1
+        # Known words by number; the last entry of the arrays, -1, stands for all others.
+        place = dict(zip(v.count, range(len(v.count)), strict=True)).get
+        codes, logs_of = np.append(v.codes, 0), np.log10(np.append(np.fromiter(v.count.values(), np.float64, len(v.count)), 0.0) + 1.0)
         log_end = float(np.log10(v.ends + 1))
         for big in batches:
             for k in range(0, big.num_rows, 2000):
@@ -427,16 +434,17 @@ def _encoded(vocab):
                 symbols, lengths, known, found, own, tails = [], [], [], [], [], []
                 for t in b.column(1):
                     ws = words_of(t.as_py())
-                    s = v.symbols(ws)
-                    counts = np.array([v.count.get(w, 0) for w in ws], np.int64)
+                    at = np.fromiter(map(place, ws, repeat(-1)), np.int64, len(ws))
+                    s, rare = np.append(codes[at], 0), np.flatnonzero(at < 0)
+                    s[rare] = [base + class_of(ws[i]) for i in rare]
                     outside = s[:-1] >= base
-                    logs = np.log10(counts + 1.0)
+                    logs = logs_of[at]
                     symbols.append(s.astype(v.code).tobytes())
                     lengths.append(len(s))
-                    found.append(int((counts > 0).sum()) + (v.ends > 0))
+                    found.append(len(ws) - len(rare) + (v.ends > 0))
                     known.append(float(logs.sum()) + log_end)
                     own.append(float(logs[outside].sum() - v.class_log[s[:-1][outside] - base].sum()))
-                    tails.append([ws[i] for i in np.flatnonzero(counts == 0)])
+                    tails.append([ws[i] for i in rare])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(row, row + b.num_rows), pa.int64()), b.column(0), b.column(2), pa.array(lengths, pa.int64()), pa.array(found, pa.int64()), pa.array(known, pa.float64()), pa.array(own, pa.float64()), pa.array(tails, pa.list_(pa.binary())), pa.array(symbols, pa.binary())],
                     names=["row", "doc_id", "held_out", "n_tokens", "found", "logs", "own", "tail", "symbols"],
