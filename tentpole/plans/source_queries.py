@@ -55,13 +55,13 @@ def shell(title: str, body: str) -> str:
     return SHELL.replace("{title}", title).replace("{body}", body)
 
 
-EVENT = """<script type="application/ld+json">{"@graph": [{"@type": "WebPage", "name": "no"}, {"@type": "MusicFestival", "name": "Fest {id} {year}", "startDate": "{di}T10:00", "endDate": "{ei}", "eventStatus": "https://schema.org/{off}",
+EVENT = """<script type="application/ld+json">{"@graph": [{"@type": "WebPage", "name": "no"}, {"@type": "MusicFestival", "name": "Fest n{id} {year}", "startDate": "{di}T10:00", "endDate": "{ei}", "eventStatus": "https://schema.org/{off}",
  "location": [{"@type": "Place", "name": "Hall {a}", "address": {"addressLocality": "Street 1, 1234 Town {town}, {country}", "addressCountry": "{country}", "postalCode": "1234"}, "geo": {"latitude": {lat}, "longitude": "{lon}"}}],
  "offers": {"price": "{price}.50", "priceCurrency": "CHF", "url": "http://f{id}.example"}, "performer": [{"name": "Act A{a}"}, "Act B{b}", {"name": "tba"}], "keywords": "Rock, Pop", "isAccessibleForFree": true, "url": "http://e{id}.example"}]}</script>"""
-EVENT_PAGE = shell("Fest {id}", EVENT + '<a href="https://facebook.com/x">f</a><a class="y" href="http://own{id}.example">site</a>')
+EVENT_PAGE = shell("Fest n{id}", EVENT + '<a href="https://facebook.com/x">f</a><a class="y" href="http://own{id}.example">site</a>')
 
 
-@query("src16_json_ld", f"WITH f AS ({FACTS}) SELECT id, 'Fest ' || id || ' ' || {TEXT} AS name, 'Hall ' || a AS venue, price || '.50' AS price FROM f")
+@query("src16_json_ld", f"WITH f AS ({FACTS}) SELECT id, 'Fest n' || id || ' ' || {TEXT} AS name, 'Hall ' || a AS venue, price || '.50' AS price FROM f")
 def json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tentpole.sources import pages as p
 
@@ -69,24 +69,24 @@ def json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page_id").alias("id"), F.get_json_object("event", "$.name").alias("name"), F.get_json_object(p.first_object(F.col("event"), "location"), "$.name").alias("venue"), F.get_json_object(p.first_object(F.col("event"), "offers"), "$.price").alias("price"))
 
 
-@query("src07_festapp", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id AS name, {TEXT} AS title_year, d AS start, e AS end, 'Hall ' || a AS city, {CODES} AS country, '1234' AS postcode, 'ab CHF ' || price || ',50' AS price, 'http://f' || id || '.example' AS website,
+@query("src07_festapp", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id AS name, {TEXT} AS title_year, d AS start, e AS end, 'Hall ' || a AS city, {CODES} AS country, '1234' AS postcode, 'ab CHF ' || price || ',50' AS price, 'http://f' || id || '.example' AS website,
     off AS cancelled, 'Act A' || a || '|Act B' || b AS lineup FROM f WHERE c < 3""")
 def festapp(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parsers.festapp(pages(spark, sf_dir, EVENT_PAGE), names(spark))
     return out.select("name", "title_year", "start", "end", "city", "country", "postcode", "price", "website", "cancelled", F.array_join("lineup", "|").alias("lineup"))
 
 
-@query("src12_jambase", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id || ' ' || {TEXT} AS name, d AS start, e AS end, 'Street 1, 1234 Town ' || town || ', ' || ['Germany', 'Austria', 'United Kingdom', 'Nowhere'][c + 1] AS city, round(lat::DOUBLE, 2) AS lat, round(lon::DOUBLE, 2) AS lon,
+@query("src12_jambase", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id || ' ' || {TEXT} AS name, d AS start, e AS end, 'Street 1, 1234 Town ' || town || ', ' || ['Germany', 'Austria', 'United Kingdom', 'Nowhere'][c + 1] AS city, round(lat::DOUBLE, 2) AS lat, round(lon::DOUBLE, 2) AS lon,
     'http://own' || id || '.example' AS website, 'Eintritt frei' AS price, off AS cancelled, 'Act A' || a || '|Act B' || b AS lineup FROM f""")
 def jambase(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parsers.jambase(pages(spark, sf_dir, EVENT_PAGE))
     return out.select("name", "start", "end", "city", F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"), "website", "price", "cancelled", F.array_join("lineup", "|").alias("lineup"))
 
 
-@query("src11_abroad", f"""WITH f AS ({FACTS}) SELECT CASE WHEN id % 2 = 0 THEN 'Fest ' || id || ' ' || {TEXT} ELSE 'Old Fest ' || id END AS name, CASE WHEN id % 2 = 0 THEN d END AS start, CASE WHEN id % 2 = 0 THEN 'Street 1' ELSE 'Town ' || town END AS city,
+@query("src11_abroad", f"""WITH f AS ({FACTS}) SELECT CASE WHEN id % 2 = 0 THEN 'Fest n' || id || ' ' || {TEXT} ELSE 'Old Fest n' || id END AS name, CASE WHEN id % 2 = 0 THEN d END AS start, CASE WHEN id % 2 = 0 THEN 'Street 1' ELSE 'Town ' || town END AS city,
     CASE WHEN id % 2 = 0 OR c < 3 THEN ['Germany', 'Austria', 'United Kingdom', 'Nowhere'][c + 1] ELSE '' END AS country, CASE WHEN id % 2 = 0 THEN 'Rock, Pop' ELSE '' END AS genre FROM f""")
 def abroad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = shell("Old Fest {id} – Town {town}, {country} 2027 | Festival Abroad", "<p>TBA</p>")
+    plain = shell("Old Fest n{id} – Town {town}, {country} 2027 | Festival Abroad", "<p>TBA</p>")
     both = pages(spark, sf_dir, EVENT_PAGE).where("id % 2 = 0").unionByName(pages(spark, sf_dir, plain).where("id % 2 = 1"))
     return parsers.abroad(both, names(spark)).select("name", "start", "city", "country", "genre")
 
@@ -98,26 +98,26 @@ def festivism(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.festivism(made("{country}", "Offline", 0).unionByName(made("xw", "Offline", 1)).unionByName(made("{country}", "OnlineEventAttendanceMode", 2))).select("name", "city", "country")
 
 
-@query("src09_flyer", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id AS name, {TEXT} AS title_year, d AS start, 'Town ' || town AS city, {CODES} AS country, 'Farm ' || a AS venue, off AS cancelled, 'Act A' || a || '|Act B' || b AS lineup FROM f WHERE c < 3""")
+@query("src09_flyer", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id AS name, {TEXT} AS title_year, d AS start, 'Town ' || town AS city, {CODES} AS country, 'Farm ' || a AS venue, off AS cancelled, 'Act A' || a || '|Act B' || b AS lineup FROM f WHERE c < 3""")
 def flyer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = """<script type='application/ld+json'>[{"@type": "Event", "name": "Fest {id} {year}", "startDate": "{di}", "eventStatus": "{off}", "description": "Lineup: <b>Act A{a}</b> / *Act B{b}* / tba", "location": {"name": "Farm {a}, Cheddar Road, BS40 6LD Town {town}, {country}"}}]</script>"""
+    event = """<script type='application/ld+json'>[{"@type": "Event", "name": "Fest n{id} {year}", "startDate": "{di}", "eventStatus": "{off}", "description": "Lineup: <b>Act A{a}</b> / *Act B{b}* / tba", "location": {"name": "Farm {a}, Cheddar Road, BS40 6LD Town {town}, {country}"}}]</script>"""
     out = parsers.flyer(pages(spark, sf_dir, event), names(spark))
     return out.select("name", "title_year", "start", "city", "country", "venue", "cancelled", F.array_join("lineup", "|").alias("lineup"))
 
 
-@query("src05_alarm", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id AS name, make_date(year(e), month(d), day(d)) AS start, e AS end, 'Town ' || town AS city, '12345' AS postcode, ['Germany', 'Austria', 'United Kingdom', 'Nowhere'][c + 1] AS country, 'Park ' || a AS venue, 'ab ' || price || ' EUR' AS price,
+@query("src05_alarm", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id AS name, make_date(year(e), month(d), day(d)) AS start, e AS end, 'Town ' || town AS city, '12345' AS postcode, ['Germany', 'Austria', 'United Kingdom', 'Nowhere'][c + 1] AS country, 'Park ' || a AS venue, 'ab ' || price || ' EUR' AS price,
     'http://own' || id || '.example' AS website, 'Rock, Pop' AS genre, people AS visitors, 'Act A' || a || '|Act B' || b AS lineup FROM f""")
 def alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = """<h1>Fest {id} {dn} - {e}</h1><ul><li>Festivalticket (ab): <b>ca. {price} €</b></li><li>Tagesticket: -</li><li>Stadt: 12345 Town {town}</li><li>Bundesland: Keine Daten</li><li>Land: {country}</li><li>Veranstaltungsplatz: x</li><li>Örtlichkeit: Park {a}</li>
+    body = """<h1>Fest n{id} {dn} - {e}</h1><ul><li>Festivalticket (ab): <b>ca. {price} €</b></li><li>Tagesticket: -</li><li>Stadt: 12345 Town {town}</li><li>Bundesland: Keine Daten</li><li>Land: {country}</li><li>Veranstaltungsplatz: x</li><li>Örtlichkeit: Park {a}</li>
     <li>Künstler: Act A{a}, Act B{b}, tba</li><li>Anreise: Bahn</li><li>Genres: Rock, Pop</li><li>Gründung: 1999</li><li>Besucher: {people}</li><li>Sonstiges: -</li><li>Webseite: <a href="http://own{id}.example">hier</a></li></ul>"""
     out = parsers.alarm(pages(spark, sf_dir, shell("x", body)))
     return out.select("name", "start", "end", "city", "postcode", "country", "venue", "price", "website", "genre", "visitors", F.array_join("lineup", "|").alias("lineup"))
 
 
-@query("src06_hopper", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id AS name, {TEXT} AS title_year, d AS start, e AS end, 'Town ' || town AS city, '8152' AS postcode, {CODES} AS country, price || ' EUR' AS price, 'http://own' || id || '.example' AS website, 'Rock' AS genre, people AS visitors,
+@query("src06_hopper", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id AS name, {TEXT} AS title_year, d AS start, e AS end, 'Town ' || town AS city, '8152' AS postcode, {CODES} AS country, price || ' EUR' AS price, 'http://own' || id || '.example' AS website, 'Rock' AS genre, people AS visitors,
     'Act A' || a || '|Act B' || b AS lineup, '' AS note FROM f WHERE c < 3""")
 def hopper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = """<h1>Fest {id} {year}</h1><p>{d} (Mi) - {e} (Sa)</p><div>Musikart: Rock</div><div>Region: Bayern , 🇩🇪 {country}</div><div>Festivalort: CH-8152 Town {town}</div><div>Besucher: {people}</div><div>Tickets: {price} EUR</div><div>Infos zum Festival</div>
+    body = """<h1>Fest n{id} {year}</h1><p>{d} (Mi) - {e} (Sa)</p><div>Musikart: Rock</div><div>Region: Bayern , 🇩🇪 {country}</div><div>Festivalort: CH-8152 Town {town}</div><div>Besucher: {people}</div><div>Tickets: {price} EUR</div><div>Infos zum Festival</div>
     <a href="/bands/karten/1">Act A{a}</a><a href="/bands/karten/2">Act B{b}</a><a href="/bands/menu">Bands</a><a href="https://facebook.com/x">facebook.com</a><a href="http://own{id}.example">www.own{id}.example</a>"""
     out = parsers.hopper(pages(spark, sf_dir, shell("x", body)), names(spark))
     return out.select("name", "title_year", "start", "end", "city", "postcode", "country", "price", "website", "genre", "visitors", F.array_join("lineup", "|").alias("lineup"), "note")
@@ -131,30 +131,30 @@ def wannafest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "start", "end", "city", "country", "venue", "website")
 
 
-@query("src10_directory", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id AS name, d AS start, e AS end, 'Town ' || town AS city, {CODES} AS country, 'http://own' || id || '.example' AS website FROM f WHERE c < 3""")
+@query("src10_directory", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id AS name, d AS start, e AS end, 'Town ' || town AS city, {CODES} AS country, 'http://own' || id || '.example' AS website FROM f WHERE c < 3""")
 def directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = shell("Fest {id} {year} | European Festivals Association", '<h1>Cookies</h1><p>{dm} - {em}</p><p>Town {town}, {country}</p><a href="http://own{id}.example">Visit website</a>')
+    page = shell("Fest n{id} {year} | European Festivals Association", '<h1>Cookies</h1><p>{dm} - {em}</p><p>Town {town}, {country}</p><a href="http://own{id}.example">Visit website</a>')
     return parsers.directory(pages(spark, sf_dir, page), names(spark)).select("name", "start", "end", "city", "country", "website")
 
 
-@query("src13_networks", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id AS name, d AS start, 'Town ' || town AS city, round(lat::DOUBLE, 2) AS lat, 'Rock, Pop' AS genre, 'ca. ' || price || ' €' AS price, people AS visitors FROM f WHERE year(d) >= 2027""")
+@query("src13_networks", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id AS name, d AS start, 'Town ' || town AS city, round(lat::DOUBLE, 2) AS lat, 'Rock, Pop' AS genre, 'ca. ' || price || ' €' AS price, people AS visitors FROM f WHERE year(d) >= 2027""")
 def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts(spark, sf_dir)
-    one = written('{"Festival Name": "Fest {id}", "Start Date": "{ds}", "End Date": "{es}", "City/Region": "Town {town}, Land", "Country": "{country}", "Latitude": {lat}, "Longitude": "{lon}", "Genre": "Rock", "Sub-Genre": "rock, Pop", "Capacity": {people}, "Ticket Price (EUR)": {price}}')
+    one = written('{"Festival Name": "Fest n{id}", "Start Date": "{ds}", "End Date": "{es}", "City/Region": "Town {town}, Land", "Country": "{country}", "Latitude": {lat}, "Longitude": "{lon}", "Genre": "Rock", "Sub-Genre": "rock, Pop", "Capacity": {people}, "Ticket Price (EUR)": {price}}')
     feeds = f.withColumn("one", one).groupBy((F.col("id") % 100).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("one"), ","), F.lit("]")).alias("json"))
     broken = spark.createDataFrame([("no json",), (None,)], "json string")
     out = parsers.networks(feeds.select("json").unionByName(broken), 2027)
     return out.select("name", "start", "city", F.round("lat", 2).alias("lat"), "genre", "price", "visitors")
 
 
-TICKER_PAGE = shell("Page {id} 2026", """<h2 class="x">12. Fest {id}</h2><p>Vom: {d} bis: {e}</p><table><tr><td>Stil:</td><td>Rock ... mehr Rock, Pop close</td></tr><tr><td>Ort:</td><td>Town {town}</td></tr><tr><td>Land:</td><td>{country}</td></tr>
+TICKER_PAGE = shell("Page n{id} 2026", """<h2 class="x">12. Fest n{id}</h2><p>Vom: {d} bis: {e}</p><table><tr><td>Stil:</td><td>Rock ... mehr Rock, Pop close</td></tr><tr><td>Ort:</td><td>Town {town}</td></tr><tr><td>Land:</td><td>{country}</td></tr>
  <tr><td>Location:</td><td>Park {a}</td></tr><tr><td>Plz:</td><td>12345</td></tr><tr><td>Preis:</td><td>{price} EUR</td></tr><tr><td>Preis:</td><td>9 EUR</td></tr><tr><td>Website:</td><td><a href="/link/?url=http%3A%2F%2Fown{id}.example">www</a></td></tr>
  <tr><td>Bands:</td><td>Act A{a}, Act B{b}, uvm</td></tr></table>""")
-LIST_ROW = """<tbody class="vevent"><tr><td><a class="summary url" href="/festivals/{id}">Listed {id}</a><span class="dtstart"><span class="value-title" title="{di}"></span></span><span class="dtend"><span class="value-title" title="{ei}"></span></span>
+LIST_ROW = """<tbody class="vevent"><tr><td><a class="summary url" href="/festivals/{id}">Listed n{id}</a><span class="dtstart"><span class="value-title" title="{di}"></span></span><span class="dtend"><span class="value-title" title="{ei}"></span></span>
  <span class="location">12345 Listtown {town}</span> Land: de <span title="Jazz">J</span></td></tr></tbody>"""
 
 
-@query("src03_ticker", f"""WITH f AS ({FACTS}) SELECT CASE WHEN id % 2 = 0 THEN 'Listed ' || id ELSE 'Page ' || id END AS name, d AS start, e AS end, 'Town ' || town AS city, ['Germany', 'Austria', 'United Kingdom', 'Nowhere'][c + 1] AS country, 'Park ' || a AS venue, '12345' AS postcode,
+@query("src03_ticker", f"""WITH f AS ({FACTS}) SELECT CASE WHEN id % 2 = 0 THEN 'Listed n' || id ELSE 'Page n' || id END AS name, d AS start, e AS end, 'Town ' || town AS city, ['Germany', 'Austria', 'United Kingdom', 'Nowhere'][c + 1] AS country, 'Park ' || a AS venue, '12345' AS postcode,
     price || ' EUR' AS price, 'http://own' || id || '.example' AS website, 'Rock Rock, Pop' AS genre, 'Act A' || a || '|Act B' || b AS lineup FROM f""")
 def ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir).where("id % 2 = 0").withColumn("row", written(LIST_ROW))
@@ -163,19 +163,19 @@ def ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "start", "end", "city", "country", "venue", "postcode", "price", "website", "genre", F.array_join("lineup", "|").alias("lineup"))
 
 
-@query("par08_list_pages", f"WITH f AS ({FACTS}) SELECT 'http://s.example/festivals/' || id AS url, 'Listed ' || id AS name, d AS start, e AS end, 'Listtown ' || town AS city, 'DE' AS country, 'Jazz' AS genre FROM f WHERE year(e) >= 2028")
+@query("par08_list_pages", f"WITH f AS ({FACTS}) SELECT 'http://s.example/festivals/' || id AS url, 'Listed n' || id AS name, d AS start, e AS end, 'Listtown ' || town AS city, 'DE' AS country, 'Jazz' AS genre FROM f WHERE year(e) >= 2028")
 def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir).withColumn("row", written(LIST_ROW))
     lists = rows.groupBy((F.col("id") % 100).alias("seq")).agg(F.array_join(F.collect_list("row"), "").alias("html")).withColumn("url", F.lit("http://s.example/list/"))
     return parsers.ticker_list(lists, 2028)
 
 
-UNITED_PAGE = shell("x", """<section><h1>Fest {id} {year}</h1></section><p>01.01.1990 - 02.01.1990</p><p>{d} - {e}</p><p>{d} / 55116 Town {town}</p><p>Fest ist ein Rock Festival</p><p>Tickets ab {price},00 EUR.</p><a href="/festivals/countries/europe">x</a>
+UNITED_PAGE = shell("x", """<section><h1>Fest n{id} {year}</h1></section><p>01.01.1990 - 02.01.1990</p><p>{d} - {e}</p><p>{d} / 55116 Town {town}</p><p>Fest ist ein Rock Festival</p><p>Tickets ab {price},00 EUR.</p><a href="/festivals/countries/europe">x</a>
  <a href="http://own{id}.example">Offizielle Website</a><div class="card-body"><span class="font-weight-bold" style="white-space: nowrap">Act A{a}</span><span class="text-primary font-weight-normal">Act B{b}</span><br><span class="text-primary font-weight-normal">No act</span> x
  <span class="text-secondary font-weight-bold" style="white-space: nowrap">Nor this</span></div><p>Multi-Genre <b>:</b></p><p>Multi-Genre <span>Rock, Metal UVM</span></p><p>Kapazität: ca. {people}</p>""").replace("var Stadt = 'x';", """{"addressCountry": "{country}", "@type": "Place", "name": "Park {a}", "latitude": {lat}, "longitude": {lon}, "eventStatus": "{off}"}""")
 
 
-@query("src04_united", f"""WITH f AS ({FACTS}) SELECT 'Fest ' || id AS name, {TEXT} AS title_year, d AS start, e AS end, 'Town ' || town AS city, '55116' AS postcode, coalesce({CODES}, 'Nowhere') AS country, 'Park ' || a AS venue, round(lat::DOUBLE, 2) AS lat, round(lon::DOUBLE, 2) AS lon,
+@query("src04_united", f"""WITH f AS ({FACTS}) SELECT 'Fest n' || id AS name, {TEXT} AS title_year, d AS start, e AS end, 'Town ' || town AS city, '55116' AS postcode, coalesce({CODES}, 'Nowhere') AS country, 'Park ' || a AS venue, round(lat::DOUBLE, 2) AS lat, round(lon::DOUBLE, 2) AS lon,
     'ab ' || price || ',00 EUR' AS price, 'http://own' || id || '.example' AS website, 'Rock, Metal' AS genre, people AS visitors, off AS cancelled, 'Act A' || a || '|Act B' || b AS lineup, '' AS note FROM f""")
 def united(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parsers.united(pages(spark, sf_dir, UNITED_PAGE), names(spark))
