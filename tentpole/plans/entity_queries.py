@@ -29,22 +29,21 @@ def textual(c: Column) -> Column:
 SOURCES = ["ticker", "united", "alarm", "festivism"]
 ENDINGS = ["", " Festival", " Open Air", " 2026", ""]
 #: The same in SQL. Event k of customer c: its name in some spelling, a start near that of its event, a city, and what a source may know.
-FOUND = """SELECT ['ticker', 'united', 'alarm', 'festivism'][o_orderkey % 4 + 1] AS source, (o_orderkey % 4)::INTEGER AS rank, format('u{:08d}', o_orderkey) AS url, 'Nova Sound ' || chr((97 + o_custkey % 26)::INTEGER) || chr((97 + o_custkey // 26 % 26)::INTEGER) || chr((97 + o_custkey // 676 % 26)::INTEGER) AS core,
+FOUND = """SELECT ['ticker', 'united', 'alarm', 'festivism'][o_orderkey % 4 + 1] AS source, (o_orderkey % 4)::INTEGER AS rank, format('u{:08d}', o_orderkey) AS url, translate(substr(md5(o_custkey::VARCHAR), 1, 9), '0123456789', 'ghijklmnop') || ' Klang' AS core,
     ['', ' Festival', ' Open Air', ' 2026', ''][o_orderkey % 5 + 1] AS ending, CASE WHEN o_orderkey % 11 <> 0 THEN DATE '2026-01-01' + (o_custkey * 7 % 340)::INTEGER + (o_orderkey % 3)::INTEGER END AS start, 'Town ' || (o_custkey % 40) AS city,
     CASE WHEN o_orderkey % 3 = 0 THEN 'Park ' || (o_custkey % 9) ELSE '' END AS venue, CASE WHEN o_orderkey % 2 = 0 THEN (10 + o_orderkey % 60)::VARCHAR || ' €' ELSE '' END AS price, o_orderkey % 23 = 0 AS cancelled, (o_custkey * 7 % 1700) / 10.0 - 85 AS lat, (o_custkey * 13 % 3500) / 10.0 - 175 AS lon FROM orders"""
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
-    letter = lambda n: F.char((97 + n % 26).cast("int"))
-    core = F.concat(F.lit("Nova Sound "), letter(c), letter(F.floor(c / 26)), letter(F.floor(c / 676)))
+    core = F.concat(F.translate(F.substring(F.md5(textual(c).cast("binary")), 1, 9), "0123456789", "ghijklmnop"), F.lit(" Klang"))
     start = F.when(k % 11 != 0, F.date_add(F.lit(date(2026, 1, 1)), (c * 7 % 340 + k % 3).cast("int")))
     point = lambda x: F.when(k % 4 < 2, x)
     return o.select(
         chosen(k % 4, SOURCES).alias("source"), (k % 4).cast("int").alias("rank"), F.format_string("u%08d", k).alias("url"), F.concat(core, chosen(k % 5, ENDINGS)).alias("name"), start.alias("start"), F.date_add(start, 1).alias("end"),
         F.when(start.isNotNull(), F.lit("2026")).otherwise("").alias("year"), F.concat(F.lit("Town "), textual(c % 40)).alias("city"), chosen(c % 3, ["Germany", "AT", ""]).alias("country"), F.when(k % 3 == 0, F.concat(F.lit("Park "), textual(c % 9))).otherwise("").alias("venue"),
         F.lit("").alias("postcode"), point((c * 7 % 1700) / 10.0 - 85).alias("lat"), point((c * 13 % 3500) / 10.0 - 175).alias("lon"), F.when(k % 2 == 0, F.concat(textual(10 + k % 60), F.lit(" €"))).otherwise("").alias("price"),
-        F.when(k % 6 == 0, F.concat(F.lit("https://www.nova"), textual(c), F.lit(".example/x"))).otherwise("").alias("website"), chosen(k % 3, ["Rock", "rock, Jazz", ""]).alias("genre"), F.when(k % 10 == 0, textual(100 + k % 900)).otherwise("").alias("visitors"),
+        F.when(k % 6 == 0, F.concat(F.lit("https://www.klang"), textual(c), F.lit(".example/x"))).otherwise("").alias("website"), chosen(k % 3, ["Rock", "rock, Jazz", ""]).alias("genre"), F.when(k % 10 == 0, textual(100 + k % 900)).otherwise("").alias("visitors"),
         F.lit("").alias("note"), (k % 23 == 0).alias("cancelled"), F.array(F.concat(F.lit("Act "), textual(k % 40)), F.concat(F.lit("Act "), textual(c % 30))).alias("lineup"),
     )
 
