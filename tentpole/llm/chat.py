@@ -36,8 +36,9 @@ def repaired(roles: list[str]) -> Repair:
     given turn merges into that turn, if of the same role after a relabel if
     need be, or starts a new one, kept or relabelled, after at most two empty
     turns that the automaton then needs. A role that is none of the three must
-    be relabelled. Of equal costs, the repair with fewer edits wins, then the
-    first in the order keep, merge, relabel, insert.
+    be relabelled. Of equal costs, the repair with fewer edits wins. Of those that
+    reach the same state after a turn at equal cost and edits, the one stays that
+    treats that turn first in the order keep, merge, relabel, insert.
     """
     # A path is (cost, number of edits, order of the choices), with a link back to build the turns from.
     paths: dict[str, tuple] = {"": (0, 0, (), None, None)}

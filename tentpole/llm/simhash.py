@@ -2,11 +2,13 @@
 
 Anchors are the words of the perfect binary Golay code of length 23: every
 23-bit point lies within distance 3 of exactly one of them. A fingerprint is
-cut into segments (padded with zero bits to 23), such that two linked
-fingerprints differ by at most ``slack`` bits in some segment. There, the
-nearest anchor of the one lies within ``3 + slack`` of the other. So each
-fingerprint is at home at its nearest anchor, is replicated to all anchors
-within ``3 + slack``, and is compared at each anchor with those at home there.
+cut into segments (padded with zero bits to 23). Where two of them differ by at
+most ``slack`` bits in some segment, the nearest anchor of the one lies within
+``3 + slack`` of the other there. So each fingerprint is at home at its nearest
+anchor, is replicated to all anchors within ``3 + slack``, and is compared at
+each anchor with those at home there. With few bits between linked ones
+(``FOUR_BITS``) some segment always differs that little, so none is missed;
+with many (``SIMILAR``) nearly always: each of twelve segments is a chance.
 
 Where a scheme asks for a similarity, these links are candidates only: texts of
 a group of candidates are compared by their sets of shingles.
@@ -43,7 +45,7 @@ class Scheme:
 
     ``shingle`` words a shingle; ``words`` 64-bit words a fingerprint;
     ``segments`` as (first bit, bits) within it, each inside one word;
-    ``slack`` as above; ``threshold`` bits by which linked ones may differ.
+    ``slack`` as above; ``threshold`` bits by which linked ones may differ at most.
     With ``percent``, texts are linked if their sets of shingles have a
     Jaccard similarity of that many percent, and bits only give candidates.
     """

@@ -26,7 +26,7 @@ GRAM = 16
 #: Odd multipliers of the two polynomial hashes modulo 2**64 (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-#: A key that at least so many runs have is counted window by window, combined before the shuffle.
+#: A key that at least so many runs have, or twenty times as many windows, is counted window by window, combined before the shuffle.
 HEAVY_ROWS = 20_000
 #: Of these keys, and of windows that often, at most so many, the most frequent, are joined by broadcast.
 HEAVY_KEYS = 1000
@@ -174,9 +174,7 @@ def _compared(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (big.slice(k, 2000) for big in batches for k in range(0, big.num_rows, 2000)):
             flat = _flat(b)
             done = np.searchsorted(flat[0], flat[0][-1])  # the last key may go on in the next batch
             if done or held and held[-1][0][-1] != flat[0][-1]:
@@ -236,18 +234,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     runs = saved(rows.mapInArrow(_runs(window, gram), "key long, doc_id long, first long, n long"), "runs")
-    ends = runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    shared = saved(ends.where(F.col("lo") < F.col("hi")).select("key", "rows"), "keys")
-    heavy = [r[0] for r in shared.where(F.col("rows") >= HEAVY_ROWS).orderBy(F.desc("rows")).limit(HEAVY_KEYS).select("key").collect()]
-    ours = lookup_join(runs, shared.select("key", (F.col("rows") >= HEAVY_ROWS).cast("long").alias("hot")), "key", "inner", heavy)
+    ends = runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("windows"))
+    hot = (F.col("rows") >= HEAVY_ROWS) | (F.col("windows") >= 20 * HEAVY_ROWS)
+    shared = saved(ends.where(F.col("lo") < F.col("hi")).select("key", "rows", hot.cast("long").alias("hot")), "keys")
+    any_hot = not shared.where("hot = 1").isEmpty()
+    heavy = [r[0] for r in shared.where(F.col("rows") >= HEAVY_ROWS).orderBy(F.desc("rows")).limit(HEAVY_KEYS).select("key").collect()] if any_hot else []
+    ours = lookup_join(runs, shared.select("key", "hot"), "key", "inner", heavy)
     by_doc = ours.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "n", "hot")).alias("runs"))
     packed = by_doc.select("doc_id", "runs").mapInArrow(_packed_runs, "doc_id long, runs binary")
     hashed = rows.join(packed, "doc_id").select("doc_id", "text", "runs").mapInArrow(_hashed_runs(window), "key long, doc_id long, first long, hashes binary, hot long")
-    if heavy:
+    if any_hot:
         hashed = saved(hashed, "hashed")
-    light = hashed.where("hot = 0") if heavy else hashed
+    light = hashed.where("hot = 0") if any_hot else hashed
     spans = light.drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_compared(window), "doc_id long, first long, n long")
-    if heavy:
+    if any_hot:
         spans = spans.unionByName(_heavy_spans(hashed.where("hot = 1").drop("hot"), window))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("spans")).select("doc_id", "spans").mapInArrow(_merged, "doc_id long, spans binary")
 

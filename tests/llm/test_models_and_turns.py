@@ -303,3 +303,170 @@ def test_pipeline_stages(spark):
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def plain_lexicon(sample: list[tuple[str, int]]) -> dict[tuple[str, bool], tuple[int, int, int]]:
+    """For each term of a sample: documents of either label, and how many hashed contexts it has in toxic ones."""
+    found: dict = {}
+    for text, toxic in sample:
+        own: dict = {}
+        before = ""
+        for w in toxicity.WORDS.findall(text.lower()):
+            for term in [(w, True)] + [(w[:n], False) for n in toxicity.BEGINNINGS if len(w) > n]:
+                own.setdefault(term, set()).add(zlib.crc32(before.encode()) & 63)
+            before = w
+        for term, contexts in own.items():
+            x = found.setdefault(term, [0, 0, set()])
+            x[toxic] += 1
+            x[2] |= contexts if toxic else set()
+    return {k: (a, b, len(c)) for k, (a, b, c) in found.items()}
+
+
+def test_toxic_scores_equal_a_plain_version(spark, labelled):
+    """Each step by itself: who is learned from, terms, clauses through one transducer after the other, the fitted weights."""
+    docs, labels = labelled
+    own = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic in (0, 1)}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sample = {t: own[d] for d, t in rows if t is not None and d in own and zlib.crc32(str(d).encode()) % 3 != 1}
+    model = toxicity.trained(docs.select("doc_id", "text"), labels)
+    terms = plain_lexicon(list(sample.items()))
+    n1, n0 = sum(sample.values()), len(sample) - sum(sample.values())
+    odds = lambda a, b: math.log((b + 0.5) / (n1 + 1)) - math.log((a + 0.5) / (n0 + 1))
+    for term, weight in [((w, True), x) for w, x in model.lexicon.words.items()] + [((w, False), x) for w, x in model.lexicon.beginnings.items()]:
+        a, b, contexts = terms[term]
+        assert math.isclose(weight, odds(a, b)) and b >= toxicity.LEAST_DOCS and contexts >= toxicity.CONTEXTS and weight >= toxicity.LOG_ODDS
+    parts = [t.insults(), t.threats(), t.targets(), t.negations(), t.reports()]
+
+    def plain(text: str) -> list[float]:
+        counts, mass = Counter(), Counter()
+        for clause in toxicity.CLAUSE.split(text.lower()):
+            words = toxicity.WORDS.findall(clause)
+            weights = [model.lexicon.weight(w) for w in words]
+            now, paid = [t.INSULT if x else toxicity.CLASSES.get(w, t.OTHER) for w, x in zip(words, weights, strict=True)], [0.0] * len(words)
+            for p in parts:
+                made = p.run(now)
+                now, paid = [s for s, _ in made], [a + w for a, (_, w) in zip(paid, made, strict=True)]
+            hit = [(max(0.0, 1 + p) * (x or 1.0), s) for s, p, x in zip(now, paid, weights, strict=True) if s in toxicity.FEATURES]
+            if hit:
+                counts[max(hit)[1]] += 1
+                mass[max(hit)[1]] += sum(w for w, _ in hit)
+        return [*(math.log1p(counts[k]) for k in toxicity.FEATURES), *(math.log1p(mass[k]) for k in toxicity.FEATURES), math.log1p(sum(counts.values()))]
+
+    got = toxicity.scored(docs, labels).collect()
+    text = dict(rows)
+    for r in got:
+        x = (np.array(plain(text[r.doc_id] or "")) - model.mean) / model.spread
+        assert math.isclose(r.score, 1 / (1 + math.exp(-max(-30, min(30, float(x @ model.weights) + model.bias)))), rel_tol=1e-6)
+
+
+def test_edited_copies_are_found_by_seeds(spark):
+    """All documents against all items by alignment; of copies with up to a third of the words replaced, seeds find nine in ten or more."""
+    rng = random.Random(12)
+    items = [(k, prose(5000 + k, rng.randrange(20, 50))) for k in range(40)]
+    docs = []
+    for k in range(200):
+        words = items[k % 40][1].split()
+        changed = rng.sample(range(len(words)), int(len(words) * (k % 5) / 15))
+        edited = ["x" + w if n in changed else w for n, w in enumerate(words)]
+        docs.append((k, " ".join([prose(6000 + k, 60), *edited, prose(7000 + k, 60)])))
+    docs += [(1000 + k, prose(9000 + k, 150)) for k in range(100)]
+    held = {i: decontaminate.words_of(t) for i, t in items}
+    wanted = set()
+    for d, t in docs:
+        words = decontaminate.words_of(t)
+        for i, item in held.items():
+            if decontaminate.aligned(item, words) is not None:
+                wanted.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame([(*r, "a", "b", "c") for r in docs], "doc_id long, text string, item_id string, key string, row string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= wanted and len(got) >= 0.9 * len(wanted) and len(wanted) >= 190
+    assert not any(d >= 1000 for d, _ in got)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{k % 977}" for k in range(120_000))
+    clash = "doc_id long, text string, row long, symbols string, held_out string, word string, n long, key long, hits string, score string"
+    rows = [(1, long, *[None] * 8), (2, "short text of few words", *[1, "s", "h", "w", 1, 1, "x", "y"]), (3, None, *[None] * 8)]
+    docs = spark.createDataFrame(rows, clash)
+    assert {r.doc_id: r.n_tokens for r in hmm.scored(docs, states=2, passes=1).collect()} == {1: 120_001, 2: 6, 3: 1}
+    labels = spark.createDataFrame([(1, 0, "t"), (2, 1, "t")], "doc_id long, toxic long, text string")
+    assert toxicity.scored(docs, labels).count() == 3
+    bench = spark.createDataFrame([(7, " ".join(f"word{k}" for k in range(900, 940)), 1)], "item_id long, text string, doc_id long")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, 7)}
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3}
+    turns = spark.createDataFrame([(1, k, ["user", "assistant", "user"][k % 3], f"t{k}") for k in range(3000)], "conv_id long, turn long, role string, text string")
+    assert chat.formatted(turns).first().n_turns == 3000
+
+
+def plain_pipeline(docs: list[tuple], items: list[tuple]) -> dict[int, str]:
+    """Texts left after rules, near-duplicates, repeated passages and leaks, by comparing all with all."""
+    from tentpole.llm import quality
+    from tests.llm.test_text_operators import WORD
+
+    left = [(d, x) for d, x in docs if quality.cascade(quality.Text(x or ""), quality.RULES) is None]
+    sets = [{tuple(x.lower().split()[k : k + 5]) for k in range(len(x.split()) - 4)} for _, x in left]
+    label = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old = label[a]
+                label = [label[b] if e == old else e for e in label]
+    least: dict = {}
+    for k, (d, _) in enumerate(left):
+        least[label[k]] = min(least.get(label[k], d), d)
+    seen, unique = set(), []
+    for k, (d, x) in enumerate(left):
+        if d == least[label[k]] and (d, label[k]) not in seen:
+            seen.add((d, label[k]))
+            unique.append((d, x))
+    first: dict = {}
+    for d, x in unique:
+        w = WORD.findall(x)
+        for k in range(len(w) - 49):
+            first[tuple(w[k : k + 50])] = min(first.get(tuple(w[k : k + 50]), d), d)
+    cut = {}
+    for d, x in unique:
+        w, gone = WORD.findall(x), set()
+        for k in range(len(w) - 49):
+            if first[tuple(w[k : k + 50])] < d:
+                gone.update(range(k, k + 50))
+        cut[d] = " ".join(y for k, y in enumerate(w) if k not in gone)
+    held = [decontaminate.words_of(t) for _, t in items if decontaminate.words_of(t)]
+    return {d: x for d, x in cut.items() if not any(decontaminate.aligned(i, decontaminate.words_of(x)) for i in held)}
+
+
+def test_pipeline_run_equals_a_plain_version(spark, tmp_path):
+    """``run`` over a table with nulls, empty texts, repeated rows, copies, near copies, shared passages and leaks; and over an empty one."""
+    import corpus_pipeline
+    from tentpole.llm import packing
+
+    rng = random.Random(21)
+    items = [(k, prose(3000 + k, 40)) for k in range(5)] + [(9, None), (10, "")]
+    shared = prose(77, 60)
+    docs: list[tuple] = []
+    for k in range(30):
+        words = prose(400 + k, 220).split()
+        docs.append((10 * k, " ".join(words)))
+        near = list(words)
+        near[rng.randrange(220)] = "changed"
+        docs += [(10 * k + 1, " ".join(near)), (10 * k + 2, " ".join(words[:100] + prose(600 + k, 120).split()))]
+    docs += [(500 + k, prose(800 + k, 90) + " " + shared + " " + prose(850 + k, 40)) for k in range(4)]
+    docs += [(600 + k, prose(900 + k, 90) + " " + items[k][1] + " " + prose(950 + k, 30)) for k in range(5)]
+    docs += [(700, None), (701, ""), (702, "too few words"), (703, "same " * 100), docs[0], docs[0]]
+    rng.shuffle(docs)
+    full = [(d, x, "en", "s", len(x or "")) for d, x in docs]
+    (tmp_path / "full").mkdir()
+    spark.createDataFrame(full, DOC).repartition(3).write.parquet(f"{tmp_path}/full/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/full/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}/full").collect()
+    expected = plain_pipeline(docs, items)
+    encode = packing.encoding(queries.tokenizer_file())
+    want = {d: len(encode(x)) + 1 for d, x in expected.items()}
+    placed: Counter = Counter()
+    for r in got:
+        placed[r.doc_id] += r.length
+        assert r.doc_tokens == want[r.doc_id]
+    assert placed == Counter(want) and 40 < len(want) < 90
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
