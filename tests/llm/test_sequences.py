@@ -2,10 +2,13 @@
 
 import hashlib
 import random
+import zlib
+from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from tentpole.llm import pieces, queries
+from tentpole.llm import periodic, pieces, queries
 
 SCHEMA = "doc_id long, text string, lang string, ids string, word string, n long, phrase string"
 SF = "/root/testdata/sf0.001"
@@ -83,3 +86,81 @@ def test_op11_against_the_library(spark, library):
     for d, t in docs:
         ids = library.encode(t or "")
         assert got[d] == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def all_runs(words: list, least: int = 24, times: int = 3) -> list[tuple[int, int, int]]:
+    """Every period against every place, without a grid or suffixes."""
+    of = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    codes, n, smallest = np.array([of[w] for w in words], np.int64), len(words), {}
+    for p in range(1, n // times + 1):
+        same = np.r_[0, (codes[:-p] == codes[p:]).astype(int), 0]
+        for a, b in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1), strict=True):
+            if b - a + p >= times * p:
+                smallest.setdefault((int(a), int(b - a + p)), p)
+    return sorted(((s, n, p) for (s, n), p in smallest.items() if n >= max(least, times * p)), key=lambda r: (r[0], r[2]))
+
+
+@pytest.mark.parametrize(("least", "times"), [(24, 3), (4, 3), (2, 2), (24, 5)])
+def test_runs_against_every_period(least, times):
+    rng, texts = random.Random(least + times), [[], [1], [1] * 400, [1, 2] * 90 + [3] + [1, 2] * 90, [1, 1, 2] * 8]
+    for _ in range(250):
+        n, k = rng.randrange(150), rng.choice([1, 2, 3, 30])
+        w = [rng.randrange(k) for _ in range(n)]
+        if n and rng.random() < 0.5:
+            a = rng.randrange(n)
+            p = 1 + (n - a) // rng.randrange(3, 11)
+            w = w[:a] + [w[a + i % p] for i in range(n - a)]
+        texts.append(w)
+    assert periodic.runs_of(texts, least, times) == [all_runs(w, least, times) for w in texts]
+
+
+def test_grid_blocks_do_not_change_the_runs(monkeypatch):
+    rng = random.Random(8)
+    texts = [[rng.randrange(2) for _ in range(rng.randrange(200))] for _ in range(40)]
+    whole = periodic.runs_of(texts, 6, 3)
+    monkeypatch.setattr(periodic, "PLACES", 37)
+    assert periodic.runs_of(texts, 6, 3) == whole
+
+
+def test_common_extensions_of_suffixes():
+    rng = random.Random(9)
+    codes = np.array([rng.randrange(2) for _ in range(300)])
+    s, plain = periodic.Suffixes(codes), codes.tolist()
+    pairs = [(i, j) for i in range(-1, 301, 7) for j in range(-1, 301, 5) if i != j]
+    got = s.common(*np.array(pairs).T)
+    for (i, j), n in zip(pairs, got, strict=True):
+        k = 0
+        while min(i, j) >= 0 and max(i, j) + k < 300 and plain[i + k] == plain[j + k]:
+            k += 1
+        assert n == k
+
+
+def test_runs_of_odd_rows(spark):
+    long = "w " * 70_000
+    rows = [(1, None, "en"), (2, "", "en"), (3, " \n\x0b ", "en"), (4, "a b\x0cc " * 8, "en"), (4, "a b\x0cc " * 8, "en"), (None, "x " * 30, None), (5, long, "en"), (6, "a b c " * 7 + "a b", "en")]
+    got = sorted((r.doc_id or 0, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in periodic.periodic_runs(table(spark, rows)).collect())
+    assert got == [
+        (0, 30, [(0, 30, 1)], "x"), (1, 0, [], ""), (2, 0, [], ""), (3, 0, [], ""), (4, 24, [(0, 24, 3)], "a b c"), (4, 24, [(0, 24, 3)], "a b c"),
+        (5, 70_000, [(0, 70_000, 1)], "w"), (6, 23, [], "a b c a b c a b c a b c a b c a b c a b c a b"),
+    ]
+    assert periodic.periodic_runs(table(spark, [], 1)).count() == 0
+
+
+def test_op12_against_every_period(spark):
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op12_periodic_runs(spark, SF).collect()}
+    docs, with_runs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect(), 0
+    assert len(got) == len(docs)
+    for d, t in docs:
+        words = (t or "").encode().split()
+        n, h = len(words), zlib.crc32(str(d).encode())
+        if h % 10 == 0 and n:
+            a, p = h // 10 % n, 1 + (n - h // 10 % n) // (3 + h // 10 % 8)
+            words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+        runs = all_runs(words)
+        with_runs += bool(runs)
+        gone = {i for s, n_, p in runs for i in range(s + p, s + n_)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        tail = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        kept = b" ".join(w for i, w in enumerate(words) if i not in gone).decode()
+        assert got[d] == (len(runs), *tail, sha("".join(f"{s},{n_},{p}\n" for s, n_, p in runs)), sha(kept))
+    assert with_runs >= 10
