@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tentpole.llm import chat, decontaminate, hmm, html_extract, packing, periodic, pieces, quality, simhash, substring, toxicity, warc
+from tentpole.llm import chat, collocations, decontaminate, hmm, html_extract, packing, periodic, pieces, quality, simhash, substring, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -98,6 +98,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm_lm": op10_hmm_lm,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
@@ -163,4 +168,22 @@ SQL: dict[str, str] = {
                     OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
         FROM m
     """,
+    "op13_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+        g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) AS t(k) WHERE len(ws) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+        c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+        inside AS (SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(f) AS longer
+                   FROM (SELECT lang, ws, f, m, unnest(range(1, len(ws) - m + 2)) AS i FROM c, range(2, 5) AS t(m) WHERE m < k) GROUP BY ALL),
+        cut AS (SELECT c.lang, c.phrase, f AS a, j, array_to_string(ws[1 : j], ' ') AS lp, array_to_string(ws[j + 1 :], ' ') AS rp
+                FROM c LEFT JOIN inside USING (lang, phrase), range(1, 5) AS t(j) WHERE j < k AND (longer IS NULL OR longer < f)),
+        s AS (SELECT cut.lang, cut.phrase, a, j, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+              FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp JOIN n ON n.lang = cut.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+        QUALIFY rank <= 2000
+    """,
 }

@@ -2,13 +2,17 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tentpole.llm import periodic, pieces, queries
+from tentpole.llm import collocations, periodic, pieces, queries
+from tests.oracle import rows_of_frame, rows_of_sql
 
 SCHEMA = "doc_id long, text string, lang string, ids string, word string, n long, phrase string"
 SF = "/root/testdata/sf0.001"
@@ -164,3 +168,69 @@ def test_op12_against_every_period(spark):
         kept = b" ".join(w for i, w in enumerate(words) if i not in gone).decode()
         assert got[d] == (len(runs), *tail, sha("".join(f"{s},{n_},{p}\n" for s, n_, p in runs)), sha(kept))
     assert with_runs >= 10
+
+
+def all_collocations(rows: list[tuple], support: int, longest: int, top: int) -> list[tuple]:
+    """Every phrase counted, by the words of the contract."""
+    f, n = defaultdict(Counter), Counter()
+    for _, text, lang in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low):
+            words = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f[lang].update(tuple(words[i : i + k]) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        able = {p: a for p, a in counts.items() if len(p) > 1 and a >= support}
+        found = []
+        for p, a in able.items():
+            if any(len(q) > len(p) and b >= a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in able.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), counts[p[:k]], counts[p[k:]]))
+        found.sort()
+        out += [(lang, i + 1, p.decode(), -a, x, y, n[lang], -score) for i, (score, a, p, x, y) in enumerate(found[:top])]
+    return sorted(out)
+
+
+def phrase_rows(n: int = 60) -> list[tuple]:
+    rng = random.Random(11)
+    words = "The the New york straße ÉTÉ x1 a of".split()
+    rows = [(i, "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "\x0b", ",", "\n", "\xa0"]) for _ in range(rng.randrange(80))), rng.choice(["en", "de", None, "und", ""])) for i in range(n)]
+    return [*rows, *rows[:5], (None, "no id at all", "en"), (1, None, "en"), (2, "", None), (3, "...", "fr"), (4, "over and over " * 9000, "de")]
+
+
+@pytest.mark.parametrize(("support", "longest", "top"), [(3, 5, 2000), (2, 3, 7), (12, 2, 3)])
+def test_collocations_against_all_phrases(spark, support, longest, top):
+    got = collocations.collocations(table(spark, phrase_rows()), support, longest, top, bits=15)
+    assert sorted(map(tuple, got.collect())) == all_collocations(phrase_rows(), support, longest, top)
+
+
+def test_small_chunks_and_hashes_that_meet_change_nothing(spark, monkeypatch):
+    rows = phrase_rows(25)[:30]
+    monkeypatch.setattr(collocations, "CHUNK", 200)
+    monkeypatch.setattr(collocations, "HELD", 10)
+    monkeypatch.setattr(collocations.Words, "hashes", lambda self, longest: [np.zeros(max(len(self.codes) - k, 0), np.uint64) for k in range(longest)])
+    words = collocations.Words(pa.array(["a b a b c", "a b"]), pa.array(["en", "de"]))
+    at = np.flatnonzero(words.starts(2))
+    assert sorted(words.counted(at, np.zeros(len(at), np.uint64), 2)) == [("de", "a b", 0, 1), ("en", "a b", 0, 2), ("en", "b a", 0, 1), ("en", "b c", 0, 1)]
+    assert sorted(map(tuple, collocations.collocations(table(spark, rows), 2, 5, 50).collect())) == all_collocations(rows, 2, 5, 50)
+
+
+def test_scores_pass_64_bits(spark, monkeypatch):
+    big = 4_000_000_000_000
+    rows = [("en", "", 0, 5 * big), ("en", "a", 1, 3 * big), ("en", "b", 1, 2 * big), ("en", "a b", 2, big + 1)]
+    monkeypatch.setattr(collocations, "frequent_phrases", lambda *_: spark.createDataFrame(rows, "lang string, phrase string, k int, f long"))
+    assert tuple(collocations.collocations(None).first()) == ("en", 1, "a b", big + 1, 3 * big, 2 * big, 5 * big, 1000 * (big + 1) * 5 * big // (6 * big * big))
+
+
+def test_no_collocations_of_an_empty_table(spark):
+    assert collocations.collocations(table(spark, [], 1)).count() == 0
+    assert collocations.collocations(table(spark, [(1, "", "en"), (2, None, None)], 1)).count() == 0
+
+
+def test_op13_gives_the_rows_of_its_sql(spark):
+    ours, theirs = rows_of_frame(queries.op13_collocations(spark, SF)), rows_of_sql(queries.SQL["op13_collocations"], SF)
+    assert ours == theirs
+    assert len(ours[1]) > 20
