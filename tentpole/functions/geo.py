@@ -135,7 +135,7 @@ def country_first(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
     code, rest = F.when(F.size(words) > 0, F.col("__c2")).otherwise(F.lit("")), F.lit("")
     for is_one, k in found[::-1]:
         code = F.when(is_one, F.col(f"__c{k}")).otherwise(code)
-        rest = F.when(is_one, F.array_join(F.slice(words, k + 1, 1000), " ")).otherwise(rest)
+        rest = F.when(is_one, F.array_join(F.slice(words, F.lit(k + 1), F.size(words)), " ")).otherwise(rest)
     return out.withColumns({"country_of": code, "rest_of": rest}).drop(*(f"__{x}{k}" for x in ("s", "c", "is") for k in (1, 2, 3)))
 
 

@@ -34,7 +34,7 @@ TEXTS = ["The Straßen &amp; Bären Live", "Motörhead", "Ping + Pong", "12345 U
     12, fold=["strassen and baren", "motorhead", "ping and pong", "12345 ulm", "ca 12 000 leute", "tba", "preis 5", "19 08 2026", "tickets hier", "neu ulm 2026", "a and b", ""],
     tight=["strassenandbaren", "motorhead", "pingandpong", "12345ulm", "ca12000leute", "tba", "preis5", "1908", "ticketshier", "neuulm", "aandb", ""],
     city_key=["strassen and baren", "motorhead", "ping and pong", "ulm", "ca 12 000 leute", "tba", "preis 5", "19 08", "tickets hier", "neu ulm", "a and b", ""],
-    joined=["strassenandbaren", "motorhead", "pingandpong", "12345ulm", "ca12000leute", "tba", "preis5", "19082026", "ticketshier", "neuulm2026", "a and b", ""],
+    joined=["strassenandbaren", "motorhead", "pingandpong", "12345ulm", "ca12000leute", "tba", "preis5", "19082026", "ticketshier", "neuulm2026", "aandb", ""],
     band=[True, True, True, True, True, False, False, False, True, True, True, False],
     visitors=["", "", "", "12345", "12000", "", "", "", "", "2026", "", ""],
     city=["The Straßen & Bären Live", "Motörhead", "Ping + Pong", "Ulm", "ca. 12.000 Leute", "tba", "Preis: 5 €", "19.08.2026", "Tickets hier", "Neu-Ulm 2026", "A feat. B", ""],
