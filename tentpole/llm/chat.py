@@ -105,13 +105,14 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
 
     Turns are taken in order of ``turn`` (nulls first), then role and text, so
     ties and repeated rows have one order; roles are trimmed and lower-cased, a
-    null role is none of the known; null texts are empty. All turns without a
-    ``conv_id`` are left out, since nothing tells which belong together. Other
-    columns are ignored; an empty table gives no rows. A conversation's turns
-    meet in one task, where the sort of the shuffle, not memory, holds them;
-    only one conversation at a time is in memory.
+    null role is none of the known; null texts are empty. A turn without a
+    ``conv_id`` is a conversation of its own, with a null id, since nothing
+    tells which belong together; such turns are dealt by their content, not to
+    one task. Other columns are ignored; an empty table gives no rows. A
+    conversation's turns meet in one task, where the sort of the shuffle, not
+    memory, holds them; only one conversation at a time is in memory.
     """
-    rows = turns.where(F.col(conv_id).isNotNull()).select(
+    rows = turns.select(
         F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.lower(F.trim(F.col(role).cast("string"))), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
 
@@ -129,7 +130,7 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
 
         for b in batches:
             for c, r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if c != now:
+                if c != now or c is None:
                     if roles:
                         close()
                         size += len(out[-1][5])
@@ -144,4 +145,5 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
         if out:
             yield batch()
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text").mapInArrow(run, SCHEMA)
+    dealt = rows.withColumn("at", F.coalesce("conv_id", F.xxhash64("turn", "role", "text"))).repartition("at").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text")
+    return dealt.drop("at").mapInArrow(run, SCHEMA)

@@ -165,8 +165,12 @@ def test_repairs_are_legal_and_cheapest():
 
 
 def test_conversations_with_odd_rows(spark):
-    table = [(1, 0, "user", "hi", "e"), (1, 1, "assistant", "yo", "e"), (2, 0, "USER ", "a", "e"), (2, 1, "user", "b", "e"), (3, None, None, None, None), (3, 1, "assistant", "z", None), (None, 0, "user", "lost", None), (4, 0, "user", "same", None), (4, 0, "user", "same", None)]
-    got = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(table, "conv_id long, turn long, role string, text string, edits string")).collect()}
+    table = [(1, 0, "user", "hi", "e"), (1, 1, "assistant", "yo", "e"), (2, 0, "USER ", "a", "e"), (2, 1, "user", "b", "e"), (3, None, None, None, None), (3, 1, "assistant", "z", None), (None, 0, "user", "alone", None), (None, 0, "user", "alone", None), (None, 1, "assistant", "too", None), (4, 0, "user", "same", None), (4, 0, "user", "same", None)]
+    every = chat.formatted(spark.createDataFrame(table, "conv_id long, turn long, role string, text string, edits string")).collect()
+    got = {r.conv_id: r for r in every if r.conv_id is not None}
+    # A turn without an id is a conversation of its own, repeated or not.
+    alone = sorted((r.n_turns, r.rendered.count("alone"), r.rendered.count("too")) for r in every if r.conv_id is None)
+    assert alone == [(1, 0, 1), (1, 1, 0), (1, 1, 0)]
     assert set(got) == {1, 2, 3, 4} and got[1].cost == 0 and got[1].edits == ""
     assert got[1].rendered == "<|user|>\nhi\n<|assistant|>\nyo\n"
     assert got[2].rendered == "<|user|>\na\n<|assistant|>\nb\n" and got[2].cost == chat.RELABEL
