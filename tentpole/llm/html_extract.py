@@ -16,8 +16,8 @@ from xxhash import xxh64_intdigest
 
 from tentpole.llm.common import lookup_join, saved
 
-#: Paths that win on a host, best first; a page on which none of them occurs uses its own best container, so none is lost by it.
-PATHS = 8
+#: Paths that win on a host, best first: so many templates of one host vote. A page on which none of them occurs uses its own best container, so none is lost by it.
+PATHS = 256
 #: Characters from which a block counts in full; the longest block of a page always does.
 LONG = 120
 #: A path that other pages of the host chose too goes first on a page where its own score is at most this far from the best.
@@ -31,7 +31,9 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CONTAINERS = set("html body div main article section td table tbody tr center content blockquote figure details fieldset ul ol dl".split())
 BLOCKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd th pre header footer nav aside form hr address figcaption summary head thead tfoot caption menu dialog search hgroup legend".split())
 HEADINGS = {f"h{k}" for k in range(1, 7)}
-BOILERPLATE_TAGS = set("head nav footer aside form button menu dialog search label input".split())
+BOILERPLATE_TAGS = set("head nav footer aside button menu search label input".split())
+#: Elements that are boilerplate unless the page's text or its article stands in them: some pages are one form or one dialog.
+WRAPPER_TAGS = {"form", "dialog"}
 BOILERPLATE_ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 #: Parts of class names and ids that mark what is no article.
 BOILERPLATE_WORDS = set(
@@ -76,7 +78,7 @@ class Element:
     in_article: bool = False
     #: Of elements that others may close: the outermost open one below the innermost container, by tag.
     outer: dict[str, Element] = field(default_factory=dict)
-    #: Named like boilerplate by class or id only, which holds unless the element holds most of the page or its article.
+    #: Boilerplate by class, id or role only, or a form or dialog, which holds unless the element holds most of the page or its article.
     marked: bool = False
     #: The innermost element, itself included, that is marked or an article or main element; None without one.
     special: Element | None = None
@@ -119,18 +121,19 @@ def _chained(path: int, key: str) -> int:
 
 @lru_cache(maxsize=8192)
 def _kind(tag: str, rest: str) -> tuple[str, int]:
-    """The generalised name of an element, tag and class words (or id) without digits, and 0: plain, 1: header, 2: boilerplate, 4: boilerplate by class or id only."""
+    """The generalised name of an element, tag and class words (or id) without digits, and 0: plain, 1: header, 2: boilerplate, 4: boilerplate unless it holds the article."""
     attributes = _attributes(rest)
     words = [w.lower() for name in ("class", "id") for w in WORD.findall(attributes.get(name, ""))]
     names = WORD.findall(attributes.get("class", "")) or WORD.findall(attributes.get("id", ""))
     key = tag + "".join(f".{w.lower()}" for w in sorted(set(names))[:4])
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I)
     whole = tag in ("html", "body", "article", "main")
-    if tag in BOILERPLATE_TAGS or hidden or attributes.get("role", "").lower() in BOILERPLATE_ROLES:
+    if tag in BOILERPLATE_TAGS or hidden:
         return key, 2
-    if not whole and tag != "header" and not BOILERPLATE_WORDS.isdisjoint(words):
+    by_role = attributes.get("role", "").lower() in BOILERPLATE_ROLES
+    if not whole and tag != "header" and (by_role or tag in WRAPPER_TAGS or not BOILERPLATE_WORDS.isdisjoint(words)):
         return key, 4
-    if tag == "header" and not BOILERPLATE_WORDS.isdisjoint(words):
+    if tag == "header" and (by_role or not BOILERPLATE_WORDS.isdisjoint(words)):
         return key, 2
     if tag == "header" or not whole and tag not in HEADINGS and not HEADER_WORDS.isdisjoint(words):
         return key, 1 if ARTICLE_WORDS.isdisjoint(words) else 3
@@ -178,9 +181,9 @@ def _summed(page: Page, at: dict[int, list[float]], width: int) -> None:
 
 
 def _marks(page: Page) -> None:
-    """Drop the blocks in elements named like boilerplate, except in those that hold most of the page or its article.
+    """Drop the blocks in elements named like boilerplate, forms and dialogs, except in those that hold most of the page or its article.
 
-    Such a name counts for nothing if the element's own text, without what is
+    Such a mark counts for nothing if the element's own text, without what is
     in further such elements, is over half of the page's and no h1 stands
     outside only; or if an article or main element in it holds at least as much
     as all text outside. If nothing but marked text is left, the element with

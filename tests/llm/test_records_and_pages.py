@@ -114,6 +114,11 @@ def test_odd_pages(spark):
     "<body><div class='content with-comments'>{}<div class='comments'><p>Great post, I really liked it a lot.</p></div></div></body>",
     "<body><div class='post related-post'>{}</div><div class='related'><p>Other things to read</p></div></body>",
     "<body><div class='page-wrap ad-free'><div class='sidebar'>Links</div><div class='layout has-sidebar'>{}</div></div></body>",
+    "<body><form id=aspnetForm><div id=main><article>{}</article></div></form></body>",
+    "<body><form><input name=q><label>Search our shop</label><div class=text>{}</div><form class=newsletter><p>Write to us</p></form></form></body>",
+    "<body><div role=banner>Our site</div><div role=dialog><main>{}</main></div><div role=contentinfo>Imprint</div></body>",
+    "<body><main role=form>{}</main><header role=banner><h1>Site</h1></header><dialog><p>We use cookies</p></dialog></body>",
+    "<body><dialog open><div>{}<form><p>Leave a comment here</p></form></div></dialog></body>",
 ])
 def test_a_wrapper_named_like_boilerplate_keeps_its_article(shell):
     assert html_extract.extracted(html_extract.parsed(shell.format(ARTICLE)), []) == TEXT
