@@ -254,7 +254,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_
 
 def _heavy_spans(hashed: DataFrame, window: int) -> DataFrame:
     """The spans of keys that too many runs have for one task: their windows are counted one by one, combined before the shuffle."""
-    found = hashed.mapInArrow(_exploded, "key long, doc_id long, at long, h long").select(F.xxhash64("key", "h").alias("h"), "doc_id", "at")
+    both = F.concat(F.lpad(F.hex("key"), 16, "0"), F.lpad(F.hex("h"), 16, "0"))  # 128 bits, as everywhere else
+    found = hashed.mapInArrow(_exploded, "key long, doc_id long, at long, h long").select(F.unhex(both).alias("h"), "doc_id", "at")
     firsts = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
     firsts = saved(firsts.where(F.col("lo") < F.col("hi")), "windows")
     heavy = [r[0] for r in firsts.where(F.col("rows") >= HEAVY_ROWS).orderBy(F.desc("rows")).limit(HEAVY_KEYS).select("h").collect()]
