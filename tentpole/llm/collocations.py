@@ -17,9 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
-from tentpole.llm.common import lookup_join, saved
+from tentpole.llm.common import dropped, lookup_join, saved
 
 #: Occurrences that a phrase needs, words of the longest phrase, and rows of a language's report.
 SUPPORT, LONGEST, TOP = 100, 5, 2000
@@ -27,19 +26,20 @@ SUPPORT, LONGEST, TOP = 100, 5, 2000
 BITS = 22
 #: Bytes of text whose phrases are counted together.
 CHUNK = 8_000_000
-#: Phrases whose counts a task holds before it gives them on.
-HELD = 300_000
+#: Buckets that are summed together.
+BLOCK = 4096
 #: Parts of a language whose phrases are ranked before they are ranked together.
 PARTS = 64
 #: Multiplier of the phrase hash (fixed value).
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 WORD, GAP, END = 0, 1, 2
 #: What each byte is: part of a word, white space between words, or the end of a piece; and its lower case for A to Z.
 KIND, LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
 KIND[[0x20, 0x09]] = GAP
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = END
 LOWER[ord("A") : ord("Z") + 1] += 32
-SCHEMA = "lang string, phrase string, h long, n long"
+SCHEMA = "lang string, phrase string, h long, n long, counts binary"
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -48,6 +48,16 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes, by sums over all words' bytes, and its length."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    up, down = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(data), x, np.uint64)]) for x in (MULTIPLIER, INVERSE))
+    total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)]
+    return spread((total[ends[1:]] - total[ends[:-1]]) * down[ends[:-1]] + np.diff(ends).astype(np.uint64))
+
+
 class Words:
     """The words of some texts: codes by exact spelling, their pieces and languages, and a hash of each."""
 
@@ -55,6 +65,7 @@ class Words:
         parts = texts.cast(pa.binary()).to_pylist()
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         raw = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)  # a line end closes the last piece of each text
+        del parts
         kind = KIND[raw]
         inside = kind == WORD
         edge = np.diff(np.r_[False, inside, False].astype(np.int8))
@@ -62,15 +73,14 @@ class Words:
         letters = LOWER[raw[inside]]
         spelled = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.r_[0, np.cumsum(last - first)].astype(np.int64)), pa.py_buffer(letters))
         coded = spelled.dictionary_encode()
-        self.codes = coded.indices.to_numpy().astype(np.int64)
-        self.spelling = coded.dictionary.to_pylist()
+        self.codes, self.spelling = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         self.piece = np.cumsum(kind == END, dtype=np.int32)[first]
-        doc = np.searchsorted(np.cumsum(sizes + 1), first, side="right")
+        of_text = np.diff(np.searchsorted(first, np.cumsum(np.r_[0, sizes + 1])))
         tongue = langs.dictionary_encode()
-        self.lang_names = tongue.dictionary.to_pylist()
-        self.lang = tongue.indices.to_numpy()[doc]
-        self.hash = np.fromiter((xxh64_intdigest(w) for w in self.spelling), np.uint64, len(self.spelling))[self.codes]
-        self.seed = np.fromiter((xxh64_intdigest(x, 1) for x in self.lang_names), np.uint64, len(self.lang_names))[self.lang]
+        self.tongues = tongue.dictionary.cast(pa.large_string())
+        self.lang = np.repeat(tongue.indices.to_numpy().astype(np.int64), of_text)
+        self.hash = word_hashes(self.spelling)[self.codes]
+        self.seed = word_hashes(self.tongues)[self.lang]
 
     def hashes(self, longest: int) -> list[np.ndarray]:
         """Hashes of the phrases of 1, 2, ... words from each word on, with the language; where a phrase leaves its piece they mean nothing."""
@@ -85,20 +95,34 @@ class Words:
         n = len(self.codes) - k + 1
         return self.piece[: max(n, 0)] == self.piece[k - 1 :] if n > 0 else np.zeros(0, bool)
 
-    def counted(self, at: np.ndarray, h: np.ndarray, k: int) -> Iterator[tuple[str, str, int, int]]:
-        """Exact counts of the phrases of k words at some places, whose hashes are given: (language, phrase, hash, count)."""
-        _, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        lead = at[first][of]
-        if all((self.codes[at + j] == self.codes[lead + j]).all() for j in range(k)) and (self.lang[at] == self.lang[lead]).all():
-            where, hashes = at[first], h[first]
-        else:  # phrases with one hash: told apart by all their words
-            spelled = np.stack([self.lang[at], *(self.codes[at + j] for j in range(k))])
-            _, first, n = np.unique(spelled, axis=1, return_index=True, return_counts=True)
-            where, hashes = at[first], h[first]
-        words = [[self.spelling[c] for c in self.codes[where + j].tolist()] for j in range(k)]
-        phrases = map(" ".join, zip(*words, strict=True))
-        langs = (self.lang_names[x] for x in self.lang[where].tolist())
-        yield from zip(langs, phrases, hashes.view(np.int64).tolist(), n.tolist(), strict=True)
+    def counted(self, at: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
+        """Exact counts of the phrases of k words at some places, whose hashes are given: columns of ``SCHEMA``."""
+        if k == 1:
+            key = self.lang[at] * len(self.spelling) + self.codes[at]
+            n = np.bincount(key, minlength=0)
+            where = np.zeros(len(n), np.int64)
+            where[key] = np.arange(len(key))  # a place of each
+            some = np.flatnonzero(n)
+            n, first = n[some], where[some]
+        else:
+            _, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            lead = at[first][of]
+            if not (all((self.codes[at + j] == self.codes[lead + j]).all() for j in range(k)) and (self.lang[at] == self.lang[lead]).all()):
+                # Phrases with one hash are told apart by all their words.
+                _, first, n = np.unique(np.stack([self.lang[at], *(self.codes[at + j] for j in range(k))]), axis=1, return_index=True, return_counts=True)
+        where = at[first]
+        words = [self.spelling.take(pa.array(self.codes[where + j])) for j in range(k)]
+        phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if k > 1 else words[0]
+        return batch_of(self.tongues.take(pa.array(self.lang[where])), phrase, h[first].view(np.int64), n)
+
+    def totals(self) -> pa.RecordBatch:
+        """The words of each language, under the empty phrase."""
+        n = np.bincount(self.lang, minlength=len(self.tongues))
+        return batch_of(self.tongues, pa.array([""] * len(n), pa.large_string()), np.zeros(len(n), np.int64), n)
+
+
+def batch_of(lang: pa.Array, phrase: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.binary())], names=["lang", "phrase", "h", "n", "counts"])
 
 
 def bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -112,20 +136,17 @@ def holds(bitmap: bytes, h: np.ndarray) -> np.ndarray:
     return (of[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _pass(k: int, longest: int, bits: int, full, frequent):
-    """The counts of one pass: phrases of k words, buckets of k + 1 (no phrase), and in the first, words of each language (an empty phrase)."""
+def _pass(k: int, longest: int, bits: int, support: int, full, frequent):
+    """One pass: counts of phrases of k words, in the first those of each language's words, and a task's bucket counts of k + 1 words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[int]] = {}
-        buckets = np.zeros(1 << bits, np.int64) if k < longest else None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, phrase, h, n) for (lang, phrase), (h, n) in held.items()]
-            held.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    Buckets are given in blocks: ``h`` is the block, ``counts`` has a number for
+    each bucket, ``support`` standing for itself and more. Nothing grows with
+    what a task reads but the blocks, which have a fixed size.
+    """
+    kind = np.min_scalar_type(support)
 
-        types, names = [pa.string(), pa.string(), pa.int64(), pa.int64()], ["lang", "phrase", "h", "n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = np.zeros(1 << bits, np.int32) if k < longest else None
         for texts, langs in chunks(batches):
             words = Words(texts, langs)
             h = words.hashes(min(k + 1, longest))
@@ -134,25 +155,21 @@ def _pass(k: int, longest: int, bits: int, full, frequent):
                 ok = holds(frequent.value, h[k - 2])
                 may &= holds(full.value, h[k - 1]) & ok[: len(may)] & ok[1 : len(may) + 1]
             at = np.flatnonzero(may)
-            for lang, phrase, x, n in words.counted(at, h[k - 1][at], k):
-                held.setdefault((lang, phrase), [x, 0])[1] += n
+            yield words.counted(at, h[k - 1][at], k)
             if k == 1:
-                for lang, n in zip(words.lang_names, np.bincount(words.lang, minlength=len(words.lang_names)).tolist(), strict=True):
-                    held.setdefault((lang, ""), [0, 0])[1] += n
+                yield words.totals()
             if buckets is not None:
                 # A longer phrase is worth counting only if both its parts are counted here.
                 longer = words.starts(k + 1)
                 longer &= may[: len(longer)] & may[1 : len(longer) + 1]
                 np.add.at(buckets, bucket(h[k][: len(longer)][longer], bits), 1)
-            if len(held) >= HELD:
-                yield from out()
-        yield from out()
-        if buckets is not None:
-            some = np.flatnonzero(buckets)
-            for i in range(0, len(some), 500_000):
-                part = some[i : i + 500_000]
-                nothing = pa.nulls(len(part), pa.string())
-                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(part), pa.array(buckets[part])], names=names)
+                np.minimum(buckets, support, out=buckets)
+        if buckets is not None and buckets.any():
+            parts = buckets.astype(kind).reshape(-1, BLOCK)
+            for i in range(0, len(parts), 256):
+                some = parts[i : i + 256]
+                nothing = pa.nulls(len(some), pa.string())
+                yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array(np.arange(i, i + len(some))), pa.nulls(len(some), pa.int64()), pa.array([x.tobytes() for x in some], pa.binary())], names=["lang", "phrase", "h", "n", "counts"])
 
     return run
 
@@ -169,6 +186,37 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Arr
             at = upto
 
 
+def _full_buckets(support: int):
+    """For blocks of bucket counts, sorted by block: which buckets of each reach the support, as bits."""
+    kind = np.min_scalar_type(support)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(total >= support, bitorder="little").tobytes()], pa.binary())], names=["h", "bits"])
+
+        for b in batches:
+            for x, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if x != block:
+                    if block is not None:
+                        yield out()
+                    block, total = x, np.zeros(BLOCK, np.int64)
+                total += np.frombuffer(counts.as_buffer(), kind)
+        if block is not None:
+            yield out()
+
+    return run
+
+
+def full_buckets(counts: DataFrame, support: int, bits: int) -> bytes:
+    """A bitmap of the buckets whose counts over all tasks reach the support: the driver gets the bits alone."""
+    out = bytearray((1 << bits) // 8)
+    for block, part in counts.select("h", "counts").repartition("h").sortWithinPartitions("h").mapInArrow(_full_buckets(support), "h long, bits binary").collect():
+        out[block * BLOCK // 8 : (block + 1) * BLOCK // 8] = part
+    return bytes(out)
+
+
 def bitmap_of(df: DataFrame, h: str, bits: int) -> bytes:
     """A bitmap of 2**bits bits with those of column ``h`` (bucket numbers) set: built by Spark, so the driver gets the bits alone."""
     numbered = df.select(F.bitmap_bucket_number(F.col(h) + 1).alias("block"), F.bitmap_bit_position(F.col(h) + 1).alias("bit"))
@@ -195,15 +243,19 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     docs = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     found, full, frequent = None, None, None
     for k in range(1, longest + 1):
-        counts = docs.mapInArrow(_pass(k, longest, bits, full, frequent), SCHEMA).groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
-        now = saved(counts.where((F.col("n") >= support) | (F.col("phrase") == "")), f"phrases{k}")
-        phrases = now.where("phrase IS NOT NULL").select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(k).alias("k"), F.col("n").alias("f"))
+        # The counts of a pass are written as they come, so that phrases and buckets, which go different ways, need one scan.
+        made = saved(docs.mapInArrow(_pass(k, longest, bits, support, full, frequent), SCHEMA), f"pass{k}")
+        summed = made.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.min("h").alias("h"))
+        now = saved(summed.where((F.col("f") >= support) | (F.col("phrase") == "")), f"phrases{k}")
+        phrases = now.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(k).alias("k"), "f")
         found = phrases if found is None else found.unionByName(phrases)
         if k == longest:
+            dropped(made)
             break
         # Hashes are unsigned; their upper bits are the bucket.
         own = now.where("phrase <> ''").select(F.shiftrightunsigned("h", 64 - bits).alias("h"))
-        full, frequent = (spark.sparkContext.broadcast(bitmap_of(x, "h", bits)) for x in (now.where("phrase IS NULL"), own))
+        full, frequent = (spark.sparkContext.broadcast(x) for x in (full_buckets(made.where("phrase IS NULL"), support, bits), bitmap_of(own, "h", bits)))
+        dropped(made)
         if not any(full.value):
             break
     return found
