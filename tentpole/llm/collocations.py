@@ -25,7 +25,7 @@ SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Base-2 logarithm of the bits of a bitmap: 2**22 bits are half a megabyte.
 BITS = 22
 #: Bytes of text whose phrases are counted together.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Buckets that are summed together.
 BLOCK = 4096
 #: Parts of a language whose phrases are ranked before they are ranked together.
