@@ -308,4 +308,4 @@ def windowed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.windowed_prices(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("value").alias("price"), "ts"))
 
 
-from tentpole.plans import entity_queries, source_queries, value_queries  # noqa: E402, F401  (they register their queries)
+from tentpole.plans import entity_queries, pair_queries, source_queries, value_queries  # noqa: E402, F401  (they register their queries)
