@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tentpole.operators.numbering import numbered
+
 
 def filled(c: str) -> Column:
     """A text that is not empty, else null; other types as they are."""
@@ -77,13 +79,9 @@ def facets(df: DataFrame, values: str, classes: DataFrame | None = None) -> Data
 
 
 def dictionary(df: DataFrame, value: str, order: str) -> DataFrame:
-    """Distinct values numbered from 0 in order of first appearance: ``value``, ``id``.
-
-    Only the distinct values are sorted, in one task: the result is a
-    dictionary that a browser loads as a whole.
-    """
+    """Distinct values numbered from 0 in order of first appearance: ``value``, ``id``."""
     first = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.min(order).alias("__first"))
-    return first.select("value", (F.row_number().over(Window.orderBy("__first", "value")) - 1).alias("id"))
+    return numbered(first, ["__first", "value"], "id").select("value", F.col("id").cast("int").alias("id"))
 
 
 def by_member(df: DataFrame, member: str, group: str) -> DataFrame:

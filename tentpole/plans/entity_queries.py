@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tentpole.functions import dates, genres, geo, money, text
-from tentpole.operators import aggregates, audit, funnel, greedy, places, resolve, site, state
+from tentpole.operators import aggregates, audit, funnel, greedy, numbering, places, resolve, site, state
 from tentpole.plans.queries import query, table
 from tentpole.plans.source_queries import names
 from tentpole.sources import tables as files
@@ -91,9 +91,8 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("srt01_chronological", f"SELECT id, (row_number() OVER (ORDER BY CASE WHEN year <> '' THEN year ELSE '9999' END, coalesce(strftime(start, '%m-%d'), '99-99'), lower(name), id))::INTEGER AS place FROM ({KEYED})")
 def chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return resolve.keyed(found(spark, sf_dir)).select("id", F.row_number().over(Window.orderBy(*resolve.order_of_time())).alias("place"))
+    placed = numbering.numbered(resolve.keyed(found(spark, sf_dir)).select("id", "name", "year", "start"), resolve.order_of_time(), "place", 1)
+    return placed.select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("prj01_funnel", f"""SELECT source || '|' || url AS id, core || ending AS name, CASE WHEN start IS NULL THEN '' ELSE '2026' END AS year, start, ['DE', 'AT', ''][c % 3 + 1] AS country, price, CASE WHEN k % 4 < 2 AND inside AND NOT (abs(lat) < 0.01 AND abs(lon) < 0.01) THEN round(lat, 3) END AS lat
