@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tentpole.functions import geo
 from tentpole.plans.queries import query, table
-from tentpole.sources import parsers
+from tentpole.sources import nodes, parsers
 
 #: What pages say, from the columns of orders; the same in SQL.
 FACTS = """SELECT o_orderkey AS id, (o_orderdate + INTERVAL 30 YEAR)::DATE AS d, (o_orderdate + INTERVAL 30 YEAR)::DATE + 2 AS e, (o_custkey % 40)::VARCHAR AS town, o_custkey % 4 AS c, (o_orderkey % 50 + 5)::VARCHAR AS price,
@@ -222,3 +222,45 @@ def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src02_ranks", f"SELECT unnest({parsers.SOURCES}) AS source, unnest(range(12))::INTEGER AS rank")
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsers.source_ranks(spark)
+
+
+# --- element trees
+
+
+@query("src18_nodes", """WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 4)::INTEGER AS k, (o_custkey % 40)::VARCHAR AS town, o_orderkey % 3 = 0 AS broken FROM orders),
+    n AS (
+        SELECT id, unnest([0, 1, 2, 3, 4, 5, 6 + 2 * k, 7 + 2 * k, 8 + 2 * k, 9 + 2 * k]) AS pre, unnest([9 + 2 * k, 9 + 2 * k, 9 + 2 * k, 4, 4, 5 + 2 * k, 9 + 2 * k, 7 + 2 * k, 8 + 2 * k, 9 + 2 * k]) AS last, unnest([0, 1, 2, 3, 4, 3, 3, 4, 4, 4]) AS depth,
+            unnest([-1, 0, 1, 2, 3, 2, 2, 6 + 2 * k, 6 + 2 * k, 6 + 2 * k]) AS parent, unnest(['html', 'body', 'div', 'h1', '#text', 'ul', 'p', '#text', 'br', '#text']) AS tag, unnest(['', '', '', 'N' || id, 'N' || id, '', 'x t' || town, 'x', '', 't' || town]) AS own FROM o
+        UNION ALL SELECT id, 6 + 2 * j, CASE WHEN broken THEN 5 + 2 * k ELSE 7 + 2 * j END, CASE WHEN broken THEN 4 + j ELSE 4 END, CASE WHEN broken AND j > 0 THEN 4 + 2 * j ELSE 5 END, 'li', 'item ' || j FROM o, range(3) AS t(j) WHERE j < k
+        UNION ALL SELECT id, 7 + 2 * j, 7 + 2 * j, CASE WHEN broken THEN 5 + j ELSE 5 END, 6 + 2 * j, '#text', 'item ' || j FROM o, range(3) AS t(j) WHERE j < k
+    ) SELECT id, pre::INTEGER AS pre, last::INTEGER AS last, depth::INTEGER AS depth, parent::INTEGER AS parent, tag, own FROM n""")
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with lists of some items, which are not closed on every third page and so stand one in the other."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), (F.col("o_orderkey") % 4).cast("int").alias("k"), (F.col("o_custkey") % 40).cast("string").alias("town"))
+    items = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.when(j < F.col("k"), F.concat(F.lit("<li>item "), j.cast("string"), F.when(F.col("page_id") % 3 == 0, "").otherwise("</li>"))).otherwise(F.lit("")))
+    html = F.concat(F.lit('<html><body><div class="a b"><h1>N'), F.col("page_id").cast("string"), F.lit("</h1><ul>"), F.array_join(items, ""), F.lit("</ul><p>x<br>t"), F.col("town"), F.lit("</p></div></body></html>"))
+    return nodes.nodes(o.withColumn("html", html)).select(F.col("page_id").alias("id"), "pre", "last", "depth", "parent", "tag", "own")
+
+
+PLAIN_HTML = r"regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(script|style|template|textarea|title)\b[^>]*>.*?</(script|style|template|textarea|title)\s*>', '', 'g')"
+
+
+@query("src18_page_elements", f"SELECT page_id, " + ", ".join(f"len(regexp_extract_all(lower({PLAIN_HTML}), '<{t}[\\s>/]'))::BIGINT AS n_{t}" for t in ("p", "a", "div", "li")) + " FROM pages")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of some kinds each given page has, from its nodes."""
+    t = F.col("t")
+    count = lambda tag: F.size(nodes.every(t, nodes.tagged(tag))).cast("long").alias(f"n_{tag}")
+    return table(spark, sf_dir, "pages").select("page_id", nodes.tree("html").alias("t")).select("page_id", *(count(x) for x in ("p", "a", "div", "li")))
+
+
+@query("src18_children", """WITH l AS (SELECT l_orderkey AS id, list(DISTINCT l_linenumber ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1) SELECT id, len(n)::BIGINT AS rows, 'Part ' || n[1] AS first, array_to_string(list_transform(n[2 :], lambda x: 'Part ' || x), '|') AS later FROM l""")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of an order's lines: the rows of the table that is named, its first cell, and what stands in the rows after it."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
+    row = lambda x: F.concat(F.lit("<tr><th>"), x.cast("string"), F.lit("</th><td>Part <b>"), x.cast("string"), F.lit("</b></td></tr>"))
+    html = F.concat(F.lit("<table><tr><td>other</td></tr></table><table id=lines>"), F.array_join(F.transform("n", row), "\n"), F.lit("</table><tr><td>after</td></tr>"))
+    t, of = F.col("t"), F.col("of")
+    rows = lines.select("id", nodes.tree(html).alias("t")).withColumn("of", nodes.first(nodes.every(t, lambda n: (n["tag"] == "table") & (nodes.attribute(n, "id") == "lines")))).withColumn("r", nodes.children(t, of, nodes.tagged("tr")))
+    cell = lambda tr: nodes.text_of(t, nodes.first(nodes.children(t, tr, nodes.tagged("td"))))
+    first = nodes.first(F.col("r"))
+    return rows.select("id", F.size("r").cast("long").alias("rows"), cell(first).alias("first"), F.array_join(F.transform(nodes.following(t, first, nodes.tagged("tr")), cell), "|").alias("later"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tentpole.functions import dates, geo, lineups, money, text
 from tentpole.functions.text import _text, clean
+from tentpole.sources import nodes
 from tentpole.sources import pages as p
 
 #: The sources in order of trust, the most trusted first.
@@ -275,7 +276,7 @@ def labelled(flat: Column, fields: dict[str, str]) -> dict[str, Column]:
 
 def alarm(pages: DataFrame) -> DataFrame:
     """Name and dates from the heading, all else from labelled fields."""
-    df = pages.withColumns({"__head": p.element("html", "h1"), "__flat": p.flat("html")})
+    df = pages.withColumns({"__head": p.element("html", "h1"), "__flat": p.flat("html"), "__nodes": nodes.tree("html")})
     df = df.withColumns(labelled(F.col("__flat"), ALARM))
     span, one = r"^(.*?)(\d{2}\.\d{2}\.)\s*-\s*(\d{2}\.\d{2}\.(\d{4}))", r"^(.*?)(\d{2}\.\d{2}\.\d{4})"
     part = lambda pattern, k: F.regexp_extract("__head", pattern, k)
@@ -287,9 +288,11 @@ def alarm(pages: DataFrame) -> DataFrame:
     name = F.regexp_replace(clean(F.when(spans, part(span, 1)).when(dated, part(one, 1)).otherwise(F.col("__head"))), r"[\s\-–|]+$", "")
     price = clean(F.replace(F.replace("price", F.lit("ca."), F.lit("")), F.lit("€"), F.lit("EUR")))
     price = F.when(~price.rlike(r"\d"), "").when(F.lower(price).startswith("ab"), price).otherwise(F.concat(F.lit("ab "), price))
-    # The site stands in the innermost list item or paragraph that names it.
-    block = F.regexp_extract(_text("html"), r"(?is)<(?:li|p|div)\b[^>]*>((?:(?!<(?:li|p|div)\b).)*?Webseite.*?)</(?:li|p|div)>", 1)
-    link = p.first_link(F.slice(p.anchors(block), 1, 1), lambda a: a["href"].startswith("http") & ~a["href"].contains("awin1.com") & ~a["href"].contains("festival-alarm"))
+    # The site is the first link of a list item, box or paragraph that names it, if that link is one.
+    tree = F.col("__nodes")
+    blocks = nodes.every(tree, lambda n: n["tag"].isin("li", "div", "p") & F.contains(nodes.text_of(tree, n), F.lit("Webseite")))
+    hrefs = F.transform(blocks, lambda n: F.trim(nodes.attribute(nodes.first(nodes.below(tree, n, lambda a: (a["tag"] == "a") & nodes.attribute(a, "href").isNotNull())), "href")))
+    link = F.coalesce(nodes.first(F.filter(hrefs, lambda h: h.startswith("http") & ~h.contains("awin1.com") & ~h.contains("festival-alarm"))), F.lit(""))
     acts = F.filter(F.transform(F.split("acts", ","), lambda x: text.collapsed(x)), lambda x: text.valid_band(x, cleaned=True))
     return records(
         df, "alarm", name=name, start=start, end=end, city=clean(F.regexp_replace("city", r"^\d{4,5}\s*", "")), country="country", venue="venue", postcode=F.regexp_extract("city", r"^\s*(\d{4,5})\b", 1), price=price, website=link,
@@ -424,16 +427,14 @@ def ticker(pages: DataFrame, master: DataFrame) -> DataFrame:
 MONEY = "€|EUR|CHF|GBP|DKK|SEK|NOK|PLN|HUF|CZK"
 
 
-def cards(html: Column | str) -> Column:
-    """Acts on line-up cards: spans in a card's body that are bold and kept on one line, or plain and followed by a line end."""
-    body = F.array_join(F.regexp_extract_all(_text(html), F.lit(r'(?is)<div\b[^>]*class="[^"]*\bcard-body\b[^"]*"[^>]*>(.*?)</div>'), F.lit(1)), "\n")
-    spans = [F.regexp_extract_all(body, F.lit(r"(?is)<span\b([^>]*)>(.*?)</span>(\s*<br)?"), F.lit(k)) for k in (1, 2, 3)]
-    has = lambda a, c: a.rlike(rf'(?i)class="[^"]*(?<![\w-]){c}(?![\w-])')
-    each = F.transform(F.arrays_zip(*(x.alias(n) for x, n in zip(spans, "atb", strict=True))), lambda x: F.struct(
-        p.plain(x["t"]).alias("name"),
-        (~has(x["a"], "text-secondary") & (has(x["a"], "font-weight-bold") & F.contains(F.replace(x["a"], F.lit(" "), F.lit("")), F.lit("white-space:nowrap")) | has(x["a"], "text-primary") & has(x["a"], "font-weight-normal") & (x["b"] != ""))).alias("act"),
-    ))
-    return F.array_distinct(F.transform(F.filter(each, lambda x: x["act"] & text.valid_band(x["name"], cleaned=True)), lambda x: x["name"]))
+def cards(tree: Column) -> Column:
+    """Acts on line-up cards, from a page's nodes: spans in a card's body that are bold and kept on one line, or plain and right before a line end."""
+    bodies = nodes.every(tree, lambda n: (n["tag"] == "div") & nodes.has_class(n, "card-body"))
+    spans = F.array_sort(F.array_distinct(F.flatten(F.transform(bodies, lambda b: nodes.below(tree, b, nodes.tagged("span"))))))
+    leads = lambda n: nodes.has_class(n, "font-weight-bold") & F.contains(F.replace(F.coalesce(nodes.attribute(n, "style"), F.lit("")), F.lit(" "), F.lit("")), F.lit("white-space:nowrap"))
+    plays = lambda n: nodes.has_class(n, "text-primary", "font-weight-normal") & F.coalesce(nodes.next_node(tree, n)["tag"] == "br", F.lit(False))
+    acts = F.filter(spans, lambda n: ~nodes.has_class(n, "text-secondary") & (leads(n) | plays(n)))
+    return F.array_distinct(F.filter(F.transform(acts, lambda n: nodes.text_of(tree, n)), lambda x: text.valid_band(x, cleaned=True)))
 
 
 def united(pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -443,7 +444,7 @@ def united(pages: DataFrame, names: DataFrame) -> DataFrame:
     the text, else the embedded address, else the first link to a list of a
     country.
     """
-    df = pages.withColumns({"__head": p.element("html", "h1"), "__text": p.flat("html", "\n")}).where("__head <> ''")
+    df = pages.withColumns({"__head": p.element("html", "h1"), "__text": p.flat("html", "\n")}).where("__head <> ''").withColumn("__nodes", nodes.tree("html"))
     grab = lambda c, pattern, k=1: F.regexp_extract(c, pattern, k)
     year = _title_year(F.col("__head"))
     spans = [F.regexp_extract_all("__text", F.lit(r"(\d{2}\.\d{2}\.\d{4})(?:\s*-\s*(\d{2}\.\d{2}\.\d{4}))?"), F.lit(k)) for k in (1, 2)]
@@ -485,5 +486,5 @@ def united(pages: DataFrame, names: DataFrame) -> DataFrame:
     return records(
         df, "united", name=name, start=F.coalesce("__start", json_start), end=F.coalesce("__end", json_end), title_year=filled(y, F.year(F.coalesce("__start", json_start)).cast("string")), note=note,
         city=F.when(F.col("__city").rlike(first), clean(grab("__city", first, 2))).otherwise(F.col("__city")), postcode=code, country=filled(F.col("__c0"), F.col("__c1"), F.col("__c2")), venue=F.when(F.lower(venue) == F.lower(name), "").otherwise(venue),
-        lat=grab("html", point).try_cast("double"), lon=grab("html", point, 2).try_cast("double"), price=price, website=site, genre=F.when(styles != "", text.genre_union(styles, sentence)).otherwise(sentence), visitors=F.trim(capacity), cancelled=cancelled, lineup=cards("html"),
+        lat=grab("html", point).try_cast("double"), lon=grab("html", point, 2).try_cast("double"), price=price, website=site, genre=F.when(styles != "", text.genre_union(styles, sentence)).otherwise(sentence), visitors=F.trim(capacity), cancelled=cancelled, lineup=cards(F.col("__nodes")),
     )
