@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tentpole.functions import dates, genres, geo, money, text
 from tentpole.operators import aggregates, lookups, search, state
 from tentpole.sources import pages as page_source
-from tentpole.streaming import prices
+from tentpole.scratch import scratch_path
+from tentpole.streaming import prices, states
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -308,4 +309,23 @@ def windowed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.windowed_prices(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("value").alias("price"), "ts"))
 
 
+@query("str01_keyed_state", """WITH d AS (SELECT user_id::VARCHAR AS key, ts::DATE AS day, max(event_id) AS e FROM events GROUP BY 1, 2)
+    SELECT key, arg_min(e, day)::VARCHAR AS first, min(day) AS since, arg_max(e, day)::VARCHAR AS current, max(day) AS stamp FROM d GROUP BY key""")
+def keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of runs, one a day, through keyed state; what it gave is read from its sink."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before, source, out = spark.conf.get(name), scratch_path(spark, "runs"), scratch_path(spark, "history")
+    spark.conf.set(name, states.STORE)
+    try:
+        e = table(spark, sf_dir, "events")
+        runs = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("price"), F.col("event_id").alias("seq"), F.to_date("ts").alias("stamp"))
+        runs.write.parquet(source)
+        runs = spark.readStream.schema(runs.schema).parquet(source)
+        sink = states.price_updates(runs).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "progress"))
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return states.history_of(spark.read.schema(states.HISTORY).parquet(out), date(2024, 1, 31))
+
+
 from tentpole.plans import entity_queries, pair_queries, source_queries, value_queries  # noqa: E402, F401  (they register their queries)
