@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tentpole.functions import geo, text
 from tentpole.functions.text import _text
+from tentpole.operators import finding
 
 # --- tables that lookups use
 
@@ -122,7 +123,7 @@ def home(asked: DataFrame, codes: DataFrame, places: DataFrame) -> DataFrame:
     Texts that mean nothing have no row. ``codes`` has (code, place, lat, lon,
     cc, seq), ``places`` (name, lat, lon, cc, population).
     """
-    q = asked.select("q").distinct().withColumns({"__code": F.regexp_extract("q", POSTAL, 1), "__rest": text.fold(F.regexp_extract("q", POSTAL, 2)), "__fold": text.fold("q")})
+    q = asked.select("q").distinct().withColumns({"__code": F.regexp_extract("q", POSTAL, 1), "__rest": finding.typed(F.regexp_extract("q", POSTAL, 2)), "__fold": finding.typed("q")})
     lands = codes.select(F.lower("cc").alias("__rest"), F.lit(True).alias("__is_land")).distinct()
     q = q.join(lands, "__rest", "left").withColumn("__is_land", F.coalesce("__is_land", F.lit(False)))
     # Letters behind a code that are no country make it a code of another kind.
@@ -133,10 +134,9 @@ def home(asked: DataFrame, codes: DataFrame, places: DataFrame) -> DataFrame:
     by_code = picked.select("q", "x.lat", "x.lon", F.col("x.cc").alias("country"), F.concat(F.col("__code"), F.lit(" "), F.col("x.place"), F.lit(" ("), F.col("x.cc"), F.lit(")")).alias("label"), F.size(F.filter("lands", lambda c: c != F.col("x.cc"))).alias("others"))
     named = places.withColumn("__name", text.fold("name")).where("__name <> ''")
     open_ = q.join(by_code.select("q"), "q", "left_anti").where("__fold <> ''")
-    # Names meet by their first letters, so that no text meets all places.
-    exact = open_.join(named, F.col("__name") == F.col("__fold")).select("q", F.lit(0).alias("kind"), "name", "lat", "lon", "cc", "population")
-    prefix = open_.withColumn("__head", F.substring("__fold", 1, 2)).join(named.withColumn("__head", F.explode(F.array_distinct(F.array(F.substring("__name", 1, 1), F.substring("__name", 1, 2))))), "__head").where(F.col("__name").startswith(F.col("__fold")) & (F.col("__name") != F.col("__fold")))
-    every = exact.unionByName(prefix.select("q", F.lit(1).alias("kind"), "name", "lat", "lon", "cc", "population"))
+    # Names meet by the longest of their indexed beginnings.
+    met = finding.beginning_with(open_.select("q", F.col("__fold").alias("q_fold")), named.withColumnRenamed("__name", "name_fold"))
+    every = met.select("q", (F.col("name_fold") != F.col("q_fold")).cast("int").alias("kind"), "name", "lat", "lon", "cc", "population")
     chosen = every.groupBy("q").agg(F.min_by(F.struct("name", "lat", "lon", "cc"), F.struct("kind", -F.coalesce("population", F.lit(0)), "name", "cc")).alias("x"), (F.count(F.lit(1)) - 1).cast("int").alias("others"))
     return by_code.unionByName(chosen.select("q", "x.lat", "x.lon", F.col("x.cc").alias("country"), F.concat("x.name", F.lit(" ("), F.col("x.cc"), F.lit(")")).alias("label"), "others"))
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from tentpole.functions.geo import distance_km
 from tentpole.functions.money import to_euro
+from tentpole.functions.text import fold
+from tentpole.operators import cells, finding
 
 #: Hits that a search returns at most.
 TOP = 300
@@ -152,6 +154,9 @@ def hits(entities: DataFrame, search: Search, top: int = TOP, page: int = 0, per
 
     With ``per_page``, only that page of them, the first being 0.
     """
+    if "cell" in entities.columns and search.uses_distance() and search.km_max is not None:
+        # Stored by :func:`tentpole.operators.cells.stored`: only what lies around is read. Distances are rounded to whole kilometres.
+        entities = entities.where(cells.touched(search.home, search.km_max + 1, search.no_place)).drop("cell")
     out = entities.withColumn("km", km(search))
     columns = out.columns
     for _, condition in steps(search, columns):
@@ -175,8 +180,13 @@ def funnel(entities: DataFrame, search: Search) -> DataFrame:
 
 
 def names_with(names: DataFrame, text: str, top: int = 80) -> DataFrame:
-    """Names (``name``, ``n``) that contain a text without regard to case, the most frequent first."""
-    return names.where(F.contains(F.lower("name"), F.lit(text.lower()))).orderBy(F.desc("n"), "name").limit(top)
+    """Names (``name``, ``n``) whose fold contains that of a text of two letters or more, the most frequent first.
+
+    One text against all names, in one scan; for many texts see
+    :func:`tentpole.operators.finding.names_containing`.
+    """
+    wanted = finding.typed(F.lit(text))
+    return names.where((F.length(wanted) >= finding.LEAST) & F.contains(fold("name"), wanted)).orderBy(F.desc("n"), "name").limit(top)
 
 
 def clamped(search: Search, earliest: date | None = None) -> Search:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tentpole.functions import dates, genres, geo, money, text
-from tentpole.operators import aggregates, lookups, search, state
+from tentpole.operators import aggregates, cells, finding, lookups, search, state
 from tentpole.sources import pages as page_source
 from tentpole.scratch import scratch_path
 from tentpole.streaming import prices, states
@@ -98,6 +98,26 @@ _ordered("flt12_price", "eur NULLS LAST, km NULLS LAST, start NULLS LAST", searc
 _ordered("srt05_pages", "km NULLS LAST, start NULLS LAST, eur NULLS LAST", search.Search(home=(48.1, 11.6), undated=True), "true", 50, 25)
 
 
+@query("flt11_stored_by_cell", f"""WITH {EVENTS_SQL}, near AS (SELECT *, round(2 * 6371.0 * asin(sqrt(pow(sin((radians(lat) - radians(-15.0)) / 2), 2) + cos(radians(-15.0)) * cos(radians(lat)) * pow(sin(radians(lon + 45.0) / 2), 2)))) AS d FROM ev)
+    SELECT id, name, start, d AS km, eur FROM near WHERE NOT cancelled AND d <= 700 AND d >= 20 ORDER BY d, start NULLS LAST, eur NULLS LAST, name, id LIMIT 300""")
+def near_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events within 700 km of a place, from a copy that is stored by cell."""
+    path = scratch_path(spark, "by-cell")
+    cells.stored(events_of_orders(spark, sf_dir), path)
+    return search.hits(spark.read.parquet(path), search.Search(home=(-15.0, -45.0), km_min=20, km_max=700, undated=True)).select("id", "name", "start", "km", "eur")
+
+
+@query("srt06_many_texts", rf"""WITH n AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1), q AS (SELECT DISTINCT substr(p_name, (p_partkey % 9)::INTEGER + 1, (p_partkey % 6)::INTEGER) AS q FROM part),
+    f AS (SELECT q, regexp_replace(regexp_replace(trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')), '^({'|'.join(text.ARTICLES)}) +', ''), ' +({'|'.join(text.ADDITIONS)})$', '') AS w FROM q)
+    SELECT q, row_number() OVER (PARTITION BY q ORDER BY n DESC, name)::INTEGER AS place, name, n FROM f JOIN n ON contains(lower(name), w) WHERE length(w) >= 2 QUALIFY place <= 80""")
+def searched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of names, as users may type them, against all names."""
+    part = table(spark, sf_dir, "part")
+    names = part.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    asked = part.select(F.expr("substr(p_name, cast(p_partkey % 9 as int) + 1, cast(p_partkey % 6 as int))").alias("q"))
+    return finding.names_containing(asked, finding.piece_index(names))
+
+
 @query("agg13_facets", f"WITH {EVENTS_SQL} SELECT b AS value, count(*) AS n FROM (SELECT unnest(bands) AS b FROM ev) GROUP BY b")
 def band_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acts_of_orders(spark, sf_dir).distinct().groupBy(F.col("band").alias("value")).agg(F.count(F.lit(1)).alias("n"))
