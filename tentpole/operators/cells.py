@@ -23,7 +23,8 @@ ACROSS, ROWS = 360, 180
 def cell_of(lat: Column, lon: Column) -> Column:
     """The cell of a point; null without one."""
     row = F.least(F.greatest(F.floor(lat + 90), F.lit(0)), F.lit(ROWS - 1))
-    return (row * ACROSS + F.least(F.greatest(F.floor(lon + 180), F.lit(0)), F.lit(ACROSS - 1))).cast("int")
+    cell = row * ACROSS + F.least(F.greatest(F.floor(lon + 180), F.lit(0)), F.lit(ACROSS - 1))
+    return F.when(lat.isNotNull() & lon.isNotNull(), cell.cast("int"))
 
 
 def stored(entities: DataFrame, path: str, group_bytes: int = 8_000_000, lat: str = "lat", lon: str = "lon") -> None:
