@@ -348,4 +348,4 @@ def keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.history_of(spark.read.schema(states.HISTORY).parquet(out), date(2024, 1, 31))
 
 
-from tentpole.plans import entity_queries, pair_queries, source_queries, value_queries  # noqa: E402, F401  (they register their queries)
+from tentpole.plans import entity_queries, pair_queries, run_queries, source_queries, value_queries  # noqa: E402, F401  (they register their queries)
