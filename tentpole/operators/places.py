@@ -74,31 +74,33 @@ def located(entities: DataFrame, codes: DataFrame, cache: tuple[DataFrame, DataF
     share (``doubtful``: lat, lon to four decimals) and fits the country's box.
     """
     cached, by_city = cache
-    rows = entities.withColumns({"__code": F.replace(F.trim(_text("postcode")), F.lit(" "), F.lit("")), "__land": F.trim(_text("country")), "__city": F.lower(F.trim(_text("city")))})
+    asked = {"__code": F.replace(F.trim(_text("postcode")), F.lit(" "), F.lit("")), "__said": F.trim(_text("country")), "__town": _text("city")}
+    rows = entities.withColumns(asked)
+    # Each different question is looked up once; a question that very many rows have meets them in one join, which can be split.
+    keys = rows.select(*asked).distinct().withColumns({"__land": F.col("__said"), "__city": F.lower(F.trim("__town")), "__fold": text.fold("__town")})
     code = codes.groupBy(F.col("code").alias("__code"), F.col("cc").alias("__land")).agg(F.min_by(F.struct("lat", "lon"), "cc").alias("__t0"))
     only = codes.groupBy(F.col("code").alias("__code")).agg(F.min_by(F.struct("lat", "lon", "cc"), "cc").alias("__t1"), F.min("cc").alias("__a"), F.max("cc").alias("__z")).where("__a = __z").drop("__a", "__z")
     blank = F.col("__code") == ""
-    rows = rows.join(code, ["__code", "__land"], "left").join(only, "__code", "left").withColumns({"__t0": F.when(~blank, F.col("__t0")), "__t1": F.when(~blank, F.col("__t1"))})
-    land = F.when(F.col("__t0").isNull() & F.col("__t1").isNotNull() & (F.col("__land") == ""), F.col("__t1.cc")).otherwise(F.col("__land"))
-    rows = rows.withColumn("__land", land)
+    keys = keys.join(code, ["__code", "__land"], "left").join(only, "__code", "left").withColumns({"__t0": F.when(~blank, F.col("__t0")), "__t1": F.when(~blank, F.col("__t1"))})
+    keys = keys.withColumn("__land", F.when(F.col("__t0").isNull() & F.col("__t1").isNotNull() & (F.col("__land") == ""), F.col("__t1.cc")).otherwise(F.col("__land")))
     with_land = cached.select(F.col("city").alias("__city"), F.col("cc").alias("__land"), F.struct("lat", "lon").alias("__t2"))
     any_land = by_city.select(F.col("city").alias("__city"), F.struct("lat", "lon", "cc").alias("__t3"))
     early = F.col("__t0").isNotNull() | F.col("__t1").isNotNull()
-    rows = rows.join(with_land, ["__city", "__land"], "left").join(any_land, "__city", "left")
-    rows = rows.withColumns({"__t2": F.when(~early & (F.col("__land") != ""), F.col("__t2")), "__t3": F.when(~early & (F.col("__city") != ""), F.col("__t3"))})
-    rows = rows.withColumn("__t3", F.when(F.col("__t2").isNull(), F.col("__t3")))
-    rows = rows.withColumn("__land", F.when((F.col("__land") == "") & F.col("__t3").isNotNull(), F.col("__t3.cc")).otherwise(F.col("__land")))
+    keys = keys.join(with_land, ["__city", "__land"], "left").join(any_land, "__city", "left")
+    keys = keys.withColumns({"__t2": F.when(~early & (F.col("__land") != ""), F.col("__t2")), "__t3": F.when(~early & (F.col("__city") != ""), F.col("__t3"))})
+    keys = keys.withColumn("__t3", F.when(F.col("__t2").isNull(), F.col("__t3")))
+    keys = keys.withColumn("__land", F.when((F.col("__land") == "") & F.col("__t3").isNotNull(), F.col("__t3.cc")).otherwise(F.col("__land")))
     named = places.groupBy(text.fold("name").alias("__fold"), F.col("cc").alias("__land")).agg(F.max_by(F.struct("lat", "lon"), F.coalesce("population", F.lit(0))).alias("__t4"))
-    rows = rows.withColumn("__fold", text.fold("city")).join(named, ["__fold", "__land"], "left")
-    rows = rows.withColumn("__t4", F.when((F.trim(_text("city")) != "") & (F.col("__land") != ""), F.col("__t4"))).join(boxes.select(F.col("code").alias("__land"), F.col("box").alias("__box")), "__land", "left")
+    keys = keys.join(named, ["__fold", "__land"], "left").withColumn("__t4", F.when((F.col("__city") != "") & (F.col("__land") != ""), F.col("__t4")))
+    keys = keys.join(boxes.select(F.col("code").alias("__land"), F.col("box").alias("__box")), "__land", "left")
+    tiers = [("postcode", "__t0"), ("only postcode", "__t1"), ("cache", "__t2"), ("cached city", "__t3"), ("gazetteer", "__t4")]
+    found = F.coalesce(*(F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.lat").alias("lat"), F.col(f"{c}.lon").alias("lon"), F.lit(name).alias("tier"))) for name, c in tiers))
+    rows = rows.join(keys.select(*asked, "__land", "__box", found.alias("__found")), list(asked), "left")
     own = geo.in_box(F.col("lat"), F.col("lon"), F.col("__box"), geo.OWN_POINT_MARGIN)
     if doubtful is not None:
         rows = rows.withColumns({"__a": F.round("lat", 4), "__b": F.round("lon", 4)}).join(doubtful.select(F.col("lat").alias("__a"), F.col("lon").alias("__b"), F.lit(True).alias("__shared")), ["__a", "__b"], "left")
         own = own & F.col("__shared").isNull()
-    tiers = [("postcode", "__t0"), ("only postcode", "__t1"), ("cache", "__t2"), ("cached city", "__t3"), ("gazetteer", "__t4")]
-    found = [F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.lat").alias("lat"), F.col(f"{c}.lon").alias("lon"), F.lit(name).alias("tier"))) for name, c in tiers]
-    found.append(F.when(own, F.struct("lat", "lon", F.lit("own").alias("tier"))))
-    rows = rows.withColumn("__x", F.coalesce(*found))
+    rows = rows.withColumn("__x", F.coalesce("__found", F.when(own, F.struct("lat", "lon", F.lit("own").alias("tier")))))
     return rows.select(*(c for c in entities.columns if c not in ("lat", "lon", "country")), "__x.lat", "__x.lon", F.col("__land").alias("country"), "__x.tier")
 
 
