@@ -4,6 +4,8 @@ import heapq
 import itertools
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -474,3 +476,61 @@ def test_pipeline_run_equals_a_plain_version(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def plain_alignment(a: list[str], b: list[str]) -> int:
+    """The best local alignment, cell by cell: 2 a match, 1 off for a word that differs or is left out."""
+    before, best = [0] * (len(b) + 1), 0
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, now[j] - 1))
+        before, best = now, max(best, *now)
+    return best
+
+
+def test_alignments_against_plain_cells():
+    rng = random.Random(21)
+    found = 0
+    for _ in range(600):
+        item = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 14))]
+        window = [rng.choice("abcdefghxyz") for _ in range(rng.randrange(20))]
+        if rng.random() < 0.6:
+            part = [w for w in item if rng.random() > 0.25]
+            at = rng.randrange(len(window) + 1)
+            window = window[:at] + [w if rng.random() > 0.2 else "z" for w in part] + window[at:]
+        score, got = plain_alignment(item, window), decontaminate.aligned(item, window)
+        assert (got is not None) == (score >= len(item))  # half of the 2 a word that a perfect copy has
+        found += got is not None
+        if got:
+            assert got[0] == score / (2 * len(item)) and plain_alignment(item, window[got[1] : got[2]]) == score
+    assert 150 < found < 550
+
+
+def rejected(text: str) -> bool:
+    """Whether a document breaks a quality rule, as the rules say."""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    n, chars = len(words), sum(map(len, words))
+    windows = Counter(tuple(words[k : k + 3]) for k in range(n - 2))
+    again = {k + j for k in range(n - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    letters, upper = (sum(unicodedata.category(c) in kinds for c in text) for kinds in (("Lu", "Ll", "Lt", "Lm", "Lo"), ("Lu",)))
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return (
+        n < 50 or 100 * len(again) > 50 * n or 100 * symbols > 5 * chars or 2 * upper > letters
+        or 2 * (len(lines) - len(set(lines))) > len(lines) or chars < 2 * n or chars > 20 * n
+    )
+
+
+def test_the_cascade_rejects_what_the_rules_say():
+    from tentpole.llm import quality
+
+    rng, counts = random.Random(22), Counter()
+    for _ in range(500):
+        word = rng.choice([lambda: "w" + str(rng.randrange(400)), lambda: rng.choice(["a", "b"]) + "x" * rng.randrange(40), lambda: rng.choice(["UP", "Low", "é", "#", "1"]) * rng.randrange(1, 4), lambda: str(rng.randrange(30))])
+        text = "".join(word() + rng.choice([" ", " ", " ", "\n", "\t"]) for _ in range(rng.choice([0, 20, 49, 50, 51, 80, 200])))
+        text += rng.choice(["", "", "one line\n" * 40, "#$ " * 30])
+        bad = rejected(text)
+        assert (quality.cascade(quality.Text(text), quality.RULES) is not None) == bad
+        counts[bad] += 1
+    assert min(counts.values()) > 50
