@@ -307,7 +307,7 @@ def test_pipeline_stages(spark):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
