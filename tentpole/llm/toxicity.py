@@ -22,7 +22,8 @@ from tentpole.llm import transducers as t
 from tentpole.llm.common import dropped, saved
 
 WORDS = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+#: What parts clauses; not a colon, so what is said stands with who says it.
+CLAUSE = re.compile(r"[.!?;\n]+")
 #: Labelled rows of either class that are learned from: the first by hash of their id.
 SAMPLE = 8000
 #: Lengths of word beginnings that may be learned, beside whole words.
@@ -80,8 +81,8 @@ def terms_of(word: str) -> Iterator[tuple[str, bool]]:
 
 
 @lru_cache(maxsize=1)
-def _grammar() -> t.Transducer:
-    return t.grammar()
+def _grammar() -> tuple[t.Transducer, t.Transducer]:
+    return t.grammar(), t.named_after()
 
 
 def clauses(text: str, weigh) -> Iterator[tuple[str, float]]:
@@ -93,14 +94,14 @@ def clauses(text: str, weigh) -> Iterator[tuple[str, float]]:
     and lowered by a negation or a report. Clauses without an insult or
     threatening verb match nothing and are not read.
     """
-    machine = _grammar()
+    machine, mirrored = _grammar()
     for clause in CLAUSE.split(text.lower()):
         words = WORDS.findall(clause)
         weights = list(map(weigh, words))
         if not any(weights) and t.THREAT not in map(CLASSES.get, words):
             continue
         symbols = [t.INSULT if x else CLASSES.get(w, t.OTHER) for w, x in zip(words, weights, strict=True)]
-        found = [(max(0.0, 1 + extra) * (x or 1.0), kind) for (kind, extra), x in zip(machine.run(symbols), weights, strict=True) if kind in FEATURES]
+        found = [(max(0.0, 1 + extra) * (x or 1.0), kind) for (kind, extra), x in zip(t.read(machine, mirrored, symbols), weights, strict=True) if kind in FEATURES]
         if found:
             yield max(found)[1], sum(w for w, _ in found)
 

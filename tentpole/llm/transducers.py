@@ -82,3 +82,15 @@ def reports(reach: int = 12) -> Transducer:
 def grammar() -> Transducer:
     """Insult, threat, target, negation and reported speech, composed in this order."""
     return insults() @ threats() @ targets() @ negations() @ reports()
+
+
+def named_after(reach: int = 3) -> Transducer:
+    """Read from the right: an insult that stands alone, within reach before a target, is aimed at it."""
+    return targets(reach)
+
+
+def read(machine: Transducer, mirrored: Transducer, symbols: list[str]) -> list[tuple[str, float]]:
+    """What is written for each symbol by one machine from the left and then by another from the right; weights add up."""
+    there = machine.run(symbols)
+    back = mirrored.run([s for s, _ in reversed(there)])
+    return [(s, w + paid) for (_, w), (s, paid) in zip(there, reversed(back), strict=True)]

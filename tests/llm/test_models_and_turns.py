@@ -352,6 +352,10 @@ def test_toxic_scores_equal_a_plain_version(spark, labelled):
             for p in parts:
                 made = p.run(now)
                 now, paid = [s for s, _ in made], [a + w for a, (_, w) in zip(paid, made, strict=True)]
+            # From the right: what stands alone is aimed at a target up to three words behind it.
+            for k, s in enumerate(now):
+                if s == t.BARE and t.TARGET in now[k + 1 : k + 4]:
+                    now[k], paid[k] = t.AIMED, paid[k] + 0.5
             hit = [(max(0.0, 1 + p) * (x or 1.0), s) for s, p, x in zip(now, paid, weights, strict=True) if s in toxicity.FEATURES]
             if hit:
                 counts[max(hit)[1]] += 1
@@ -534,3 +538,10 @@ def test_the_cascade_rejects_what_the_rules_say():
         assert (quality.cascade(quality.Text(text), quality.RULES) is not None) == bad
         counts[bad] += 1
     assert min(counts.values()) > 50
+
+
+def test_clauses_are_read_from_both_sides():
+    read = lambda text: [kind for kind, _ in toxicity.clauses(text, lambda w: 2.0 if w == "idiot" else 0.0)]
+    assert read('He said: "you are an idiot". You are an idiot') == [t.TOLD, t.AIMED]
+    assert read("What an idiot, you! What an idiot. Idiot one two three four you") == [t.AIMED, t.BARE, t.BARE]
+    assert read("not an idiot, you") == [t.DENIED] and read("nothing here: at all") == []
