@@ -219,12 +219,12 @@ def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("chars"))
 
 
-@query("src02_ranks", f"SELECT unnest({parsers.SOURCES}) AS source, unnest(range(12))::INTEGER AS rank")
+@query("src02_ranks", f"WITH r AS (SELECT unnest({parsers.SOURCES}) AS source, unnest(range(12)) AS rank), f AS (SELECT {parsers.SOURCES}[o_custkey % 12 + 1] AS source, o_orderkey FROM orders) SELECT source, rank::INTEGER AS rank, count(*) AS n, min(o_orderkey) AS first FROM f JOIN r USING (source) GROUP BY 1, 2")
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsers.source_ranks(spark)
-
-
-# --- element trees
+    """Findings of all sources with the trust in their source."""
+    source = F.element_at(F.array(*map(F.lit, parsers.SOURCES)), (F.col("o_custkey") % 12 + 1).cast("int"))
+    found = table(spark, sf_dir, "orders").select(source.alias("source"), "o_orderkey")
+    return found.join(F.broadcast(parsers.source_ranks(spark)), "source").groupBy("source", "rank").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query("src18_nodes", """WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 4)::INTEGER AS k, (o_custkey % 40)::VARCHAR AS town, o_orderkey % 3 = 0 AS broken FROM orders),
