@@ -18,7 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tentpole.llm.common import saved
@@ -36,6 +36,8 @@ MARKS, SPAN = 256, 128
 PRIOR, PRIORS, PART = 2000.0, (500.0, 2000.0, 5000.0, 20_000.0), 10
 #: Tokens worked on at once; of a longer text, forward values are kept at cuts so far apart and worked out again between them.
 GROUP = 250_000
+#: Tokens whose emissions are looked up at once, few enough for a processor's cache.
+BLOCK = 8192
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -49,6 +51,11 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[:2] + b" " + word[-3:]) % CLASSES
 
 
+def classes(word: str) -> Column:
+    """:func:`class_of` over a column."""
+    return (F.crc32(F.concat(F.substring(word, 1, 2), F.lit(b" "), F.substring(word, -3, 3))) % CLASSES).cast("int")
+
+
 @dataclass
 class Vocabulary:
     """Head words by number (0 is the end of a text), counts of known words, and totals."""
@@ -91,7 +98,8 @@ class Model:
 class Batch:
     """Texts side by side, longest first: at step t the first ``active[t]`` go on. All arrays are in order of (step, text).
 
-    Every text has a symbol at least, its end.
+    Values of states are rows, so that what a step does to its texts runs along
+    memory. Every text has a symbol at least, its end.
     """
 
     def __init__(self, texts: list[np.ndarray]):
@@ -104,66 +112,101 @@ class Batch:
         self.symbols = np.empty(len(which), np.int32)
         self.symbols[self.begin[step] + which] = np.concatenate([texts[i] for i in self.order])
 
-    def _run(self, m: Model, t0: int, t1: int, a: np.ndarray | None, total: np.ndarray | None, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """Steps ``t0`` to ``t1`` after forward values ``a``: the last ones, and with ``keep`` all of them with their scales."""
-        first = self.begin[t0]
-        alpha = np.empty((self.begin[t1] - first, len(m.start)), m.emit.dtype) if keep else None
-        scale = np.empty(self.begin[t1] - first, m.emit.dtype) if keep else None
-        for t in range(t0, t1):
-            n, s = self.active[t], slice(self.begin[t], self.begin[t + 1])
-            a = (m.start if a is None else a[:n] @ m.move) * m.emit[self.symbols[s]]
-            c = a.sum(1)
-            a /= c[:, None]
-            if total is not None:
-                total[:n] += np.log10(c)
-            if keep:
-                alpha[s.start - first : s.stop - first], scale[s.start - first : s.stop - first] = a, c
-        return a, alpha, scale
+    def parts(self, size: int) -> list[tuple[int, int]]:
+        """All steps, cut after about every ``size`` tokens."""
+        cuts = np.unique(np.concatenate([np.searchsorted(self.begin, np.arange(0, self.begin[-1], size)), [len(self.active)]]))
+        return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def _emitted(self, m: Model, t0: int, t1: int) -> np.ndarray:
+        """Each state's probabilities of the symbols of steps ``t0`` to ``t1``."""
+        symbols = self.symbols[self.begin[t0] : self.begin[t1]]
+        out = np.empty((len(m.start), len(symbols)), m.emit.dtype)
+        for k in range(0, len(symbols), BLOCK):
+            out[:, k : k + BLOCK] = m.emit.take(symbols[k : k + BLOCK], 0).T
+        return out
+
+    def _run(self, m: Model, t0: int, t1: int, a: np.ndarray | None, emitted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward values and scales of steps ``t0`` to ``t1`` after forward values ``a``."""
+        begin, move = (self.begin[t0 : t1 + 1] - self.begin[t0]).tolist(), np.ascontiguousarray(m.move.T)
+        alpha, scale = np.empty_like(emitted), np.empty(begin[-1], m.emit.dtype)
+        for i, j in zip(begin, begin[1:], strict=False):
+            x, c = alpha[:, i:j], scale[i:j]
+            if a is None:
+                x[:] = m.start[:, None]
+            else:
+                np.matmul(move, a[:, : j - i], out=x)
+            x *= emitted[:, i:j]
+            np.add.reduce(x, 0, out=c)
+            x *= 1 / c
+            a = x
+        return alpha, scale
+
+    def _last(self, alpha: np.ndarray, t: int) -> np.ndarray:
+        """The values of step ``t``, with which ``alpha`` ends."""
+        return alpha[:, alpha.shape[1] - self.active[t] :].copy()
 
     def forward(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
         """log10 likelihood of each text, in the given order, and the last forward values."""
-        total = np.zeros(self.active[0])
-        a, _, _ = self._run(m, 0, len(self.active), None, total, False)
+        total, a = np.zeros(self.active[0]), None
+        for t0, t1 in self.parts(BLOCK):
+            alpha, scale = self._run(m, t0, t1, a, self._emitted(m, t0, t1))
+            a, logs = self._last(alpha, t1 - 1), np.log(scale)
+            for t, i in enumerate((self.begin[t0:t1] - self.begin[t0]).tolist(), t0):
+                total[: self.active[t]] += logs[i : i + self.active[t]]
         out = np.empty(len(total))
-        out[self.order] = total
-        return out, a
+        out[self.order] = total / np.log(10)
+        return out, a.T
 
     def counts(self, m: Model, emissions: np.ndarray, group: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Expected counts of whole texts: log10 likelihood, starts, moves; those of emissions are added to ``emissions``.
+        """Expected counts of whole texts: log10 likelihood, starts, moves; those of emissions (state by symbol) are added to ``emissions``.
 
         Forward values are kept for about ``group`` tokens at a time. A longer
         batch is run through once to have them at cuts, then again from cut to
         cut, last part first.
         """
-        group, states, steps = group or GROUP, len(m.start), len(self.active)
-        cuts = np.unique(np.concatenate([np.searchsorted(self.begin, np.arange(0, self.begin[-1], group)), [steps]]))
-        parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        total, entry, a = np.zeros(self.active[0]), [], None
+        states, total, entry, a, alpha = len(m.start), 0.0, [], None, None
+        parts = self.parts(group or GROUP)
         for t0, t1 in parts:
             entry.append(a)
-            a, alpha, scale = self._run(m, t0, t1, a, total, (t0, t1) == parts[-1])
+            emitted = self._emitted(m, t0, t1)
+            alpha, scale = self._run(m, t0, t1, a, emitted)
+            a = self._last(alpha, t1 - 1)
+            total += np.log(scale).sum(dtype=np.float64)
         moves, starts = np.zeros((states, states)), np.zeros(states)
-        beta = np.ones((self.active[-1], states), m.emit.dtype)
+        # What lies ahead of the last step of a part, for the texts that go on after it.
+        after = np.ones((states, 0), m.emit.dtype)
         for (t0, t1), before in zip(parts[::-1], entry[::-1], strict=True):
             if alpha is None:
-                _, alpha, scale = self._run(m, t0, t1, before, None, True)
-            first = self.begin[t0]
-            for t in range(t1 - 1, t0 - 1, -1):
-                n, s = self.active[t], slice(self.begin[t] - first, self.begin[t + 1] - first)
-                if t:
-                    ahead = m.emit[self.symbols[self.begin[t] : self.begin[t + 1]]] * beta / scale[s][:, None]
-                    last = alpha[self.begin[t - 1] - first : s.start] if t > t0 else before
-                    moves += last[:n].T @ ahead
-                alpha[s] *= beta
-                if t:
-                    beta = np.ones((self.active[t - 1], states), m.emit.dtype)
-                    beta[:n] = ahead @ m.move.T
-                else:
-                    starts = alpha[s].sum(0)
-            used, at = np.unique(self.symbols[first : self.begin[t1]], return_inverse=True)
-            emissions[used] += np.stack([np.bincount(at, alpha[:, k], len(used)) for k in range(states)], 1)
+                emitted = self._emitted(m, t0, t1)
+                alpha, scale = self._run(m, t0, t1, before, emitted)
+            begin = (self.begin[t0 : t1 + 1] - self.begin[t0]).tolist()
+            beta = np.ones_like(alpha)
+            beta[:, begin[-2] : begin[-2] + after.shape[1]] = after
+            emitted /= scale
+            for h, i, j in zip(begin[-3::-1], begin[-2:0:-1], begin[:1:-1], strict=True):
+                ahead = emitted[:, i:j]
+                ahead *= beta[:, i:j]
+                np.matmul(m.move, ahead, out=beta[:, h : h + j - i])
+            first = begin[1]
+            emitted[:, :first] *= beta[:, :first]
+            if t0:
+                moves += before[:, :first] @ emitted[:, :first].T
+                after = m.move @ emitted[:, :first]
+            # Steps of equally many texts follow one another at one distance.
+            ends = np.flatnonzero(np.diff(self.active[t0:t1], append=0)) + 1
+            for s, e in zip(np.maximum(np.concatenate([[0], ends[:-1]]), 1).tolist(), ends.tolist(), strict=True):
+                if s < e:
+                    n = begin[s + 1] - begin[s]
+                    moves += alpha[:, begin[s - 1] : begin[s - 1] + n] @ emitted[:, begin[s] : begin[s] + n].T
+                    moves += alpha[:, begin[s] : begin[e - 1]] @ emitted[:, begin[s + 1] : begin[e]].T
+            alpha *= beta
+            if not t0:
+                starts = alpha[:, :first].sum(1, dtype=np.float64)
+            symbols = self.symbols[self.begin[t0] : self.begin[t1]]
+            for own, more in zip(emissions, alpha, strict=True):
+                own += np.bincount(symbols, more, len(own))
             alpha = None
-        return float(total.sum()), starts, moves * m.move
+        return total / np.log(10), starts, moves * m.move
 
 
 def groups(texts: list[np.ndarray], size: int = GROUP) -> Iterator[list[int]]:
@@ -189,11 +232,11 @@ def estimated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, unig
 
 def gathered(texts: list[np.ndarray], m: Model, group: int | None = None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts over texts: (log10 likelihood, starts, moves, emissions by symbol)."""
-    total, starts, moves, emissions = 0.0, np.zeros(m.start.shape), np.zeros(m.move.shape), np.zeros(m.emit.shape)
+    total, starts, moves, emissions = 0.0, np.zeros(m.start.shape), np.zeros(m.move.shape), np.zeros(m.emit.shape[::-1])
     for part in groups(texts, group or GROUP):
         one, s, v = Batch([texts[i] for i in part]).counts(m, emissions, group)
         total, starts, moves = total + one, starts + s, moves + v
-    return total, starts, moves, emissions
+    return total, starts, moves, emissions.T
 
 
 def likelihood(texts: list[np.ndarray], m: Model) -> np.ndarray:
@@ -243,13 +286,12 @@ def first_model(together: np.ndarray | list, unigram: np.ndarray, states: int =
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, their classes and counts; the number of texts stands under the null word."""
+    """Words and their counts; the number of texts stands under the null word."""
     found: Counter[bytes] = Counter()
     texts = 0
 
     def out() -> pa.RecordBatch:
-        words = list(found)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(class_of, words), pa.int32()), pa.array(found.values(), pa.int64())], names=["word", "class", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
     for b in batches:
         for t in b.column(0):
@@ -259,7 +301,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.clear()
         texts += b.num_rows
     yield out()
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([-1], pa.int32()), pa.array([texts], pa.int64())], names=["word", "class", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([texts], pa.int64())], names=["word", "n"])
 
 
 def most_frequent(words: DataFrame, most: int) -> pa.Table:
@@ -280,7 +322,7 @@ def most_frequent(words: DataFrame, most: int) -> pa.Table:
 
 def vocabulary(train: DataFrame, head: int = HEAD, known: int = KNOWN) -> tuple[Vocabulary, DataFrame]:
     """Counts over all training texts (column ``text``, binary): the bounded vocabulary and the table of all words."""
-    counts = saved(train.select("text").mapInArrow(_count, "word binary, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "counts")
+    counts = saved(train.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).select("word", classes("word").alias("class"), "n"), "counts")
     ends = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
     words = counts.where("word is not null")
     top = most_frequent(words, known).sort_by([("n", "descending"), ("word", "ascending")])
@@ -454,6 +496,16 @@ def _encoded(vocab):
     return run
 
 
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each text (``row``) has each word of its ``tail``; a text is whole in one row, so nothing has to be brought together."""
+    for b in batches:
+        tail = b.column(1)
+        words = tail.flatten().dictionary_encode()
+        text = np.repeat(np.arange(b.num_rows), tail.value_lengths().to_numpy())
+        pair, n = np.unique(text << 32 | words.indices.to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pair >> 32)), words.dictionary.take(pa.array(pair & 0xFFFFFFFF)), pa.array(n)], names=["row", "word", "k"])
+
+
 def scored(docs: DataFrame, held_out: str = "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2", states: int = STATES, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Log10 probability of every text by the unigram base and by the model, both learned from rows that ``held_out`` does not name.
 
@@ -477,7 +529,7 @@ def scored(docs: DataFrame, held_out: str = "pmod(crc32(cast(cast(doc_id as stri
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(likelihood(texts, model.value))], names=[*rest, "fit"])
 
     fits = made.select("symbols", *rest).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, found long, logs double, own double, fit double")
-    tail = made.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
+    tail = made.select("row", "tail").mapInArrow(_tails, "row long, word binary, k long")
     more = tail.join(words.select("word", "n"), "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("add"))
     both = fits.join(more, "row", "left").fillna(0, ["more"]).fillna(0.0, ["add"])
     return both.select("doc_id", "held_out", "n_tokens", (F.col("found") + F.col("more")).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), (F.col("logs") + F.col("add") - F.col("n_tokens") * F.lit(float(np.log10(vocab.tokens + vocab.distinct + 1)))).alias("base_score"), (F.col("fit") + F.col("own") + F.col("add")).alias("score"))
