@@ -8,8 +8,10 @@ native. Null text counts as empty everywhere.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,16 @@ def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+#: A character reference that ends with a semicolon.
+_CLOSED = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)")
+
+
+@F.pandas_udf(StringType())
+def _unescaped_closed(s: pd.Series) -> pd.Series:
+    of = lambda m: html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0])
+    return s.map(lambda x: _CLOSED.sub(of, x), na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not unicodedata.combining(c)), na_action="ignore")
@@ -59,15 +71,15 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
-def decoded(c: Column | str) -> Column:
-    """Character references decoded. Texts without ``&`` never leave the JVM's fast path: Python sees a null."""
+def decoded(c: Column | str, closed: bool = False) -> Column:
+    """Character references decoded, with ``closed`` only those that end with a semicolon. Texts without ``&`` never leave the JVM's fast path: Python sees a null."""
     t = _text(c)
-    return F.coalesce(_unescaped(F.when(t.contains("&"), t)), t)
+    return F.coalesce((_unescaped_closed if closed else _unescaped)(F.when(t.contains("&"), t)), t)
 
 
-def clean(c: Column | str) -> Column:
-    """One line: character references decoded, invisible characters and white space runs as one blank, trimmed."""
-    return collapsed(F.regexp_replace(decoded(c), INVISIBLE, " "))
+def clean(c: Column | str, closed: bool = False) -> Column:
+    """One line: character references decoded (as :func:`decoded`), invisible characters and white space runs as one blank, trimmed."""
+    return collapsed(F.regexp_replace(decoded(c, closed), INVISIBLE, " "))
 
 
 def fold(c: Column | str, decode: bool = True) -> Column:

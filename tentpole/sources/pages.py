@@ -23,9 +23,9 @@ def sitemap(c: Column | str) -> Column:
     return F.regexp_extract_all(_text(c), F.lit(r"<loc>([^<]+)</loc>"), F.lit(1))
 
 
-def title(c: Column | str) -> Column:
-    """Cleaned text of a page's title; empty without one."""
-    return clean(F.regexp_extract(_text(c), r"(?is)<title[^>]*>(.*?)</title>", 1))
+def title(c: Column | str, closed: bool = False) -> Column:
+    """Cleaned text of a page's title; empty without one. With ``closed`` a character reference without its semicolon, as a title that was cut has it, stays as it stands."""
+    return clean(F.regexp_extract(_text(c), r"(?is)<title[^>]*>(.*?)</title>", 1), closed)
 
 
 def links(pages: DataFrame) -> DataFrame:
