@@ -33,7 +33,7 @@ def month_number(c: Column | str) -> Column:
 
 def _parts(text: Column, pattern: str, order: tuple[int, int, int]) -> Column:
     y, m, d = (F.regexp_extract(text, pattern, k) for k in order)
-    return F.when(text.rlike(pattern), _made(y, m, d))
+    return F.when(y != "", _made(y, m, d))
 
 
 def from_iso(c: Column | str) -> Column:

@@ -26,15 +26,15 @@ def valid_band_of_clean(c: Column) -> Column:
     return valid_band(c, cleaned=True)
 
 
-def acts(c: Column | str) -> Column:
+def acts(c: Column | str, cleaned: bool = False) -> Column:
     """Acts of a running text, without guessing.
 
     The text ends at the first label of another field. Separators are commas;
     without any, two styles in brackets or more; then two times or more. Short
     text without separator is one act; anything else none. Null and empty text
-    has no acts.
+    has no acts. ``cleaned`` says that the text is clean already.
     """
-    t = F.trim(F.element_at(F.split(clean(c), TRAILER), 1))
+    t = F.trim(F.element_at(F.split(_text(c) if cleaned else clean(c), TRAILER), 1))
     by_comma = _acts(F.split(t, ","))
     styles = F.regexp_extract_all(t, F.lit(STYLED), F.lit(1))
     after = F.element_at(F.split(t, r"\)"), -1)

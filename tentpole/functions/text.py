@@ -66,6 +66,13 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), f), 1)
 
 
+def worked_out(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df.withColumns``, but a row's values are computed once: Spark copies the expressions of plain columns into all filters and columns that use them."""
+    kept = [c for c in df.columns if c not in columns]
+    one = F.explode(F.array(F.struct(*(v.alias(n) for n, v in columns.items())))).alias("__one")
+    return df.select(*kept, one).select(*kept, "__one.*")
+
+
 def collapsed(c: Column) -> Column:
     """White space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, SPACE, " "))
@@ -82,6 +89,11 @@ def clean(c: Column | str, closed: bool = False) -> Column:
     return collapsed(F.regexp_replace(decoded(c, closed), INVISIBLE, " "))
 
 
+def cleaned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df.withColumns`` with :func:`clean` of each value, which is worked out first, since the steps of cleaning ask for it again and again."""
+    return worked_out(worked_out(df, columns), {n: clean(F.col(n)) for n in columns})
+
+
 def fold(c: Column | str, decode: bool = True) -> Column:
     """Comparison key of a name: letters and digits of any script, without case, marks, connecting words, one leading article and one trailing addition.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tentpole.functions import geo
-from tentpole.plans.queries import query, table
+from tentpole.functions.text import worked_out
+from tentpole.plans.queries import query, spread, table
 from tentpole.sources import nodes, parsers
 
 #: What pages say, from the columns of orders; the same in SQL.
@@ -18,7 +21,7 @@ TEXT = "strftime(d, '%Y')"
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"), "o_orderkey")
     day = F.add_months(F.to_date("o_orderdate"), 360)
     text = lambda c: c.cast("string")
     return o.select(
@@ -33,15 +36,13 @@ def written(template: str) -> Column:
     parts = {n: F.col(n).cast("string") for n in ("id", "town", "country", "price", "a", "b", "people", "lat", "lon")} | {"year": F.year("d").cast("string"), "off": F.when(F.col("off"), F.lit("EventCancelled")).otherwise("EventScheduled")}
     for n in "de":
         parts |= {n: F.date_format(n, "dd.MM.yyyy"), n + "n": F.date_format(n, "dd.MM."), n + "i": F.date_format(n, "yyyy-MM-dd"), n + "e": F.date_format(n, "MMMM d, yyyy"), n + "s": F.date_format(n, "dd-MMM-yy"), n + "m": F.date_format(n, "d MMM yyyy")}
-    out = F.lit(template)
-    for n, c in parts.items():
-        if "{" + n + "}" in template:
-            out = F.replace(out, F.lit("{" + n + "}"), c)
-    return out
+    # Every second piece is a name.
+    return F.concat(*(parts[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(rf"{{({'|'.join(parts)})}}", template))))
 
 
 def pages(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    return facts(spark, sf_dir).select(F.concat(F.lit("http://s.example/festivals/"), F.col("id").cast("string")).alias("url"), written(template).alias("html"), "id")
+    rows = facts(spark, sf_dir)
+    return worked_out(rows, {"html": written(template)}).select(F.concat(F.lit("http://s.example/festivals/"), F.col("id").cast("string")).alias("url"), "html", "id")
 
 
 def names(spark: SparkSession) -> DataFrame:

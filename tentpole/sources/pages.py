@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tentpole.functions.text import _text, clean, collapsed, decoded, valid_band
+from tentpole.functions.text import SPACE, _text, clean, collapsed, decoded, valid_band, worked_out
 
 # Types of JSON-LD objects that are events.
 EVENT_TYPES = ["event", "festival", "musicevent", "musicfestival"]
@@ -25,7 +25,11 @@ def sitemap(c: Column | str) -> Column:
 
 def title(c: Column | str, closed: bool = False) -> Column:
     """Cleaned text of a page's title; empty without one. With ``closed`` a character reference without its semicolon, as a title that was cut has it, stays as it stands."""
-    return clean(F.regexp_extract(_text(c), r"(?is)<title[^>]*>(.*?)</title>", 1), closed)
+    return clean(raw_title(c), closed)
+
+
+def raw_title(c: Column | str) -> Column:
+    return F.regexp_extract(_text(c), r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -76,11 +80,24 @@ _TAG = "\x01"
 _NO_TEXT = r"(?is)<!--.*?-->|<![a-z][^>]*>|<(script|style|template)\b[^>]*>.*?</\1\s*>"
 
 
+def _marked(c: Column | str) -> Column:
+    return F.regexp_replace(F.regexp_replace(_text(c), _NO_TEXT, ""), r"<[^>]*>", _TAG)
+
+
+def _joined(marked: Column, between: str) -> Column:
+    # Blanks around tags and tags without text between them are one cut.
+    line = F.btrim(F.regexp_replace(decoded(marked), SPACE, " "), F.lit(f" {_TAG}"))
+    return F.regexp_replace(line, f" *{_TAG}[ {_TAG}]*", between)
+
+
 def flat(c: Column | str, between: str = " ") -> Column:
     """The text of a page: every piece of text between tags, cleaned, without empty ones, joined."""
-    marked = F.regexp_replace(F.regexp_replace(_text(c), _NO_TEXT, ""), r"<[^>]*>", _TAG)
-    pieces = F.transform(F.split(decoded(marked), _TAG), collapsed)
-    return F.array_join(F.filter(pieces, lambda x: x != ""), between)
+    return _joined(_marked(c), between)
+
+
+def with_flat(df: DataFrame, out: str = "__flat", c: Column | str = "html", between: str = " ") -> DataFrame:
+    """Add :func:`flat` of a page, each of its steps worked out once."""
+    return worked_out(worked_out(df, {out: _marked(c)}), {out: _joined(F.col(out), between)})
 
 
 def plain(c: Column) -> Column:
@@ -93,7 +110,11 @@ def plain(c: Column) -> Column:
 
 def element(c: Column | str, tag: str) -> Column:
     """Cleaned text of the first element with a tag; empty without one."""
-    return clean(F.regexp_replace(F.regexp_extract(_text(c), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"<[^>]*>", " "))
+    return clean(raw_element(c, tag))
+
+
+def raw_element(c: Column | str, tag: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(_text(c), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"<[^>]*>", " ")
 
 
 def anchors(c: Column | str) -> Column:
@@ -115,8 +136,8 @@ def joined_url(base: Column, href: Column) -> Column:
     return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([a-zA-Z]+:)", 1), href)).when(href.startswith("/"), F.concat(host, href)).otherwise(F.concat(folder, href))
 
 
-def performers(event: Column) -> Column:
-    """Names of an event object's performers, which are texts or objects, as far as they can be acts."""
-    every = F.from_json(F.get_json_object(event, "$.performer"), "array<string>")
+def performers(told: Column) -> Column:
+    """Names of an event object's performers (the JSON text of that field), which are texts or objects, as far as they can be acts."""
+    every = F.from_json(told, "array<string>")
     names = F.transform(F.coalesce(every, F.array().cast("array<string>")), lambda x: plain(F.coalesce(F.get_json_object(x, "$.name"), F.when(~x.startswith("{"), x), F.lit(""))))
     return F.filter(names, lambda x: valid_band(x, cleaned=True))

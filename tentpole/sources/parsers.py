@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tentpole.functions import dates, geo, lineups, money, text
-from tentpole.functions.text import _text, clean
+from tentpole.functions.text import _text, clean, cleaned, worked_out
 from tentpole.sources import nodes
 from tentpole.sources import pages as p
 
@@ -37,8 +37,9 @@ def records(df: DataFrame, source: str, **columns: Column | str) -> DataFrame:
     """Raw records of a source; what is not given is empty."""
     empty = lambda c: F.lit(False) if c == "cancelled" else F.array().cast("array<string>") if c == "lineup" else F.lit(None).cast(TYPES[c]) if c in TYPES else F.lit("")
     made = {c: (F.col(x) if isinstance(x := columns.get(c, c if c == "url" else empty(c)), str) else x) for c in COLUMNS}
-    rows = df.select(F.lit(source).alias("source"), F.lit(SOURCES.index(source)).alias("rank"), *(v.cast(TYPES.get(c, "string")).alias(c) for c, v in made.items()))
-    return rows.where("name <> ''")
+    named = worked_out(df, {"__shown": made["name"]}).where("__shown <> ''")
+    made["name"] = F.col("__shown")
+    return named.select(F.lit(source).alias("source"), F.lit(SOURCES.index(source)).alias("rank"), *(v.cast(TYPES.get(c, "string")).alias(c) for c, v in made.items()))
 
 
 def all_findings(every: list[DataFrame]) -> DataFrame:
@@ -116,21 +117,46 @@ def first_of_each(df: DataFrame, source: str, order: list[str], n: int) -> DataF
 
 def _events(pages: DataFrame, which: str = "named") -> DataFrame:
     """Pages with their event object as ``event``: the first, or the first with a name."""
-    some = pages.withColumn("__all", F.when(F.contains(F.lower(_text("html")), F.lit("ld+json")), p.event_objects("html")))
+    some = worked_out(pages, {"__all": F.when(F.contains(F.lower(_text("html")), F.lit("ld+json")), p.event_objects("html"))})
     every = F.col("__all")
     if which == "named":
         every = F.filter(every, lambda e: F.trim(F.coalesce(F.get_json_object(e, "$.name"), F.lit(""))) != "")
-    return some.withColumn("event", F.try_element_at(every, F.lit(1))).drop("__all")
+    return worked_out(some, {"event": F.try_element_at(every, F.lit(1))}).drop("__all")
 
 
-def _of(path: str, within: str = "event") -> Column:
-    return F.coalesce(F.get_json_object(F.col(within), f"$.{path}"), F.lit(""))
+#: What is read of an event object and of what it names (fixed values).
+FIELDS = {
+    "event": "name startDate endDate eventStatus eventAttendanceMode location offers performer keywords description url isAccessibleForFree maximumAttendeeCapacity".split(),
+    "place": ["name", "address", "geo"], "offer": ["price", "priceCurrency", "url"], "address": ["addressLocality", "addressCountry", "postalCode"], "geo": ["latitude", "longitude"],
+}
+
+
+def _field(name: str, within: str = "event") -> Column:
+    return F.col(f"__{within}_{name}")
+
+
+def _of(name: str, within: str = "event") -> Column:
+    return F.coalesce(_field(name, within), F.lit(""))
+
+
+def _opened(df: DataFrame, *objects: str) -> DataFrame:
+    """The fields of JSON objects as columns; an object is read once for all of them."""
+    for x in objects:
+        df = df.select("*", F.json_tuple(x, *FIELDS[x]).alias(*(f"__{x}_{f}" for f in FIELDS[x])))
+    return df
+
+
+def _first(name: str, within: str = "event") -> Column:
+    """:func:`tentpole.sources.pages.first_object` of a field; only lists are read again."""
+    whole = _field(name, within)
+    return F.coalesce(F.when(whole.startswith("["), F.get_json_object(F.col(within), f"$.{name}[0]")), whole)
 
 
 def _parts(df: DataFrame) -> DataFrame:
-    """The event's place, address, point and offer as JSON texts; each may be a list, of which the first counts."""
-    out = df.withColumns({"place": p.first_object(F.col("event"), "location"), "offer": p.first_object(F.col("event"), "offers")})
-    return out.withColumns({"address": p.first_object(F.col("place"), "address"), "geo": p.first_object(F.col("place"), "geo")})
+    """The event's fields, and its place, address, point and offer as JSON texts with theirs; each may be a list, of which the first counts."""
+    out = worked_out(_opened(df, "event"), {"place": _first("location"), "offer": _first("offers")})
+    out = worked_out(_opened(out, "place", "offer"), {"address": _first("address", "place"), "geo": _first("geo", "place")})
+    return _opened(out, "address", "geo")
 
 
 def _dated() -> dict[str, Column]:
@@ -165,22 +191,21 @@ def price_of(amount: Column, currency: Column) -> Column:
 
 def festapp(pages: DataFrame, names: DataFrame) -> DataFrame:
     """The first event object. The city is the place's name, else the last but one part of the address without postal code; the country is its last part and has to be one."""
-    df = _parts(_events(pages, "first")).withColumn("name", clean(_of("name")))
-    df = df.withColumns({"parts": _comma_parts(clean(_of("addressLocality", "address"))), "venue": clean(_of("name", "place"))})
-    df = df.withColumn("country", F.when(F.size("parts") > 1, _last(F.col("parts"))).otherwise(""))
+    df = worked_out(_parts(_events(pages, "first")), {"name": clean(_of("name")), "parts": _comma_parts(clean(_of("addressLocality", "address"))), "venue": clean(_of("name", "place")), "amount": money.amount(_of("price", "offer"))})
+    df = worked_out(df, {"country": F.when(F.size("parts") > 1, _last(F.col("parts"))).otherwise("")})
     df = geo.is_country(geo.country_code(df, "country", names), "country", names).where("is_country")
     street = F.when(F.size("parts") > 1, _last(F.col("parts"), 2)).otherwise(_last(F.col("parts")))
     city = F.when(F.col("venue") != "", F.col("venue")).otherwise(F.regexp_replace(street, r"(?U)^[A-Z]{0,2}[-\s]?\d[\w\s-]*?\s+", ""))
-    price = price_of(money.amount(_of("price", "offer")), F.coalesce(F.get_json_object("offer", "$.priceCurrency"), F.lit("EUR")))
+    price = price_of(F.col("amount"), F.coalesce(_field("priceCurrency", "offer"), F.lit("EUR")))
     return records(
         df, "festapp", name=text.without_year("name"), title_year=_title_year(F.col("name")), city=city, country="country", venue="venue", postcode=clean(_of("postalCode", "address")), price=price,
-        website=clean(_of("url", "offer")), cancelled=_ending("EventCancelled"), lineup=p.performers(F.col("event")), **_dated(),
+        website=clean(_of("url", "offer")), cancelled=_ending("EventCancelled"), lineup=p.performers(_field("performer")), **_dated(),
     )
 
 
 def flyer(pages: DataFrame, names: DataFrame) -> DataFrame:
     """The first event object, whose place is one line: venue, street, postal code and town, country. The description lists acts between slashes."""
-    df = _parts(_events(pages, "first")).withColumn("name", clean(_of("name"))).withColumn("parts", _comma_parts(clean(_of("name", "place"))))
+    df = worked_out(_parts(_events(pages, "first")), {"name": clean(_of("name")), "parts": _comma_parts(clean(_of("name", "place")))})
     df = df.withColumn("country", F.when(F.size("parts") > 1, _last(F.col("parts"))).otherwise(""))
     df = geo.is_country(geo.country_code(df, "country", names), "country", names).where("is_country")
     venue = F.when((F.size("parts") > 2) & (F.length(F.col("parts")[0]) <= 60), F.col("parts")[0]).otherwise("")
@@ -200,8 +225,8 @@ TITLE_END = r"\s*[|–-]\s*Festival Abroad\s*$"
 
 def abroad(pages: DataFrame, names: DataFrame) -> DataFrame:
     """The first event object with a name; pages without one have name, city and country in their title, and no date yet."""
-    df = _parts(_events(pages)).withColumn("name", clean(_of("name")))
-    free = F.get_json_object("event", "$.isAccessibleForFree") == "true"
+    df = worked_out(_parts(_events(pages)), {"name": clean(_of("name"))})
+    free = _field("isAccessibleForFree") == "true"
     made = records(
         df.where("event IS NOT NULL"), "abroad", name="name", city=F.element_at(F.split(clean(_of("addressLocality", "address")), ","), 1), country=_of("addressCountry", "address"), venue=clean(_of("name", "place")),
         website=_of("url"), genre=clean(_of("keywords")), visitors=_of("maximumAttendeeCapacity"), price=F.when(free, F.lit(FREE_ENTRY)).otherwise(""), cancelled=F.contains(F.lower(_of("eventStatus")), F.lit("cancel")), **_dated(), **_point(),
@@ -219,18 +244,18 @@ NO_SITE = r"(?i)facebook|twitter|x\.com|instagram|tiktok|youtube|spotify|google\
 
 def jambase(pages: DataFrame) -> DataFrame:
     """The first event object with a name; the website is the first outbound link that can be the event's own."""
-    df = _parts(_events(pages)).where("event IS NOT NULL")
-    free = F.get_json_object("event", "$.isAccessibleForFree") == "true"
+    df = _parts(worked_out(_events(pages).where("event IS NOT NULL"), {"__links": p.anchors("html")}))
+    free = _field("isAccessibleForFree") == "true"
     return records(
         df, "jambase", name=clean(_of("name")), city=clean(_of("addressLocality", "address")), country=_of("addressCountry", "address"), venue=clean(_of("name", "place")), postcode=clean(_of("postalCode", "address")),
-        website=p.first_link(p.anchors("html"), lambda a: a["href"].startswith("http") & ~a["href"].rlike(NO_SITE)), price=F.when(free, F.lit(FREE_ENTRY)).otherwise(""), lineup=p.performers(F.col("event")),
+        website=p.first_link(F.col("__links"), lambda a: a["href"].startswith("http") & ~a["href"].rlike(NO_SITE)), price=F.when(free, F.lit(FREE_ENTRY)).otherwise(""), lineup=p.performers(_field("performer")),
         cancelled=F.contains(F.lower(_of("eventStatus")), F.lit("cancel")), **_dated(), **_point(),
     )
 
 
 def festivism(pages: DataFrame) -> DataFrame:
     """The first event object with a name, without dates; events in games and online go."""
-    df = _parts(_events(pages)).where("event IS NOT NULL").withColumn("country", _of("addressCountry", "address"))
+    df = _parts(_events(pages).where("event IS NOT NULL")).withColumn("country", _of("addressCountry", "address"))
     df = df.where((F.upper("country") != "XW") & ~F.contains(F.lower(_of("eventAttendanceMode")), F.lit("online")))
     return records(df, "festivism", name=clean(_of("name")), city=F.element_at(F.split(clean(_of("addressLocality", "address")), ","), 1), country="country")
 
@@ -268,16 +293,16 @@ HOPPER = {
 NOTHING = r"(?i)^(keine daten|unbekannt|keine angabe|-|)$"
 
 
-def labelled(flat: Column, fields: dict[str, str]) -> dict[str, Column]:
-    """The value of each label in a flat text, up to the next known label; empty if it says nothing."""
-    found = {k: clean(F.regexp_extract(flat, f"(?sU){pattern}", 1)) for k, pattern in fields.items()}
-    return {k: F.when(v.rlike(NOTHING), F.lit("")).otherwise(v) for k, v in found.items()}
+def labelled(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Add the value of each label in the flat text of a page, up to the next known label; empty if it says nothing."""
+    found = cleaned(df, {k: F.regexp_extract("__flat", f"(?sU){pattern}", 1) for k, pattern in fields.items()})
+    return worked_out(found, {k: F.when(F.col(k).rlike(NOTHING), F.lit("")).otherwise(F.col(k)) for k in fields})
 
 
 def alarm(pages: DataFrame) -> DataFrame:
     """Name and dates from the heading, all else from labelled fields."""
-    df = pages.withColumns({"__head": p.element("html", "h1"), "__flat": p.flat("html"), "__nodes": nodes.tree("html")})
-    df = df.withColumns(labelled(F.col("__flat"), ALARM))
+    df = labelled(p.with_flat(cleaned(pages, {"__head": p.raw_element("html", "h1")})), ALARM)
+    df = worked_out(cleaned(df, {"price": F.replace(F.replace("price", F.lit("ca."), F.lit("")), F.lit("€"), F.lit("EUR"))}), {"__nodes": nodes.tree("html")})
     span, one = r"^(.*?)(\d{2}\.\d{2}\.)\s*-\s*(\d{2}\.\d{2}\.(\d{4}))", r"^(.*?)(\d{2}\.\d{2}\.\d{4})"
     part = lambda pattern, k: F.regexp_extract("__head", pattern, k)
     spans, dated = F.col("__head").rlike(span), F.col("__head").rlike(one)
@@ -285,8 +310,9 @@ def alarm(pages: DataFrame) -> DataFrame:
     spans = spans & (~dated | (F.length(part(span, 1)) <= F.length(part(one, 1))))
     start = F.when(spans, dates.from_german(F.concat(part(span, 2), part(span, 4)))).when(dated, dates.from_german(part(one, 2)))
     end = F.when(spans, dates.from_german(part(span, 3))).when(dated, dates.from_german(part(one, 2)))
-    name = F.regexp_replace(clean(F.when(spans, part(span, 1)).when(dated, part(one, 1)).otherwise(F.col("__head"))), r"[\s\-–|]+$", "")
-    price = clean(F.replace(F.replace("price", F.lit("ca."), F.lit("")), F.lit("€"), F.lit("EUR")))
+    df = cleaned(df, {"__called": F.when(spans, part(span, 1)).when(dated, part(one, 1)).otherwise(F.col("__head")), "__town": F.regexp_replace("city", r"^\d{4,5}\s*", "")})
+    name = F.regexp_replace("__called", r"[\s\-–|]+$", "")
+    price = F.col("price")
     price = F.when(~price.rlike(r"\d"), "").when(F.lower(price).startswith("ab"), price).otherwise(F.concat(F.lit("ab "), price))
     # The site is the first link of a list item, box or paragraph that names it, if that link is one.
     tree = F.col("__nodes")
@@ -295,19 +321,19 @@ def alarm(pages: DataFrame) -> DataFrame:
     link = F.coalesce(nodes.first(F.filter(hrefs, lambda h: h.startswith("http") & ~h.contains("awin1.com") & ~h.contains("festival-alarm"))), F.lit(""))
     acts = F.filter(F.transform(F.split("acts", ","), lambda x: text.collapsed(x)), lambda x: text.valid_band(x, cleaned=True))
     return records(
-        df, "alarm", name=name, start=start, end=end, city=clean(F.regexp_replace("city", r"^\d{4,5}\s*", "")), country="country", venue="venue", postcode=F.regexp_extract("city", r"^\s*(\d{4,5})\b", 1), price=price, website=link,
+        df, "alarm", name=name, start=start, end=end, city="__town", country="country", venue="venue", postcode=F.regexp_extract("city", r"^\s*(\d{4,5})\b", 1), price=price, website=link,
         genre="genre", visitors="visitors", lineup=acts,
     )
 
 
 def hopper(pages: DataFrame, names: DataFrame) -> DataFrame:
     """Labelled fields and a span of dates in the text; the region ends with the country, and a page that names no country there goes. Acts are links to their cards."""
-    df = pages.withColumns({"__head": p.element("html", "h1"), "__flat": p.flat("html"), "__links": p.anchors("html")})
-    df = df.withColumns(labelled(F.col("__flat"), HOPPER))
-    df = df.withColumn("country", clean(F.regexp_replace(F.element_at(F.split("region", ","), -1), r"(?U)[^\w ÄÖÜäöüß-]", " ")))
+    df = labelled(p.with_flat(cleaned(pages, {"__head": p.raw_element("html", "h1")})), HOPPER)
+    df = cleaned(worked_out(df, {"__links": p.anchors("html")}), {"country": F.regexp_replace(F.element_at(F.split("region", ","), -1), r"(?U)[^\w ÄÖÜäöüß-]", " ")})
     df = geo.is_country(geo.country_code(df, "country", names), "country", names).where("country = '' OR is_country")
     span = r"(\d{2}\.\d{2}\.\d{4})\s*\(\p{L}{2}\)\s*-\s*(\d{2}\.\d{2}\.\d{4})"
-    start, end = (dates.from_german(F.regexp_extract("__flat", span, k)) for k in (1, 2))
+    df = worked_out(df, {f"__day{k}": F.regexp_extract("__flat", span, k) for k in (1, 2)})
+    start, end = (dates.from_german(f"__day{k}") for k in (1, 2))
     town = r"^\s*(?:[A-Z]{1,2}-)?(\d{4,5})\b\s*(.*)$"
     acts = F.transform(F.filter("__links", lambda a: a["href"].contains("/bands/karten/")), lambda a: a["text"])
     site = p.first_link(F.col("__links"), lambda a: a["href"].startswith("http") & ~a["href"].contains("festivalhopper") & ~a["href"].rlike("(?i)openstreetmap|facebook|instagram|youtube|twitter|ticket") & F.contains(F.lower(a["href"]), F.replace(F.lower(a["text"]), F.lit("www."), F.lit(""))))
@@ -396,23 +422,27 @@ def ticker(pages: DataFrame, master: DataFrame) -> DataFrame:
     lists = master.select("url", *(F.col(c).alias(f"__{c}") for c in ("name", "start", "end", "city", "country", "genre")))
     df = pages.join(lists, "url", "left")
     cells = r"(?is)<tr\b[^>]*>\s*<td\b[^>]*>(.*?)</td>\s*<td\b[^>]*>(.*?)</td>"
-    every = [F.regexp_extract_all(p.decoded(F.regexp_replace(_text("html"), "&lt;|&gt;", "")), F.lit(cells), F.lit(k)) for k in (1, 2)]
+    df = worked_out(df, {"__html": F.regexp_replace(_text("html"), "&lt;|&gt;", "")})
+    df = p.with_flat(worked_out(df, {"__html": p.decoded("__html")}))
+    every = [F.regexp_extract_all("__html", F.lit(cells), F.lit(k)) for k in (1, 2)]
     rows = F.zip_with(*every, lambda a, b: F.struct(F.regexp_replace(p.plain(a), ":+$", "").alias("label"), p.plain(b).alias("value"), b.alias("html")))
-    df = df.withColumns({"__rows": rows, "__flat": p.flat("html")})
+    df = worked_out(cleaned(df, {"__title": p.raw_title("html"), "__h2": p.raw_element("html", "h2")}), {"__rows": rows}).drop("__html")
     of = lambda label: F.coalesce(F.try_element_at(F.filter("__rows", lambda r: r["label"] == label), F.lit(1))["value"], F.lit(""))
     value = lambda label: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(of(label), r"\s*\.{2,}\s*mehr\s*", " "), r"\s*close\s*$", "")), r"^[ ,.]+|[ ,.]+$", "")
     filled = lambda *xs: F.coalesce(*(F.nullif(x, F.lit("")) for x in xs), F.lit(""))
     heading = r"(?is)<h2\b([^>]*)>"
-    name = filled(F.coalesce("__name", F.lit("")), p.title("html"), p.element("html", "h2"))
+    name = filled(F.coalesce("__name", F.lit("")), F.col("__title"), F.col("__h2"))
     name = F.trim(F.regexp_replace(F.regexp_replace(name, r"^\d+\.\s*", ""), r"\s+(19|20)\d{2}$", ""))
     cancelled = F.regexp_extract(_text("html"), heading, 1).contains("line-through") | F.col("__flat").rlike("(?i)wurde abgesagt")
     span, one = r"Vom:\s*(\d{2}\.\d{2}\.\d{4})\s*bis:\s*(\d{2}\.\d{2}\.\d{4})", r"\b(\d{2}\.\d{2}\.\d{4})\b"
     day = lambda k: F.when(F.col("__flat").rlike(span), dates.from_german(F.regexp_extract("__flat", span, k))).otherwise(dates.from_german(F.regexp_extract("__flat", one, 1)))
-    acts = lineups.acts(F.array_join(F.transform(F.filter("__rows", lambda r: r["label"] == "Bands"), lambda r: r["value"]), ", "))
+    bands = F.array_join(F.transform(F.filter("__rows", lambda r: r["label"] == "Bands"), lambda r: r["value"]), ", ")
+    # The acts of the table, or else of what follows the label in the text.
+    df = cleaned(df, {"__bands": bands, "__later": F.regexp_extract("__flat", r"(?s)\bBands:\s*(.+)$", 1)})
+    acts, later = (lineups.acts(c, cleaned=True) for c in ("__bands", "__later"))
     site = F.coalesce(F.try_element_at(F.filter("__rows", lambda r: (r["label"] == "Website") & r["html"].contains("href=")), F.lit(1))["html"], F.lit(""))
     href = F.regexp_extract(site, r'(?is)\bhref="([^"]*)"', 1)
-    df = df.withColumns({"__acts": acts, "__site": F.when(href != "", lineups.link_target(p.joined_url(F.col("url"), F.trim(href)))).otherwise("")})
-    later = lineups.acts(F.regexp_extract("__flat", r"(?s)\bBands:\s*(.+)$", 1))
+    df = worked_out(df, {"__acts": acts, "__site": F.when(href != "", lineups.link_target(p.joined_url(F.col("url"), F.trim(href)))).otherwise("")})
     return records(
         df, "ticker", name=name, start=F.coalesce("__start", day(1)), end=F.coalesce("__end", day(2)), city=filled(value("Ort"), F.col("__city")), country=filled(value("Land"), F.col("__country")), venue=value("Location"),
         postcode=value("Plz"), price=value("Preis"), website="__site", genre=filled(value("Stil"), F.col("__genre"), value("Kategorie")), visitors=value("Besucher"), cancelled=cancelled,
@@ -444,44 +474,50 @@ def united(pages: DataFrame, names: DataFrame) -> DataFrame:
     the text, else the embedded address, else the first link to a list of a
     country.
     """
-    df = pages.withColumns({"__head": p.element("html", "h1"), "__text": p.flat("html", "\n")}).where("__head <> ''").withColumn("__nodes", nodes.tree("html"))
+    df = cleaned(pages, {"__head": p.raw_element("html", "h1")}).where("__head <> ''")
+    df = worked_out(p.with_flat(df, "__text", between="\n"), {"__nodes": nodes.tree("html"), "__links": p.anchors("html")})
     grab = lambda c, pattern, k=1: F.regexp_extract(c, pattern, k)
     year = _title_year(F.col("__head"))
     spans = [F.regexp_extract_all("__text", F.lit(r"(\d{2}\.\d{2}\.\d{4})(?:\s*-\s*(\d{2}\.\d{2}\.\d{4}))?"), F.lit(k)) for k in (1, 2)]
-    df = df.withColumns({"__year": year, "__spans": F.zip_with(*spans, lambda a, b: F.struct(a.alias("a"), F.when(b != "", b).otherwise(a).alias("b")))})
+    df = worked_out(df, {"__year": year, "__spans": F.zip_with(*spans, lambda a, b: F.struct(a.alias("a"), F.when(b != "", b).otherwise(a).alias("b")))})
     y, known = F.col("__year"), F.col("__spans")
     pick = F.when(y == "", F.try_element_at(known, F.lit(1))).otherwise(F.try_element_at(F.filter(known, lambda s: s["a"].endswith(y)), F.lit(1)))
-    df = df.withColumn("__pick", pick).withColumns({"__start": dates.from_german(F.col("__pick.a")), "__end": dates.from_german(F.col("__pick.b"))})
+    df = worked_out(worked_out(df, {"__pick": pick}), {"__start": dates.from_german(F.col("__pick.a")), "__end": dates.from_german(F.col("__pick.b"))})
     said = r'"startDate"\s*:\s*"((\d{4})-\d{2}-\d{2})"'
-    usable = F.col("__start").isNull() & grab("html", said).rlike(".") & ((y == "") | (grab("html", said, 2) == y))
-    json_start = F.when(usable, dates.from_iso(grab("html", said)))
-    json_end = F.coalesce(dates.from_iso(grab("html", r'"endDate"\s*:\s*"(\d{4}-\d{2}-\d{2})"')), json_start)
+    df = worked_out(df, {"__said": grab("html", said), "__until": grab("html", r'"endDate"\s*:\s*"(\d{4}-\d{2}-\d{2})"')})
+    usable = F.col("__start").isNull() & F.col("__said").rlike(".") & ((y == "") | (F.substring("__said", 1, 4) == y))
+    json_start = F.when(usable, dates.from_iso("__said"))
+    json_end = F.coalesce(dates.from_iso("__until"), json_start)
     note = F.when(usable | F.col("__start").isNotNull() | (y == ""), "").when(F.size(known) == 0, NOT_YET).otherwise(F.concat(F.lit("Termin offen; letzte gefundene Ausgabe "), F.try_element_at(known, F.lit(1))["a"]))
     # Place.
-    town = clean(grab("__text", r"\d{2}\.\d{2}\.\d{4}\s*/\s*([^\n]+)"))
+    town = grab("__text", r"\d{2}\.\d{2}\.\d{4}\s*/\s*([^\n]+)")
     held = r"(?U)\bin\s+([A-ZÄÖÜ][^\n,]{1,40}?)\s*\((\w{2})\)"
     filled = lambda *xs: F.coalesce(*(F.nullif(x, F.lit("")) for x in xs), F.lit(""))
-    city = filled(town, clean(grab("__text", held)), clean(grab("html", r'"addressLocality"\s*:\s*"([^"]{2,60})"')))
-    df = df.withColumn("__city", F.when(F.trim(city).rlike(r"(?i)^(verschiedene orte|diverse orte|mehrere orte)$"), "").otherwise(city))
+    df = cleaned(df, {"__t0": town, "__t1": grab("__text", held), "__t2": grab("html", r'"addressLocality"\s*:\s*"([^"]{2,60})"'), "__postal": grab("html", r'"postalCode"\s*:\s*"([^"]{2,12})"'), "__c1": grab("html", r'"addressCountry"\s*:\s*"([^"]{2,40})"')})
+    city = filled(F.col("__t0"), F.col("__t1"), F.col("__t2"))
+    df = worked_out(df, {"__city": F.when(F.trim(city).rlike(r"(?i)^(verschiedene orte|diverse orte|mehrere orte)$"), "").otherwise(city)})
     first = r"^\s*(\d{4,5})\s+([A-Za-zÄÖÜäöü].*)$"
-    code = filled(F.replace(clean(grab("html", r'"postalCode"\s*:\s*"([^"]{2,12})"')), F.lit(" "), F.lit("")), grab("__city", first))
+    code = filled(F.replace("__postal", F.lit(" "), F.lit("")), grab("__city", first))
     linked = F.filter(F.regexp_extract_all(_text("html"), F.lit(r'/festivals/countries/([a-z\-]{2,30})"'), F.lit(1)), lambda x: ~x.isin("europe", "international"))
-    df = df.withColumns({"__c0": F.upper(grab("__text", held, 2)), "__c1": clean(grab("html", r'"addressCountry"\s*:\s*"([^"]{2,40})"')), "__c2": F.replace(F.coalesce(F.try_element_at(linked, F.lit(1)), F.lit("")), F.lit("-"), F.lit(" "))})
+    df = worked_out(df, {"__c0": F.upper(grab("__text", held, 2)), "__c2": F.replace(F.coalesce(F.try_element_at(linked, F.lit(1)), F.lit("")), F.lit("-"), F.lit(" "))})
     df = geo.country_code(geo.country_code(df, "__c1", names), "__c2", names)
     # Price, cancellation, genre, venue, point, website.
     ab = rf"(?i)\bab\s+((?:{MONEY})\s*[\d.,]+|[\d.,]+\s*(?:{MONEY}))"
-    told = grab("__text", ab)
+    told = F.col("__told")
     offer = r'"price"\s*:\s*"([\d.]+)"\s*,\s*"priceCurrency"\s*:\s*"([A-Z]{3})"'
-    price = F.when(told != "", F.concat(F.lit("ab "), F.regexp_replace(clean(told), r"[.,;]+$", ""))).otherwise(price_of(money.amount(grab("html", offer)), grab("html", offer, 2)))
+    price = F.when(told != "", F.concat(F.lit("ab "), F.regexp_replace(told, r"[.,;]+$", ""))).otherwise(price_of(money.amount(grab("html", offer)), grab("html", offer, 2)))
     head = grab("html", r"(?is)<(?:section|div)\b[^>]*>((?:(?!<(?:section|div)\b).)*?<h1\b.*?)</(?:section|div)>")
-    cancelled = F.contains(F.lower("__text"), F.concat(F.lower("__head"), F.lit(" wurde abgesagt"))) | F.contains(F.lower("__text"), F.concat(F.lower("__head"), F.lit("\nwurde abgesagt"))) | p.flat(head).rlike(r"(?iU)\bAbgesagt\b") | F.col("html").rlike(r'"eventStatus"\s*:\s*"[^"]*EventCancelled"')
-    sentence = F.trim(grab("__text", r"ist ein ([A-Za-zÄÖÜäöü&\- ]{3,40}?) Festival"))
-    sentence = F.when(sentence.rlike(r"(?i)^angebot\b"), "").otherwise(clean(sentence))
-    styles = F.regexp_replace(clean(grab("html", r"(?:Multi-Genre|Genre)\s*<[^>]*>([^<]{3,120})<")), r"(?i)\s*\bUVM\.?\s*$", "")
-    venue = clean(grab("html", r'"@type"\s*:\s*"Place"\s*,\s*"name"\s*:\s*"([^"]{2,80})"'))
+    cancelled = F.contains(F.lower("__text"), F.concat(F.lower("__head"), F.lit(" wurde abgesagt"))) | F.contains(F.lower("__text"), F.concat(F.lower("__head"), F.lit("\nwurde abgesagt"))) | F.col("__header").rlike(r"(?iU)\bAbgesagt\b") | F.col("html").rlike(r'"eventStatus"\s*:\s*"[^"]*EventCancelled"')
+    df = cleaned(p.with_flat(df, "__header", head), {
+        "__told": grab("__text", ab), "__sentence": F.trim(grab("__text", r"ist ein ([A-Za-zÄÖÜäöü&\- ]{3,40}?) Festival")), "__styles": grab("html", r"(?:Multi-Genre|Genre)\s*<[^>]*>([^<]{3,120})<"),
+        "__venue": grab("html", r'"@type"\s*:\s*"Place"\s*,\s*"name"\s*:\s*"([^"]{2,80})"'),
+    })
+    sentence = F.when(F.col("__sentence").rlike(r"(?i)^angebot\b"), "").otherwise(F.col("__sentence"))
+    styles = F.regexp_replace("__styles", r"(?i)\s*\bUVM\.?\s*$", "")
+    venue = F.col("__venue")
     point = r'"latitude"\s*:\s*(-?\d+\.?\d*)\s*,\s*"longitude"\s*:\s*(-?\d+\.?\d*)'
     name = F.trim(F.regexp_replace("__head", r"\s*\b20\d{2}\b\s*$", ""))
-    site = p.first_link(p.anchors("html"), lambda a: ~a["href"].contains("festivalsunited.com") & ~a["href"].startswith("/") & (a["text"].rlike("(?i)offizielle|website|webseite|homepage") | a["title"].rlike("(?i)offizielle|website|homepage")))
+    site = p.first_link(F.col("__links"), lambda a: ~a["href"].contains("festivalsunited.com") & ~a["href"].startswith("/") & (a["text"].rlike("(?i)offizielle|website|webseite|homepage") | a["title"].rlike("(?i)offizielle|website|homepage")))
     capacity = grab("html", r"Kapazität:\s*(?:ca\.?\s*)?([\d.\s]{3,12})")
     return records(
         df, "united", name=name, start=F.coalesce("__start", json_start), end=F.coalesce("__end", json_end), title_year=filled(y, F.year(F.coalesce("__start", json_start)).cast("string")), note=note,
